@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_sharding, langid, mixing, token_files, warc
+from . import kd_sharding, langid, mixing, quality, token_files, warc
 from .common import new_path
 
 
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).select(*quality.RESULT)
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path)
@@ -43,5 +47,5 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_mixing, op6_token_ids, op8_langid, op9_kd_sharding)
+    found = (op1_warc, op2_mixing, op3_quality, op6_token_ids, op8_langid, op9_kd_sharding)
     return {f.__name__: f for f in found}
