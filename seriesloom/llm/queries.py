@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_sharding, langid, mixing, quality, token_files, warc
+from . import kd_sharding, langid, minhash, mixing, quality, token_files, warc
 from .common import new_path
 
 
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select(*quality.RESULT)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path)
@@ -47,5 +51,5 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_mixing, op3_quality, op6_token_ids, op8_langid, op9_kd_sharding)
+    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op6_token_ids, op8_langid, op9_kd_sharding)
     return {f.__name__: f for f in found}
