@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_sharding, langid, minhash, mixing, quality, token_files, warc
+from . import decontam, kd_sharding, langid, minhash, mixing, quality, token_files, warc
 from .common import new_path
 
 
@@ -50,6 +50,10 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.document_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op6_token_ids, op8_langid, op9_kd_sharding)
+    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op6_token_ids, op8_langid, op9_kd_sharding, op10_decontamination)
     return {f.__name__: f for f in found}
