@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kd_sharding, langid, minhash, mixing, quality, token_files, warc
+from . import decontam, gru_lm, kd_sharding, langid, minhash, mixing, quality, token_files, warc
 from .common import new_path
 
 
@@ -33,6 +33,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path)
@@ -55,5 +59,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op6_token_ids, op8_langid, op9_kd_sharding, op10_decontamination)
+    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_token_ids, op8_langid, op9_kd_sharding, op10_decontamination)
     return {f.__name__: f for f in found}
