@@ -2,4 +2,53 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Words of a text, in the lower case of A-Z.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+_PAGES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to, 1 AS n_requests, 1 AS n_metadata FROM f
+"""
+
+_LINES = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line, generate_subscripts(string_split(lower(coalesce(text, '')), chr(10)), 1) - 1 AS line_no FROM documents),
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+k AS (SELECT doc_id, line_no, array_to_string(w, ' ') AS k, w FROM w WHERE len(w) > 0),
+c AS (SELECT k, min({'d': doc_id, 'l': line_no}) AS first, any_value(w) AS w FROM k GROUP BY k),
+s AS (SELECT k, CASE WHEN len(w) < 5 THEN [k] ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM c),
+t AS (SELECT k, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT x.k AS a, y.k AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS m FROM t x JOIN t y ON x.t = y.t AND x.k <> y.k GROUP BY 1, 2),
+q AS (SELECT a, count(*) AS n_links, min(c.first) AS earliest FROM p JOIN c ON c.k = p.b WHERE 100 * m >= 75 * (na + nb - m) GROUP BY a)
+SELECT k.doc_id, CAST(k.line_no AS INTEGER) AS line_no, c.first.d AS class_doc, CAST(c.first.l AS INTEGER) AS class_line, coalesce(q.n_links, 0) AS n_links,
+  coalesce(q.earliest < c.first, false) OR k.doc_id <> c.first.d OR k.line_no <> c.first.l AS removed
+FROM k JOIN c USING (k) LEFT JOIN q ON q.a = k.k
+"""
+
+_NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM t x JOIN t y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.reached),
+m AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON m.node = s.doc_id
+"""
+
+_LEAKS = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, unnest([array_to_string(w[k:k+9], ' ') for k in range(1, greatest(2, len(w) - 8))]) AS k, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT n FROM v),
+o AS (SELECT doc_id, n, unnest([{'pos': k, 'k': array_to_string(w[k:k+n-1], ' ')} for k in range(1, len(w) - n + 2)]) AS o FROM d, g),
+f AS (SELECT o.doc_id, o.o.pos AS pos, o.n, v.item_id FROM o JOIN v ON o.o.k = v.k AND o.n = v.n),
+h AS (SELECT doc_id, count(DISTINCT pos + j) AS n_hit FROM (SELECT DISTINCT doc_id, pos, n FROM f), LATERAL (SELECT unnest(range(n)) AS j) GROUP BY doc_id),
+e AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS names FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(e.n_items, 0) AS n_items, sha256(coalesce(e.names, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN e USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": _PAGES, "op4_minhash": _NEAR, "op7_line_dedup": _LINES, "op10_decontamination": _LEAKS}

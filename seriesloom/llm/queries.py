@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, gru_lm, kd_sharding, langid, minhash, mixing, quality, token_files, warc
+from . import decontam, gru_lm, kd_sharding, langid, line_dedup, minhash, mixing, quality, token_files, warc
 from .common import new_path
 
 
@@ -43,6 +43,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, path))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge_lines(_table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -59,5 +63,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_token_ids, op8_langid, op9_kd_sharding, op10_decontamination)
+    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_token_ids, op7_line_dedup, op8_langid, op9_kd_sharding, op10_decontamination)
     return {f.__name__: f for f in found}
