@@ -47,7 +47,8 @@ def _bucket(token: Column) -> Column:
 
 def rarity(lines: DataFrame) -> bytes:
     """A byte per counter: twice the logarithm to base 2 of its count, up to 127."""
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy(_bucket(F.col("token")).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    # explode() would infer a filter on the size of tokens, which works them out once more, inside a lambda.
+    counts = lines.select(F.explode_outer("tokens").alias("token")).groupBy(_bucket(F.col("token")).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     table = np.zeros(1 << BITS)
     table[counts["at"].to_numpy()] = counts["n"].to_numpy()
     return np.minimum(127, np.round(2 * np.log2(table + 1))).astype(np.uint8).tobytes()
