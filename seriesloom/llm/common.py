@@ -47,3 +47,15 @@ def count_words(text: Column) -> Column:
 def utf8_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def one_per_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df with one row, the smallest, of the rows that share a key; rows with a null key all stay.
+
+    The keys are counted first, so that a table without repeats isn't shuffled.
+    """
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).where(F.col(key).isNotNull())
+    if not repeated.limit(1).count():
+        return df
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+    return least.select("row.*").unionByName(df.where(F.col(key).isNull()))

@@ -186,5 +186,5 @@ def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a hit, unchanged; rows with one doc_id go together."""
-    bad = document_hits(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(store(bad, "leak-bad").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = document_hits(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("seriesloom_bad_id")).distinct()
+    return docs.join(store(bad, "leak-bad").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("seriesloom_bad_id")), "left_anti")

@@ -94,7 +94,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     ids = wanted.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    held = docs.select("doc_id", "text").join(ids.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    held = docs.select("doc_id", "text").join(ids.withColumnRenamed("doc_id", "seriesloom_wanted_id"), F.col("doc_id").eqNullSafe(F.col("seriesloom_wanted_id")), "left_semi")
     sets = tokens_of(held).join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "tokens")
     sets = store(sets, "line-sets")
     both = pairs.join(sets.toDF("a1", "a2", "a"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "b"), ["b1", "b2"])
@@ -123,9 +123,9 @@ def judge_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the removed lines taken out of ``text``; lines without words stay, null texts stay null."""
-    gone = judge_lines(docs, percent).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
-    gone = store(gone.withColumnRenamed("doc_id", "gone_id"), "lines-gone")
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("gone_lines", F.array().cast("array<int>")), i))
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    gone = judge_lines(docs, percent).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("seriesloom_gone_lines"))
+    gone = store(gone.withColumnRenamed("doc_id", "seriesloom_gone_id"), "lines-gone")
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("seriesloom_gone_id")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("seriesloom_gone_lines", F.array().cast("array<int>")), i))
+    text = F.when(F.col("seriesloom_gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import one_per_id, store
 from .graph import components
 
 SHINGLE = 5
@@ -233,10 +233,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, unchanged: rows that near_duplicates keeps; of rows with one doc_id, one."""
+    """docs with one document of each group, unchanged: rows that near_duplicates keeps; of rows with one doc_id, the smallest."""
     judged = near_duplicates(docs).select("doc_id", "kept").distinct()
     judged = store(judged, "minhash-judged")
-    gone = judged.where("not kept").select(F.col("doc_id").alias("gone_id")).hint("shuffle_hash")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 AND doc_id IS NOT NULL")
-    return kept.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else kept
+    gone = judged.where("not kept").select(F.col("doc_id").alias("seriesloom_gone_id")).hint("shuffle_hash")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("seriesloom_gone_id")), "left_anti")
+    return one_per_id(kept)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, store
+from .common import count_words, one_per_id, store
 
 #: Rows that are rounded together.
 ROUND_ROWS = 1_000
@@ -131,3 +131,15 @@ def mix_documents(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2,
     return out.select(
         "x.docs.doc_id", "source", "x.docs.size", "source_size", "target", "x.docs.rate", "x.copies", (F.col("x.copies") * F.col("x.docs.size")).cast("long").alias("taken")
     )
+
+
+def repeat_documents(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """docs with every row as often as mix_documents takes it; of rows that share a doc_id, the smallest counts.
+
+    Rows without a doc_id are all kept, each as often as the one of them that is taken most.
+    """
+    docs = one_per_id(docs)
+    copies = mix_documents(docs, cap, cycle).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    copies = store(copies.select(F.col("doc_id").alias("seriesloom_mix_id"), F.col("copies").alias("seriesloom_mix_copies")), "mix-copies").hint("shuffle_hash")
+    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("seriesloom_mix_id")))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("seriesloom_mix_copies"))).alias("seriesloom_mix_turn")).drop("seriesloom_mix_turn")

@@ -183,6 +183,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that ``judge`` keeps, unchanged."""
-    bad = judge(docs).where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
-    on = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash"))
+    bad = judge(docs).where("not kept").select(F.col("doc_id").alias("seriesloom_bad_id"), F.col("text_hash").alias("seriesloom_bad_hash"))
+    on = F.col("doc_id").eqNullSafe(F.col("seriesloom_bad_id")) & (F.xxhash64("text") == F.col("seriesloom_bad_hash"))
     return docs.join(store(bad, "quality-bad").hint("shuffle_hash"), on, "left_anti")
