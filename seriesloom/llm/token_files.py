@@ -22,6 +22,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,10 +30,9 @@ from pyspark.sql import functions as F
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 NULL_ID = np.iinfo(np.int64).min
-#: Distinct pieces of text whose ids a worker keeps.
-MEMO = 300_000
-#: Rows that are encoded, or read back, at once.
-ROWS = 256
+#: Rows that are read back at once; rows and bytes that are encoded at once (one longer text is by itself).
+ROWS = 512
+MOST_ROWS, MOST_BYTES = 4_000, 1 << 24
 
 
 def local_path(path: str) -> str:
@@ -58,33 +58,99 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them.
 
-    This vocabulary's rules drop white space and never join pieces across it, so a text's ids are those
-    of its pieces between ASCII white space, one after the other.  Pieces repeat; each distinct one is
-    encoded by the library once and then remembered.  Texts that may hold a special token's name go to
-    the library whole.
+    This vocabulary's rules drop white space, never join pieces across it, and cut between a letter and the
+    ASCII signs after it, so a text's ids are those of its pieces between ASCII white space, and a piece's those of
+    its stem and of the signs at its end.  Arrow cuts a batch of texts and finds its distinct pieces.  The library
+    encodes each new stem once (many at a time, with a sign between that no stem of letters holds); it is then
+    remembered.  Texts that may hold a special token's name go to the library whole.
     """
 
-    def __init__(self, path: str, dtype: type) -> None:
-        self.tokenizer, self.dtype, self.memo = _tokenizer(path), dtype, {}
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        new = list({p for ps in pieces for p in ps if p not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                memo[piece] = np.array(e.ids, self.dtype).tobytes()
-        out = []
-        for text, ps in zip(texts, pieces, strict=True):
-            if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype))
-            else:
-                out.append(np.frombuffer(b"".join(map(memo.__getitem__, ps)), self.dtype))
-        return out
+    SIGNS = ".,;:!?|*#$%&"
+    #: Pieces and stems that are remembered.
+    MEMO = 600_000
+
+    def __init__(self, path: str, dtype: str) -> None:
+        self.tokenizer, self.dtype = _tokenizer(path), np.dtype(dtype)
+        self.memo: dict[str, bytes] = {"": b""}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        letters = [s for s in stems if s.isalpha()] if len(self.mark) == 1 else []
+        width = self.dtype.itemsize
+        for at in range(0, len(letters), 1024):
+            part = letters[at : at + 1024]
+            ids = self._ids(" | ".join(part))
+            ends = [*(np.flatnonzero(ids == self.mark[0]) * width).tolist(), len(ids) * width]
+            raw, start = ids.tobytes(), 0
+            for stem, end in zip(part, ends, strict=True):
+                self.memo[stem] = raw[start:end]
+                start = end + width
+        for stem in stems:
+            if stem not in self.memo:
+                self.memo[stem] = self._ids(stem).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        memo, signs = self.memo, self.SIGNS
+        stems, cut = [], []
+        for piece in pieces:
+            if piece[-1] in signs:
+                stem = piece.rstrip(signs)
+                # What is before the signs must end in a letter or digit, else they may belong to a longer run.
+                if stem and stem[-1].isalnum():
+                    cut.append((piece, stem, piece[len(stem) :]))
+                    stems += (stem, piece[len(stem) :])
+                    continue
+            stems.append(piece)
+        self._learn_stems([x for x in set(stems) if x not in memo])
+        for piece, stem, end in cut:
+            memo[piece] = memo[stem] + memo[end]
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids of each; no text is null."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.memo) > self.MEMO:
+            self.memo = {"": b""}
+        self._learn([p for p in pieces if p not in self.memo])
+        found = list(map(self.memo.__getitem__, pieces))
+        table, sizes = np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        which = coded.indices.to_numpy()
+        own = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        first = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        ids = table[np.repeat(first, own) + np.arange(ends[-1])]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        counts = np.diff(ends[offsets])
+        for special in self.special:
+            for at in np.flatnonzero(pc.match_substring(texts, special).to_numpy(zero_copy_only=False)):
+                whole = np.array(self.tokenizer.encode(texts[int(at)].as_py(), add_special_tokens=False).ids, self.dtype)
+                start = counts[:at].sum()
+                ids, counts[at] = np.concatenate((ids[:start], whole, ids[start + counts[at] :])), len(whole)
+        return ids, counts
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, dtype: str) -> Encoder:
+    """One for each worker process: what it remembers serves its next tasks too."""
+    return Encoder(path, dtype)
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of (doc_id, text) within MOST_ROWS and MOST_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and (held + size > MOST_BYTES or i - at >= MOST_ROWS):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += int(size)
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -98,20 +164,20 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, own = Encoder(tokenizer, dtype), TaskContext.get().partitionId(), uuid.uuid4().hex
+        encoder, part, own = _encoder(tokenizer, dtype), TaskContext.get().partitionId(), uuid.uuid4().hex
         names = [f"{k}-{part:06d}.bin" for k in ("ids", "offsets", "documents")]
-        end, at, n = np.array([end_id], dtype).tobytes(), 0, 0
+        at, n = 0, 0
         files = [open(f"{folder}/.{own}-{x}", "wb") for x in names]
         files[1].write(np.zeros(1, "<i8").tobytes())
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                piece = batch.slice(start, ROWS)
-                ids = encoder([x or b"" for x in piece.column(1).cast(pa.binary()).to_pylist()])
-                files[0].write(b"".join(x for i in ids for x in (i.tobytes(), end)))
-                ends = at + np.cumsum([len(i) + 1 for i in ids], dtype="<i8")
+            for piece in pieces_of(batch):
+                ids, counts = encoder(pc.fill_null(piece.column(1), ""))
+                own = np.cumsum(counts)
+                files[0].write(np.insert(ids, own, end_id).tobytes())
+                ends = at + np.cumsum(counts + 1, dtype="<i8")
                 files[1].write(ends.tobytes())
                 files[2].write(np.array([NULL_ID if x is None else x for x in piece.column(0).to_pylist()], "<i8").tobytes())
-                at, n = int(ends[-1]), n + len(ids)
+                at, n = int(ends[-1]), n + len(counts)
         for f, x in zip(files, names, strict=True):
             f.close()
             os.replace(f.name, f"{folder}/{x}")
