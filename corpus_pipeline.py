@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import decontam, kd_sharding, minhash, mixing, quality
 from seriesloom.llm.common import store
+from seriesloom.session import ship
 
 #: SQL can't express the covariance estimate, the Newton steps or the tree; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -26,11 +27,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates."""
+    ship(spark)
     return minhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    ship(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
