@@ -4,8 +4,9 @@
    BANDS * ROWS minima.  Equal texts form a class, represented by its smallest document.
 2. Classes that agree in all minima of a band share a bucket.  A bucket first pairs its members with
    two hubs only, its smallest and its largest member.  Members that a verified link puts into one component
-   need no further pair; only members of one bucket that are still apart are then paired with each other.  So
-   a large group of near copies costs pairs in proportion to its size, and no link between components is lost.
+   need no further look.  A bucket that still holds several components is looked through in blocks of about BLOCK
+   members: a task compares the members of two blocks that are in different components and hands on links only.  So
+   a large group of near copies gives rows in proportion to its size, and no link between components is lost.
 3. A pair's signatures are compared BATCH minima at a time.  With m of n equal and a uniform prior, the
    pair is dropped once the posterior chance of a similarity at the threshold is under ``miss``.
 4. Survivors are verified on their full shingle sets.
@@ -35,6 +36,8 @@ BATCH = 40
 MISS = 1e-6
 #: The threshold is PERCENT hundredths.
 PERCENT = 75
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 64
 #: Document ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Distinct words whose hashes a worker keeps.
@@ -185,6 +188,62 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def links_apart(apart: DataFrame, texts: DataFrame, bands: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """Links (a, b) between members of apart(bucket, rep, component, block) that share a bucket but no component.
+
+    A pair is looked at in the first bucket that it shares.  Signatures are made again from the words and
+    compared batch by batch, as in ``likely``; survivors are verified on their sets.
+    """
+    least = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, memo = WordHashes(), {}
+
+        def load(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+            sets, sigs = [], []
+            for r in rows:
+                key = (r["rep"], len(r["words"]))
+                if key not in memo:
+                    if len(memo) > 4 * BLOCK:
+                        memo.clear()
+                    found = shingles(r["words"].split(), hashes)
+                    memo[key] = (found, signature(found).astype(np.uint16))
+                sets.append(memo[key][0])
+                sigs.append(memo[key][1])
+            return np.array([r["rep"] for r in rows]), np.array([r["component"] for r in rows]), np.array([r["bands"] for r in rows]), sets, np.array(sigs)
+
+        for batch in batches:
+            a, b = [], []
+            for i in range(batch.num_rows):
+                bucket, x, y = (batch.column(k)[i].as_py() for k in range(3))
+                (xr, xc, xb, xs, xg), (yr, yc, yb, ys, yg) = load(x), load(y)
+                sizes = np.array([len(s) for s in xs])[:, None], np.array([len(s) for s in ys])[None, :]
+                live = (xc[:, None] != yc[None, :]) & (xr[:, None] != yr[None, :]) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
+                same = xb[:, None, :] == yb[None, :, :]
+                band = (xb[0] == bucket).argmax()
+                live &= same.argmax(axis=2) == band
+                p, q = np.nonzero(live)
+                equal = np.zeros(len(p), np.int64)
+                for n, fewest in least:
+                    equal += (xg[p, n - BATCH : n] == yg[q, n - BATCH : n]).sum(axis=1)
+                    keep = equal >= fewest
+                    p, q, equal = p[keep], q[keep], equal[keep]
+                for j, k in zip(p.tolist(), q.tolist(), strict=True):
+                    both = len(np.intersect1d(xs[j], ys[k], assume_unique=True))
+                    if 100 * both >= percent * (len(xs[j]) + len(ys[k]) - both):
+                        a.append(min(int(xr[j]), int(yr[k])))
+                        b.append(max(int(xr[j]), int(yr[k])))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    one = F.struct("rep", "component", "words", "bands")
+    full = apart.join(texts, "rep").join(bands, "rep").groupBy("bucket", "block").agg(F.collect_list(one).alias("rows"), F.min("component").alias("least"), F.max("component").alias("most"))
+    full = store(full, "minhash-blocks")
+    x, y = full.alias("x"), full.alias("y")
+    alike = (F.col("x.least") == F.col("x.most")) & (F.col("y.least") == F.col("y.most")) & (F.col("x.least") == F.col("y.least"))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")) & ~alike)
+    return pairs.select("x.bucket", F.col("x.rows").alias("x"), F.col("y.rows").alias("y")).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text).
 
@@ -198,30 +257,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = store(classes.where("rep IS NOT NULL"), "minhash-classes")
     sigs = classes.select("rep", "sig")
 
-    members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    members = classes.select(F.explode("bands").alias("bucket"), "rep")
     buckets = store(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("k > 1 AND low < high"), "minhash-buckets")
-    members = store(members.join(buckets, "bucket").select("bucket", "rep", "n", "low", "high"), "minhash-members")
-    sizes = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+    members = store(members.join(buckets, "bucket").select("bucket", "rep", "low", "high"), "minhash-members")
+    # Whole texts of all classes that share a bucket, read once.
+    texts = texts_of(docs, classes, members.select("rep"))
+    check = lambda pairs: store(verified(store(likely(pairs, sigs), "minhash-likely"), texts), "minhash-links")
 
     hubs = members.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(members.select(F.col("rep").alias("a"), F.col("high").alias("b")))
-    pairs = store(hubs.where("a < b").distinct(), "minhash-pairs")
-    pairs = store(likely(pairs, sigs), "minhash-likely")
-    texts = texts_of(docs, classes, pairs.select("a").union(pairs.select("b")).toDF("rep"))
-    links = store(verified(pairs, texts), "minhash-links")
+    links = check(store(hubs.where("a < b").distinct(), "minhash-pairs"))
     found = components(links)
-
-    # Members of one bucket that are still apart: all of them meet, but for the pairs with hubs, which are known.
     named = members.join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    rest = named.where("rep <> low AND rep <> high").select("bucket", "rep", "n", "component")
-    rest = store(rest.join(store(mixed, "minhash-mixed"), "bucket"), "minhash-apart")
-    more = rest.alias("x").join(rest.alias("y"), F.col("x.bucket") == F.col("y.bucket"))
-    more = more.where((F.col("x.component") != F.col("y.component")) & (F.col("x.rep") < F.col("y.rep")) & sizes(F.col("x.n"), F.col("y.n")))
-    more = store(likely(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), sigs), "minhash-likely")
-    if more.limit(1).count():
-        texts = texts_of(docs, classes, more.select("a").union(more.select("b")).toDF("rep"))
-        links = links.union(store(verified(more, texts), "minhash-links"))
-        found = components(links)
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("least < most")
+    apart = named.join(store(mixed.select("bucket", "blocks"), "minhash-mixed"), "bucket").select("bucket", "rep", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
+    new = store(links_apart(apart, texts, classes.select("rep", "bands")), "minhash-links")
+    if new.limit(1).count():
+        found = components(links.union(new))
 
     named = classes.select("digest", "rep").join(found.toDF("rep", "component"), "rep", "left")
     # One class has one component; two texts under one doc_id share it.
