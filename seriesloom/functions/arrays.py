@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: inside a lambda it would be worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -16,14 +23,13 @@ def mean(v: Column) -> Column:
 
 def std_pop(v: Column) -> Column:
     """Population standard deviation, by deviations from the mean."""
-    m = mean(v)
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v))
+    return let(mean(v), lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v)))
 
 
 def z_norm(v: Column) -> Column:
     """(x - mean) / std; a flat array becomes zeros."""
-    m, s = mean(v), std_pop(v)
-    return F.transform(v, lambda x: (x - m) / F.when(s == 0, F.lit(1.0)).otherwise(s))
+    moments = F.struct(mean(v).alias("m"), F.coalesce(F.nullif(std_pop(v), F.lit(0.0)), F.lit(1.0)).alias("s"))
+    return let(moments, lambda k: F.transform(v, lambda x: (x - k["m"]) / k["s"]))
 
 
 def squared(x: Column, y: Column) -> Column:

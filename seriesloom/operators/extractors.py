@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .distance import candidates, min_distances
 from .metrics import order_line, scores
@@ -404,6 +403,3 @@ def extractor(method: object) -> object:
         raise TypeError("an extractor needs extract(series, k)")
     return method
 
-
-#: Schema of what extractors return.
-SHAPELETS = T.StructType.fromDDL("cand_id bigint, series_id bigint, start_idx int, length int, values array<double>, score double, gap double, tau double")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.order_lines import SCORES
 
 
-def order_line(dist: DataFrame, digits: int = 6) -> DataFrame:
-    """dm(cand, dist, label) of min_distances' rows, rounded so that equal distances are equal."""
+def order_line(dist: DataFrame, digits: int = 5) -> DataFrame:
+    """dm(cand, dist, label) of min_distances' rows, rounded so that equal distances are equal and thresholds, means of two, have one digit more."""
     return dist.select(F.col("cand_id").alias("cand"), F.round("dist", digits).alias("dist"), "label")
 
 

@@ -25,10 +25,10 @@ def _dist(normalize: bool = True, step: int = 16) -> str:
     over = "4" if normalize else "1"
     return f"""{_S}, {_cands(step)},
 zq AS (SELECT cand_id, series_id AS source, start_idx, {zq} AS z FROM q), zw AS (SELECT series_id, label, p, {zw} AS z FROM w),
-d AS (SELECT cand_id, zw.series_id, label, min({{'d': round(list_distance(zq.z, zw.z) / {over}, 9), 'p': p}}) AS b FROM zq, zw GROUP BY ALL)"""
+d AS (SELECT cand_id, zw.series_id, label, min(list_distance(zq.z, zw.z) / {over}) AS r, min({{'d': round(list_distance(zq.z, zw.z) / {over}, 9), 'p': p}}) AS b FROM zq, zw GROUP BY ALL)"""
 
 
-_DM = _dist() + ", dm AS (SELECT cand_id AS cand, round(b.d, 6) AS dist, label FROM d)"
+_DM = _dist() + ", dm AS (SELECT cand_id AS cand, round(r, 5) AS dist, label FROM d)"
 
 
 def _score(metric: str) -> str:
@@ -79,11 +79,11 @@ ORACLES: dict[str, str] = {
     "centroid_distance": f"""WITH {_CENTER}, d AS (SELECT series_id, list_distance(v, c) AS d, (list_dot_product(v, c) / len(v) - list_avg(v) * list_avg(c)) / (list_stddev_pop(v) * list_stddev_pop(c)) AS r FROM s JOIN cv USING (label))
 SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS rho, round(sqrt(greatest(0, 2 * (1 - r))), 6) AS pearson_dist FROM d""",
     "prefix_sums": f"WITH {_S}, {_P} SELECT series_id, CAST(t AS INTEGER) AS t, round(sum(x) OVER w, 6) AS s_x, round(sum(x * x) OVER w, 6) AS s_x2 FROM pt WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING)",
-    "sdist_matrix": f"WITH {_dist()} SELECT cand_id, series_id, round(b.d, 6) AS dist FROM d",
+    "sdist_matrix": f"WITH {_dist()} SELECT cand_id, series_id, round(r, 6) AS dist FROM d",
     "sdist_positions": f"WITH {_dist()} SELECT cand_id, series_id, b.p AS pos FROM d",
-    "transform_raw": f"WITH {_dist(False)} SELECT cand_id, series_id, round(b.d, 6) AS dist FROM d",
-    "mean_square_min": f"WITH {_dist(False)} SELECT cand_id, series_id, round(b.d * b.d / 16, 6) AS dist FROM d",
-    "transform_features": f"WITH {_dist(False)} SELECT series_id, label, list(round(b.d, 6) ORDER BY cand_id) AS features FROM d GROUP BY 1, 2",
+    "transform_raw": f"WITH {_dist(False)} SELECT cand_id, series_id, round(r, 6) AS dist FROM d",
+    "mean_square_min": f"WITH {_dist(False)} SELECT cand_id, series_id, round(r * r / 16, 6) AS dist FROM d",
+    "transform_features": f"WITH {_dist(False)} SELECT series_id, label, list(round(r, 6) ORDER BY cand_id) AS features FROM d GROUP BY 1, 2",
     "order_line_classes": f"WITH {_DM} SELECT cand, label, count(*) AS n, min(dist) AS nearest, max(dist) AS farthest FROM dm GROUP BY 1, 2",
     "ig_scores": _score("ig"),
     "f_scores": _score("f"),
