@@ -98,7 +98,7 @@ class _Reader:
         took = self.zip.unconsumed_tail
         if not took:
             took = bytes(self.data[self.at : self.at + CHUNK])
-            self.at += CHUNK
+            self.at += len(took)
         self.buffer += self.zip.decompress(took, 4 * CHUNK)
         if self.zip.eof:
             self.at -= len(self.zip.unused_data)
