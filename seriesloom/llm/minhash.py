@@ -41,7 +41,7 @@ BLOCK = 64
 #: Document ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Distinct words whose hashes a worker keeps.
-MEMO = 500_000
+MEMO = 200_000
 
 _rng = np.random.default_rng(20_240_101)
 _MULTIPLY = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -188,36 +188,34 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links_apart(apart: DataFrame, texts: DataFrame, bands: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+def links_apart(apart: DataFrame, texts: DataFrame, classes: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """Links (a, b) between members of apart(bucket, rep, component, block) that share a bucket but no component.
 
-    A pair is looked at in the first bucket that it shares.  Signatures are made again from the words and
-    compared batch by batch, as in ``likely``; survivors are verified on their sets.
+    A pair is looked at in the first bucket that it shares.  Signatures are compared batch by batch, as in ``likely``; survivors are verified on their sets.
     """
     least = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, memo = WordHashes(), {}
 
-        def load(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-            sets, sigs = [], []
-            for r in rows:
-                key = (r["rep"], len(r["words"]))
-                if key not in memo:
-                    if len(memo) > 4 * BLOCK:
-                        memo.clear()
-                    found = shingles(r["words"].split(), hashes)
-                    memo[key] = (found, signature(found).astype(np.uint16))
-                sets.append(memo[key][0])
-                sigs.append(memo[key][1])
-            return np.array([r["rep"] for r in rows]), np.array([r["component"] for r in rows]), np.array([r["bands"] for r in rows]), sets, np.array(sigs)
+        def found(row: dict) -> np.ndarray:
+            key = (row["rep"], len(row["words"]))
+            if key not in memo:
+                if len(memo) > 8 * BLOCK:
+                    memo.clear()
+                memo[key] = shingles(row["words"].split(), hashes)
+            return memo[key]
+
+        def load(rows: list[dict]) -> tuple[np.ndarray, ...]:
+            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), -1)
+            return *(np.array([r[k] for r in rows]) for k in ("rep", "component", "bands", "n")), sigs
 
         for batch in batches:
             a, b = [], []
             for i in range(batch.num_rows):
                 bucket, x, y = (batch.column(k)[i].as_py() for k in range(3))
-                (xr, xc, xb, xs, xg), (yr, yc, yb, ys, yg) = load(x), load(y)
-                sizes = np.array([len(s) for s in xs])[:, None], np.array([len(s) for s in ys])[None, :]
+                (xr, xc, xb, xn, xg), (yr, yc, yb, yn, yg) = load(x), load(y)
+                sizes = xn[:, None], yn[None, :]
                 live = (xc[:, None] != yc[None, :]) & (xr[:, None] != yr[None, :]) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
                 same = xb[:, None, :] == yb[None, :, :]
                 band = (xb[0] == bucket).argmax()
@@ -229,14 +227,15 @@ def links_apart(apart: DataFrame, texts: DataFrame, bands: DataFrame, percent: i
                     keep = equal >= fewest
                     p, q, equal = p[keep], q[keep], equal[keep]
                 for j, k in zip(p.tolist(), q.tolist(), strict=True):
-                    both = len(np.intersect1d(xs[j], ys[k], assume_unique=True))
-                    if 100 * both >= percent * (len(xs[j]) + len(ys[k]) - both):
+                    one, two = found(x[j]), found(y[k])
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(two) - both):
                         a.append(min(int(xr[j]), int(yr[k])))
                         b.append(max(int(xr[j]), int(yr[k])))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    one = F.struct("rep", "component", "words", "bands")
-    full = apart.join(texts, "rep").join(bands, "rep").groupBy("bucket", "block").agg(F.collect_list(one).alias("rows"), F.min("component").alias("least"), F.max("component").alias("most"))
+    one = F.struct("rep", "component", "n", "words", "sig", "bands")
+    full = apart.join(texts, "rep").join(classes.select("rep", "n", "sig", "bands"), "rep").groupBy("bucket", "block").agg(F.collect_list(one).alias("rows"), F.min("component").alias("least"), F.max("component").alias("most"))
     full = store(full, "minhash-blocks")
     x, y = full.alias("x"), full.alias("y")
     alike = (F.col("x.least") == F.col("x.most")) & (F.col("y.least") == F.col("y.most")) & (F.col("x.least") == F.col("y.least"))
@@ -270,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = members.join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("least < most")
     apart = named.join(store(mixed.select("bucket", "blocks"), "minhash-mixed"), "bucket").select("bucket", "rep", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
-    new = store(links_apart(apart, texts, classes.select("rep", "bands")), "minhash-links")
+    new = store(links_apart(apart, texts, classes), "minhash-links")
     if new.limit(1).count():
         found = components(links.union(new))
 
