@@ -60,7 +60,8 @@ class Encoder:
 
     This vocabulary's rules drop white space, never join pieces across it, and cut between a letter and the
     ASCII signs after it, so a text's ids are those of its pieces between ASCII white space, and a piece's those of
-    its stem and of the signs at its end.  Arrow cuts a batch of texts and finds its distinct pieces.  The library
+    its stem and of the signs at its end.  A letter whose normal form ends in a combining mark is no such letter: the
+    mark and the signs are one piece, and the library encodes the whole.  Arrow cuts a batch of texts and finds its distinct pieces.  The library
     encodes each new stem once (many at a time, with a sign between that no stem of letters holds); it is then
     remembered.  Texts that may hold a special token's name go to the library whole.
     """
@@ -74,10 +75,19 @@ class Encoder:
         self.memo: dict[str, bytes] = {"": b""}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.apart: dict[str, bool] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
+    def _stands_apart(self, last: str) -> bool:
+        """Whether a sign after this character begins a piece of its own; of others than ASCII the library is asked once."""
+        if last.isascii():
+            return last.isalnum()
+        if last not in self.apart:
+            self.apart[last] = last.isalnum() and np.array_equal(self._ids(last + ","), np.concatenate((self._ids(last), self._ids(","))))
+        return self.apart[last]
+
     def _learn_stems(self, stems: list[str]) -> None:
         letters = [s for s in stems if s.isalpha()] if len(self.mark) == 1 else []
         width = self.dtype.itemsize
@@ -99,8 +109,8 @@ class Encoder:
         for piece in pieces:
             if piece[-1] in signs:
                 stem = piece.rstrip(signs)
-                # What is before the signs must end in a letter or digit, else they may belong to a longer run.
-                if stem and stem[-1].isalnum():
+                # What is before the signs must end in a letter or digit, in its normal form too, else they may belong to a longer run.
+                if stem and self._stands_apart(stem[-1]):
                     cut.append((piece, stem, piece[len(stem) :]))
                     stems += (stem, piece[len(stem) :])
                     continue

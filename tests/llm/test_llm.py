@@ -288,6 +288,22 @@ def test_token_files(spark, docs, empty, tmp_path):
         token_files.write(docs, "hdfs://x/y")
 
 
+def test_token_ids_of_letters_that_normalise_to_a_mark():
+    import sys
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer()
+    library, encoder = Tokenizer.from_file(path), token_files.Encoder(path, "<u2")
+    texts = ["YEN\u0130, Ye\u0130: \u0130! \u0130 TAR\u0130H.", "\u092a\u095d, \u0921\u095c? \u09af\u09df... x\u0958|", "\u00c9T\u00c9, \u0434\u0430; \u4e2d! \u0663. \u03a3\u03a3,"]
+    # Every letter and digit there is, before a sign.
+    texts += [f"{c}, A{c}!?" for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum()]
+    ids, counts = encoder(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 def test_line_dedup(spark, docs, empty):
     line = text(50, 30, 999).strip()
     edited = line.replace(line.split()[29], "other")
