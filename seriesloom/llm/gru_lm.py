@@ -10,9 +10,8 @@ frequency, times one over the class's symbols, gives the next one.  Biases start
 counts, so that training starts from the unigram model.
 
 Training.  Two rounds; each training document is in one of them.  In a round every partition runs truncated
-backpropagation (windows of STEPS symbols, state carried on; the state runs over every window, the
-gradient is taken of one window in EVERY) from the same parameters, and the results are averaged, weighted by
-symbols, in a tree of groups of FAN partitions.
+backpropagation (windows of STEPS symbols, state carried on; the gradient is taken of every window) from the same
+parameters, and the results are averaged, weighted by symbols, in a tree of groups of FAN partitions.
 
 Scoring.  A partition's documents advance side by side, longest first; each keeps its state from its first word to
 its end.  Counts of HEAD frequent words are broadcast (a bounded table); rarer words are joined by a shuffle.
@@ -42,7 +41,9 @@ SYMBOLS = 4096
 TAIL = 64
 #: Words whose counts are broadcast at most.
 HEAD = 1 << 18
-STEPS, STREAMS, EVERY = 32, 512, 4
+STEPS, STREAMS = 32, 512
+#: Symbols whose probabilities are worked out at once: they stay in a core's cache.
+ROWS = 2048
 RATE = 0.02
 #: One training document in FIRST is in the first round.
 FIRST = 8
@@ -196,11 +197,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - top), its sum by row, and top: the largest of all, or of each row where that would leave a row nothing."""
+    ones = np.ones(x.shape[1], x.dtype)
+    top = x.max()
+    e = np.exp(x - top)
+    sums = e @ ones
+    if not sums.min() > 1e-20:
+        top = x.max(axis=1)
+        e = np.exp(x - top[:, None])
+        sums = e @ ones
+    return e, sums, top
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    e, sums, _ = _exps(x)
+    e *= (1 / sums)[:, None]
+    return e
 
 
 def step(p: Params, xw: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -211,80 +224,94 @@ def step(p: Params, xw: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _by_class(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    c = y // CLASS
+    c = (y // CLASS).astype(np.int16)
     order = np.argsort(c, kind="stable")
     ends = np.flatnonzero(np.diff(c[order], append=-1)) + 1
     at = 0
     for end in ends:
-        yield int(c[order[at]]), order[at:end]
+        own = int(c[order[at]])
+        for i in range(at, end, ROWS):
+            yield own, order[i : min(i + ROWS, end)]
         at = end
 
 
 def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of symbols y after states h."""
-    x = h @ p["wc"]
-    x += p["bc"]
-    top = x.max(axis=1)
-    out = x[np.arange(len(y)), y // CLASS] - top
-    x -= top[:, None]
-    out -= np.log(np.exp(x, out=x).sum(axis=1))
+    out = np.empty(len(y), h.dtype)
+
+    def own(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        _, sums, top = _exps(x)
+        return x[np.arange(len(k)), k] - top - np.log(sums)
+
+    for at in range(0, len(y), ROWS):
+        part = slice(at, at + ROWS)
+        out[part] = own(h[part] @ p["wc"] + p["bc"], y[part] // CLASS)
     for c, rows in _by_class(y):
-        x = h[rows] @ p["wo"][c]
-        x += p["bo"][c]
-        top = x.max(axis=1)
-        own = x[np.arange(len(rows)), y[rows] % CLASS] - top
-        x -= top[:, None]
-        out[rows] += own - np.log(np.exp(x, out=x).sum(axis=1))
+        out[rows] += own(h[rows] @ p["wo"][c] + p["bo"][c], y[rows] % CLASS)
     return out
 
 
 def gradient(p: Params, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
     """Mean gradient over the live symbols of one window (steps, streams), and the last state."""
     steps, n = x.shape
-    e = p["emb"][x.ravel()]
-    xw = (e @ p["w"] + p["b"]).reshape(steps, n, 3 * HIDDEN)
-    hs, zs, rs, news, hns = [h], [], [], [], []
+    e = p["emb"][x]
+    # Numbers of a step lie by feature, then stream: the gates are contiguous.
+    xw = p["w"].T @ e.transpose(0, 2, 1) + p["b"][:, None]
+    ut = np.ascontiguousarray(p["u"].T)
+    hs = np.empty((steps + 1, HIDDEN, n), xw.dtype)
+    hs[0] = h.T
+    gates, news, hns = np.empty((steps, 2 * HIDDEN, n), xw.dtype), np.empty((steps, HIDDEN, n), xw.dtype), np.empty((steps, HIDDEN, n), xw.dtype)
     for t in range(steps):
-        hu = h @ p["u"]
-        gates = _sigmoid(xw[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-        z, r, hn = gates[:, :HIDDEN], gates[:, HIDDEN:], hu[:, 2 * HIDDEN :]
-        new = np.tanh(xw[t, :, 2 * HIDDEN :] + r * hn)
-        h = new + z * (h - new)
-        for kept, value in zip((hs, zs, rs, news, hns), (h, z, r, new, hn), strict=True):
-            kept.append(value)
+        hu = ut @ hs[t]
+        hns[t] = hu[2 * HIDDEN :]
+        gates[t] = _sigmoid(xw[t, : 2 * HIDDEN] + hu[: 2 * HIDDEN])
+        new = np.tanh(xw[t, 2 * HIDDEN :] + gates[t, HIDDEN:] * hns[t], out=news[t])
+        np.add(new, gates[t, :HIDDEN] * (hs[t] - new), out=hs[t + 1])
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    states = np.stack(hs[1:]).reshape(-1, HIDDEN)
+    states = hs[1:].transpose(0, 2, 1).reshape(-1, HIDDEN)
     at = np.flatnonzero(live.ravel())
     s, target, scale = states[at], y.ravel()[at], np.float32(1 / max(1, len(at)))
-    d = _softmax(s @ p["wc"] + p["bc"])
-    d[np.arange(len(at)), target // CLASS] -= 1
-    d *= scale
-    g["wc"], g["bc"] = s.T @ d, d.sum(axis=0)
-    ds = d @ p["wc"].T
+    ds = np.empty_like(s)
+    wct = np.ascontiguousarray(p["wc"].T)
+    for i in range(0, len(at), ROWS):
+        part, own = s[i : i + ROWS], target[i : i + ROWS]
+        d = _softmax(part @ p["wc"] + p["bc"])
+        d[np.arange(len(own)), own // CLASS] -= 1
+        d *= scale
+        g["wc"] += part.T @ d
+        g["bc"] += d.sum(axis=0)
+        ds[i : i + ROWS] = d @ wct
     for c, rows in _by_class(target):
-        d = _softmax(s[rows] @ p["wo"][c] + p["bo"][c])
+        part = s[rows]
+        d = _softmax(part @ p["wo"][c] + p["bo"][c])
         d[np.arange(len(rows)), target[rows] % CLASS] -= 1
         d *= scale
-        g["wo"][c], g["bo"][c] = s[rows].T @ d, d.sum(axis=0)
+        g["wo"][c] += part.T @ d
+        g["bo"][c] += d.sum(axis=0)
         ds[rows] += d @ p["wo"][c].T
     dstates = np.zeros_like(states)
     dstates[at] = ds
-    dstates = dstates.reshape(steps, n, HIDDEN)
-    dxw, dh = np.empty_like(xw), np.zeros((n, HIDDEN), np.float32)
+    dstates = np.ascontiguousarray(dstates.reshape(steps, n, HIDDEN).transpose(0, 2, 1))
+    z, r, before = gates[:, :HIDDEN], gates[:, HIDDEN:], hs[:-1]
+    by_z, by_new = (before - news) * z * (1 - z), (1 - z) * (1 - news * news)
+    by_r = hns * r * (1 - r)
+    dxw, dhu, dh = np.empty_like(xw), np.empty_like(xw), np.zeros((HIDDEN, n), xw.dtype)
     for t in reversed(range(steps)):
         dh += dstates[t]
-        z, r, new, before = zs[t], rs[t], news[t], hs[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * hns[t] * r * (1 - r)
-        dxw[t, :, :HIDDEN], dxw[t, :, HIDDEN : 2 * HIDDEN], dxw[t, :, 2 * HIDDEN :] = dz, dr, dnew
-        dhu = np.concatenate((dz, dr, dnew * r), axis=1)
-        g["u"] += before.T @ dhu
-        dh = dh * z + dhu @ p["u"].T
-    dxw = dxw.reshape(-1, 3 * HIDDEN)
-    g["w"], g["b"] = e.T @ dxw, dxw.sum(axis=0)
-    np.add.at(g["emb"], x.ravel(), dxw @ p["w"].T)
-    return g, h
+        dnew = np.multiply(dh, by_new[t], out=dxw[t, 2 * HIDDEN :])
+        np.multiply(dh, by_z[t], out=dhu[t, :HIDDEN])
+        np.multiply(dnew, by_r[t], out=dhu[t, HIDDEN : 2 * HIDDEN])
+        np.multiply(dnew, r[t], out=dhu[t, 2 * HIDDEN :])
+        dh = dh * z[t] + p["u"] @ dhu[t]
+    dxw[:, : 2 * HIDDEN] = dhu[:, : 2 * HIDDEN]
+    g["u"] = (before @ dhu.transpose(0, 2, 1)).sum(axis=0)
+    g["w"], g["b"] = (e.transpose(0, 2, 1) @ dxw.transpose(0, 2, 1)).sum(axis=0), dxw.sum(axis=(0, 2))
+    de = (p["w"] @ dxw).transpose(0, 2, 1).reshape(-1, EMBED)
+    flat = x.ravel().astype(np.int16)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    g["emb"][flat[order[first]]] = np.add.reduceat(de[order], first, axis=0)
+    return g, hs[-1].T
 
 
 class Adam:
@@ -320,17 +347,11 @@ def train(p: Params, docs: list[np.ndarray], adam: Adam) -> None:
         group = groups[k]
         lengths = np.array([len(d) for d in group])
         h = np.zeros((len(group), HIDDEN), np.float32)
-        for turn, at in enumerate(range(0, int(lengths[0]), STEPS)):
+        for at in range(0, int(lengths[0]), STEPS):
             n = int((lengths > at).sum())
             x, y, live = _window(group[:n], lengths[:n], at, min(STEPS, int(lengths[0]) - at))
-            if (turn + k) % EVERY == 0:
-                g, h = gradient(p, x, y, live, h[:n])
-                adam(p, g)
-            else:
-                h = h[:n]
-                xw = (p["emb"] @ p["w"] + p["b"])[x]
-                for t in range(len(x)):
-                    h = step(p, xw[t], h)
+            g, h = gradient(p, x, y, live, h[:n])
+            adam(p, g)
 
 
 def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:

@@ -268,6 +268,20 @@ def test_language_model_carries_state_and_learns(spark):
     assert math.isclose(one, total, rel_tol=1e-4)
 
 
+def test_language_model_learns_from_every_window(monkeypatch):
+    rng, seen, gradient = np.random.default_rng(3), [], gru_lm.gradient
+
+    def watched(p, x, y, live, h):
+        seen.append(y[live])
+        return gradient(p, x, y, live, h)
+
+    monkeypatch.setattr(gru_lm, "gradient", watched)
+    docs = [rng.integers(0, 100, n) for n in [*rng.integers(1, 30, 1100).tolist(), 32, 33, 150, 200]]
+    p = gru_lm.start_params(np.ones(100))
+    gru_lm.train(p, docs, gru_lm.Adam(p))
+    assert Counter(np.concatenate(seen).tolist()) == Counter(np.concatenate(docs).tolist())
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
