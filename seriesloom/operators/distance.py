@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -20,15 +20,28 @@ from ..functions import arrays as A
 BLOCK_VALUES, WINDOW_VALUES = 1 << 21, 1 << 22
 
 
+def window_ids(series: DataFrame, length: Column | str, start: Column | str) -> Column:
+    """A number for each window of series(series_id, v): series_id, length and start, in fields that hold the longest series.
+
+    Fields have three digits for series of under 1000 points, else as many as the longest one needs.
+    """
+    r = series.agg(F.max(F.size("v")).alias("longest"), F.min("series_id").cast("long").alias("least"), F.max("series_id").cast("long").alias("most")).first()
+    base = max(1_000, 10 ** len(str(max(0, r.longest or 0))))
+    if (max(abs(r.least or 0), abs(r.most or 0)) + 1) * base * base >= 1 << 63:
+        raise ValueError(f"windows of series of {r.longest} points and series_id up to {r.most} can't be numbered in 64 bits")
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return (F.col("series_id").cast("long") * F.lit(base * base).cast("long") + col(length).cast("long") * base + col(start)).cast("long")
+
+
 def candidates(series: DataFrame, lengths: range | tuple[int, ...], step: int = 1) -> DataFrame:
     """(cand_id, series_id, start_idx, length, values): windows of the lengths at every step-th start.
 
-    cand_id numbers the windows: series_id * 10^6 + length * 10^3 + start, for series of under 1000 points.
+    cand_id numbers the windows (window_ids).
     """
     at = F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length")
     rows = series.select("series_id", "v", at).where(F.size("v") >= F.col("length"))
     rows = rows.select("series_id", "v", "length", F.explode(F.sequence(F.lit(0), F.size("v") - F.col("length"), F.lit(step))).alias("start_idx"))
-    cand = (F.col("series_id") * 1_000_000 + F.col("length") * 1_000 + F.col("start_idx")).cast("long")
+    cand = window_ids(series, "length", "start_idx")
     return rows.select(cand.alias("cand_id"), "series_id", "start_idx", "length", F.slice("v", F.col("start_idx") + 1, F.col("length")).alias("values"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .distance import window_ids
 
 
 def breakpoints(alphabet: int) -> list[float]:
@@ -91,7 +92,7 @@ def sax_candidates(series: DataFrame, lengths: tuple[int, ...], parts: int = 8,
     for length in lengths:
         best = top_windows(power(series, words(series, length, parts, alphabet), masks), per_length)
         rows = best.join(series.select("series_id", "v"), "series_id")
-        cand = (F.col("series_id") * 1_000_000 + length * 1_000 + F.col("pos")).cast("long")
+        cand = window_ids(series, F.lit(length), "pos")
         rows = rows.select(cand.alias("cand_id"), "series_id", F.col("pos").alias("start_idx"), F.lit(length).alias("length"), F.slice("v", F.col("pos") + 1, length).alias("values"))
         out = rows if out is None else out.unionAll(rows)
     return out

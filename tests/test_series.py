@@ -43,6 +43,15 @@ def test_kernel_equals_expressions(spark, steps):
     assert a == b and len(a) == 4 * 7 * 4
 
 
+def test_ids_of_windows_of_long_series(spark):
+    rows = spark.createDataFrame([(i, i, [float(x % 7) for x in range(1003)]) for i in (1, 2)], "series_id long, label int, v array<double>")
+    got = candidates(rows, (2, 3, 1001, 1002)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cand_id").alias("d")).first()
+    assert got.n == got.d == 2 * (1002 + 1001 + 3 + 2)
+    assert sorted(r.cand_id for r in candidates(spark.createDataFrame([(5, 0, [1.0] * 17)], rows.schema), (16,)).collect()) == [5016000, 5016001]
+    with pytest.raises(ValueError):
+        candidates(rows.withColumn("series_id", F.lit(1 << 60)), (2,))
+
+
 def test_longer_candidate_changes_places_and_empty_series_give_no_row(spark):
     rows = spark.createDataFrame([(1, 0, [2.0, 4.0, 8.0]), (2, 0, []), (3, None, None)], "series_id long, label int, v array<double>")
     got = min_distances(rows, cand(spark, [1, 2, 4, 8, 5, 3])).collect()
