@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .distance import candidates, min_distances
@@ -19,9 +19,6 @@ from .metrics import order_line, scores
 from .profile import matrix_profile, motifs
 from .sax import random_masks, sax_candidates
 
-#: Top candidates that the overlap rule walks through, per series.
-KEPT = 1_000
-
 
 def rank(cands: DataFrame, series: DataFrame, metric: str = "ig", normalize: bool = True) -> DataFrame:
     """cands with score, gap and tau."""
@@ -35,19 +32,25 @@ def top(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def without_overlap(ranked: DataFrame, k: int) -> DataFrame:
-    """The k best of which none starts inside a better one of its series that was kept."""
-
-    def walk(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["score"] is None, -(r["score"] or 0), r["gap"] is None, -(r["gap"] or 0), r["length"], r["start_idx"]))
-        kept: list[dict] = []
-        for r in rows:
-            if not any(o["start_idx"] <= r["start_idx"] < o["start_idx"] + o["length"] for o in kept):
-                kept.append(r)
-        return pa.Table.from_pylist(kept[:k], table.schema)
-
-    order = Window.partitionBy("series_id").orderBy(F.col("score").desc_nulls_last(), F.col("gap").desc_nulls_last(), "length", "start_idx")
-    best = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= KEPT).drop("place")
-    return top(best.groupBy("series_id").applyInArrow(walk, best.schema), k)
+    """The k best of which none starts inside a better one of its series that was kept.
+
+    All windows of a series pass by in order, best first; a task holds the kept ones of one series, k at most.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, kept = object(), []
+        for batch in batches:
+            chosen = []
+            for i, (own, start, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("series_id", "start_idx", "length")), strict=True)):
+                if own != source:
+                    source, kept = own, []
+                if len(kept) < k and not any(a <= start < b for a, b in kept):
+                    kept.append((start, start + length))
+                    chosen.append(i)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    ordered = ranked.repartition("series_id").sortWithinPartitions("series_id", F.col("score").desc_nulls_last(), F.col("gap").desc_nulls_last(), "length", "start_idx")
+    return top(ordered.mapInArrow(walk, ranked.schema), k)
 
 
 @dataclass

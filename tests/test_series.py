@@ -144,6 +144,14 @@ def test_extractors_separate_sines(spark):
     assert evaluation.accuracy(DtwNeighbours(1).fit(rows).predict(rows)).first().accuracy == 1.0
 
 
+def test_overlaps_beyond_a_thousand_windows(spark):
+    # 3840 windows start inside the best one; the next two that don't are worse than all of them.
+    rows = [(0, 1, 0, 64, 2.0, 0.0)] + [(1 + i, 1, i % 64, 4 + i // 64, 1.0, 0.0) for i in range(3840)] + [(9000, 1, 64, 8, 0.5, 0.0), (9001, 1, 70, 8, 0.4, 0.0), (9002, 1, 72, 8, None, None), (9003, 2, 0, 8, 0.3, 0.0)]
+    ranked = spark.createDataFrame(rows, "cand_id long, series_id long, start_idx int, length int, score double, gap double")
+    assert [r.cand_id for r in without_overlap(ranked, 4).collect()] == [0, 9000, 9003, 9002]
+    assert [r.cand_id for r in without_overlap(ranked, 2).collect()] == [0, 9000]
+
+
 def test_constant_features(spark):
     rows = spark.createDataFrame([(i, i % 3, [8.94427191] * 3) for i in range(27)], "series_id long, label int, v array<double>")
     assert separability.davies_bouldin(rows).first().dbi == math.inf
