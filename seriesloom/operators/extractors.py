@@ -174,7 +174,8 @@ class Genetic:
 class Swarm:
     """Particles with a velocity towards their own best and the best of all, aligned at the best match where lengths differ.
 
-    vary_length: particles also gain or lose points, and follow the best of all of their length.
+    vary_length: particles also gain or lose points, and follow the best of all of their length (where a length has none
+    yet, the best of all).  What has been found stays as it was scored.
     """
 
     particles: int = 50
@@ -197,14 +198,24 @@ class Swarm:
         fit = _fitness(series, x, self.metric, True)
         own, own_fit = [p.copy() for p in x], fit.copy()
         best, still = int(np.argmax(own_fit)), 0
+        leaders: dict[int, tuple[float, np.ndarray]] = {}
+
+        def lead() -> None:
+            for f, p in zip(fit, x, strict=True):
+                if np.isfinite(f) and (len(p) not in leaders or f > leaders[len(p)][0]):
+                    leaders[len(p)] = float(f), p.copy()
+
+        lead()
         for _ in range(self.iterations):
             for i in range(len(x)):
                 if self.vary_length and rng.random() < self.change:
-                    x[i], v[i], own[i] = self._resize(rng, x[i], v[i], own[i])
-                pull = self._towards(x[i], own[i]) * rng.random(len(x[i])) + self._towards(x[i], own[best]) * rng.random(len(x[i]))
+                    x[i], v[i] = self._resize(rng, x[i], v[i])
+                goal = leaders[len(x[i])][1] if self.vary_length and len(x[i]) in leaders else own[best]
+                pull = self._towards(x[i], own[i]) * rng.random(len(x[i])) + self._towards(x[i], goal) * rng.random(len(x[i]))
                 v[i] = self.inertia * v[i] + np.clip(self.gain * pull, -self.speed, self.speed)
                 x[i] = x[i] + v[i]
             fit = _fitness(series, x, self.metric, True)
+            lead()
             before = own_fit[best]
             for i in np.flatnonzero(fit > own_fit):
                 own[i], own_fit[i] = x[i].copy(), fit[i]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import arrays as A
-from seriesloom.operators import evaluation, metrics, profile, sax, separability
+from seriesloom.operators import evaluation, extractors, metrics, profile, sax, separability
 from seriesloom.operators.blocks import dtw
 from seriesloom.operators.distance import candidates, features, min_distances, min_distances_declarative
 from seriesloom.operators.estimators import DtwNeighbours, ShapeletTree
@@ -152,6 +152,34 @@ def test_overlaps_beyond_a_thousand_windows(spark):
     assert [r.cand_id for r in without_overlap(ranked, 2).collect()] == [0, 9000]
 
 
+def test_swarm_of_lengths(monkeypatch):
+    scored, leaders, towards = [], {}, extractors.Swarm._towards
+
+    def fitness(series, arrays, metric, normalize):
+        fit = np.array([-abs(len(p) - 9) - float(p @ p) for p in arrays])
+        for f, p in zip(fit, arrays, strict=True):
+            scored.append((f, p.tobytes()))
+            if f > leaders.get(len(p), (-np.inf,))[0]:
+                leaders[len(p)] = f, p.tobytes()
+        return fit
+
+    goals = []
+
+    def watched(x, goal):
+        goals.append(len(x) not in leaders or goal.tobytes() == leaders[len(x)][1])
+        return towards(x, goal)
+
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(extractors, "_fitness", fitness)
+    monkeypatch.setattr(extractors, "sample_windows", lambda *a: [rng.normal(size=n) for n in (6, 9, 12, 9, 15, 7)])
+    monkeypatch.setattr(extractors, "_result", lambda series, arrays, *a: arrays)
+    monkeypatch.setattr(extractors.Swarm, "_towards", staticmethod(watched))
+    found = extractors.Swarm(particles=6, iterations=12, wait=12, min_len=5, max_len=16, vary_length=True).extract(None, 6)
+    # The best that was scored is the result, and every particle follows the best of its length.
+    assert found[0].tobytes() == max(scored)[1] and {p.tobytes() for p in found} <= {p for _, p in scored}
+    assert all(goals[1::2])
+
+
 def test_constant_features(spark):
     rows = spark.createDataFrame([(i, i % 3, [8.94427191] * 3) for i in range(27)], "series_id long, label int, v array<double>")
     assert separability.davies_bouldin(rows).first().dbi == math.inf
