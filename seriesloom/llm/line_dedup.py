@@ -4,54 +4,98 @@ A line's tokens are its distinct 5-word shingles, in lower case; a line of fewer
 equal words form a class, represented by its first line.  Classes with a Jaccard similarity of PERCENT hundredths
 or more are linked.
 
-* Rarity: tokens are counted over all lines in a table of 2^BITS counters, whose logarithms order the
+* Rarity: shingles are counted over all texts in a table of 2^BITS counters, whose logarithms order the
   tokens; a counter never gives less than a token's own count, so frequent tokens always come late.
+* Classes: lines are folded to classes, by combinable sums, before any token is spread; a line that occurs a billion
+  times is one class from here on.
 * Prefix: two linked classes share one of the first n - ceil(t n) + 1 tokens of the larger and of the first
-  n - ceil(2 t n / (1 + t)) + 1 tokens of the smaller.  Tokens that one class alone has in its prefix are left out
-  before any pair is made.
-* Length and position: a pair is made only if the sizes allow the similarity, and so do the tokens that follow
-  the shared one.
-* Verification: on the whole token sets of the classes that are in a pair.
+  n - ceil(2 t n / (1 + t)) + 1 tokens of the smaller.  Tokens that only one class has in its prefix are left out
+  before anything is compared.
+* Blocks: each class is put to the token that most classes share with it, and the classes of a token are cut into blocks of
+  about BLOCK_TOKENS tokens.  Two blocks are compared if some class of one and some class of the other share a prefix token, their
+  sizes allow the similarity (length), and so do the tokens that follow the shared one (position).
+* Verification: sets whose parities differ in too many bits can't be linked; the others are compared in full.  A row holds two blocks with the whole token sets of their classes and gives the links of each class.  So no row
+  is made for a pair of classes, and large groups of near copies make rows by blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, store
+from .common import SPACE, store
 
+#: What separates words within a line, the space first.
+BLANKS = " \t\x0b\x0c\r"
 SHINGLE = 5
 PERCENT = 75
 BITS = 16
-#: Document ids that are broadcast to pick the lines to verify; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: 64-bit words of the parities that a pair is compared by first.
+WORDS = 4
+#: Tokens of the classes in one block.
+BLOCK_TOKENS = 8_192
+#: Lines to verify that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_LINES = 500_000
+#: Classes that hold more than a HOT-th of all lines: fewer than HOT, so they are broadcast.
+HOT, SALTS = 1_000, 64
+
+
+def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, keep, line_no (from 0), norm (words in lower case, one space between), k1 and k2 (a hash of it) of every line with a word."""
+    line = docs.select("doc_id", *keep, F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
+    line = line.select("doc_id", *keep, "line_no", F.trim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
+    # Most lines have single spaces: finding that out is much cheaper than a replacement at every space.
+    odd = reduce(lambda a, b: a | b, [F.contains("line", F.lit(x)) for x in ("  ", *BLANKS[1:])])
+    norm = line.select("doc_id", *keep, "line_no", F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line")).alias("norm"))
+    return norm.select("*", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"))
+
+
+def _tokens(words: str = "words") -> Column:
+    """The distinct shingles of an array of words (fewer words: one token): three passes over neighbours hash two, three and five words."""
+    n = F.size(words)
+    hashed = lambda x, at: F.zip_with(x, F.slice(x, at, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    let = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
+    five = let(hashed(words, 2), lambda two: let(hashed(two, 2), lambda three: F.slice(hashed(three, 3), 1, n - SHINGLE + 1)))
+    return F.when(n < SHINGLE, F.array(F.xxhash64(words))).otherwise(F.array_distinct(five))
+
+
+def _shingle(words: str, at: Column) -> Column:
+    """The shingle that _tokens makes of the words from ``at`` on."""
+    two = [F.xxhash64(F.get(words, at + k), F.get(words, at + k + 1)) for k in range(SHINGLE - 1)]
+    return F.xxhash64(F.xxhash64(two[0], two[1]), F.xxhash64(two[2], two[3]))
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), k1, k2 (a hash of the words) and tokens (64-bit hashes) of every line with a word."""
-    line = docs.select("doc_id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
-    line = line.where(F.regexp_like("line", F.lit(WORD)))
-    words = F.array_remove(F.split(F.regexp_replace("line", r"[\x09-\x0D]", " "), " "), "")
-    hashed = line.select("doc_id", "line_no", F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
-    n = F.size("h")
-    shingle = lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(SHINGLE)])
-    tokens = F.when(n < SHINGLE, F.array(F.xxhash64("h"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), n - SHINGLE), shingle)))
-    return hashed.select("doc_id", "line_no", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), tokens.alias("tokens"))
+    """doc_id, line_no, k1, k2 and tokens (64-bit hashes) of every line with a word."""
+    return _keyed(docs).select("doc_id", "line_no", "k1", "k2", F.split("norm", " ").alias("words")).select("doc_id", "line_no", "k1", "k2", _tokens().alias("tokens"))
+
+
+def _bits() -> Column:
+    """WORDS 64-bit parities of ``tokens``: two sets differ in at least as many tokens as their parities do in bits."""
+    word = lambda k: F.filter("tokens", lambda t: F.shiftrightunsigned(t, 58).bitwiseAND(F.lit(WORDS - 1)) == k)
+    parity = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, 52).bitwiseAND(F.lit(63)).cast("int"))))
+    return F.array(*[parity(word(k)) for k in range(WORDS)])
 
 
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """A byte per counter: twice the logarithm to base 2 of its count, up to 127."""
-    # explode() would infer a filter on the size of tokens, which works them out once more, inside a lambda.
-    counts = lines.select(F.explode_outer("tokens").alias("token")).groupBy(_bucket(F.col("token")).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+def rarity(docs: DataFrame) -> list[int]:
+    """A level for each counter: twice the logarithm to base 2 of its count, up to 127.
+
+    Shingles that go over line ends are counted too: a counter may give more than a token's count, never less.
+    """
+    words = docs.select(F.split(F.lower("text"), SPACE).alias("w"))
+    # explode() would infer a filter on the size of its array, which cuts the text once more.
+    at = words.select("w", F.explode_outer(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("i"))
+    counts = at.groupBy(_bucket(_shingle("w", F.col("i"))).cast("int").alias("at")).agg(F.count("i").alias("n")).toArrow()
     table = np.zeros(1 << BITS)
     table[counts["at"].to_numpy()] = counts["n"].to_numpy()
-    return np.minimum(127, np.round(2 * np.log2(table + 1))).astype(np.uint8).tobytes()
+    return np.minimum(127, np.round(2 * np.log2(table + 1))).astype(int).tolist()
 
 
 def _at_least(share: float, n: Column) -> Column:
@@ -59,48 +103,106 @@ def _at_least(share: float, n: Column) -> Column:
     return F.ceil(F.lit(share) * n - 1e-9)
 
 
-def pairs_of(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs (a1, a2, b1, b2) from prefixes(token, k1, k2, n, at): all pairs that the filters allow."""
-    t = percent / 100
-    x, y = prefixes.alias("x"), prefixes.alias("y")
-    smaller = F.struct("x.n", "x.k1", "x.k2") < F.struct("y.n", "y.k1", "y.k2")
-    length = 100 * F.col("x.n") >= percent * F.col("y.n")
-    indexed = F.col("x.at") <= F.col("x.n") - _at_least(2 * t / (1 + t), F.col("x.n"))
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    position = rest >= _at_least(t / (1 + t), F.col("x.n") + F.col("y.n"))
-    both = x.join(y, F.col("x.token") == F.col("y.token")).where(smaller & length & indexed & position)
-    return both.select(F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2")).distinct()
-
-
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, links): lines(doc_id, line_no, k1, k2), classes(k1, k2, first, n), links(a1, a2, b1, b2), all links once."""
-    frequency = rarity(tokens_of(docs))
-    lines = tokens_of(docs)
-    level = lambda h: F.ascii(F.substring(F.lit(frequency), (_bucket(h) + 1).cast("int"), F.lit(1)).cast("string"))
-    ranked = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id, k1, k2, first (its first line: last, doc_id, line_no), lines, n and prefix (rarest tokens, null if n < 2) of every class."""
+    levels = F.split(F.lit(",".join(str(x << 56) for x in rarity(docs))), ",").cast("array<bigint>")
+    tokens = tokens_of(docs)
+    ranked = F.sort_array(F.transform("tokens", lambda h: levels[_bucket(h)].bitwiseOR(F.shiftrightunsigned(h, 8))))
     n = F.size("tokens")
-    width = n - _at_least(percent / 100, n).cast("int") + 1
-    rows = store(lines.select("doc_id", "line_no", "k1", "k2", n.alias("n"), F.when(n >= 2, F.slice(ranked, 1, width)).alias("prefix")), "lines")
+    rows = tokens.select("doc_id", "line_no", "k1", "k2", n.alias("n"), F.when(n >= 2, F.slice(ranked, 1, n - _at_least(percent / 100, n).cast("int") + 1)).alias("prefix"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")).alias("first")
-    classes = store(rows.groupBy("k1", "k2").agg(first, F.first("n").alias("n")), "line-classes")
-    spread = rows.where("prefix IS NOT NULL").select("k1", "k2", "n", F.posexplode("prefix").alias("at", "token"))
-    token = Window.partitionBy("token")
-    shared = spread.withColumn("low", F.min("k1").over(token)).withColumn("high", F.max("k1").over(token)).where("low <> high")
-    prefixes = store(shared.select("token", "k1", "k2", "n", "at").distinct(), "line-prefixes")
-    pairs = store(pairs_of(prefixes, percent), "line-pairs")
-
-    ends = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
-    wanted = store(classes.join(ends, ["k1", "k2"]).select("k1", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "line-wanted")
-    ids = wanted.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    held = docs.select("doc_id", "text").join(ids.withColumnRenamed("doc_id", "seriesloom_wanted_id"), F.col("doc_id").eqNullSafe(F.col("seriesloom_wanted_id")), "left_semi")
-    sets = tokens_of(held).join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "tokens")
-    sets = store(sets, "line-sets")
-    both = pairs.join(sets.toDF("a1", "a2", "a"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "b"), ["b1", "b2"])
-    common = F.size(F.array_intersect("a", "b"))
-    links = both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("a1", "a2", "b1", "b2")
-    return rows.select("doc_id", "line_no", "k1", "k2"), classes, store(links, "line-links")
+    classes = rows.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return store(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+
+
+def _may_link(a: Column, b: Column, t: float) -> Column:
+    """Whether a prefix token that a and b (structs n, id, at) share allows a link, a being the smaller one."""
+    smaller = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["id"] < b["id"]))
+    length = a["n"] >= t * b["n"] - 1e-9
+    indexed = a["at"] <= a["n"] - _at_least(2 * t / (1 + t), a["n"])
+    rest = F.least(a["n"] - a["at"], b["n"] - b["at"])
+    return smaller & length & indexed & (rest >= _at_least(t / (1 + t), a["n"] + b["n"]))
+
+
+def block_pairs(classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(placed, pairs): placed(id, home, part), the block of a class; pairs(x_home, x_part, y_home, y_part), all blocks to compare, each pair once."""
+    spread = classes.where("prefix IS NOT NULL").select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    counts = store(spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "line-tokens")
+    members = store(spread.join(counts, "token"), "line-members")
+    homes = members.groupBy("id").agg(F.max(F.struct("k", "token"))["token"].alias("home"), F.first("n").alias("n"))
+    homes = store(homes, "line-homes")
+    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    placed = store(homes.join(parts, "home").select("id", "home", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")), "line-placed")
+    held = members.join(placed, "id").groupBy("token", "home", "part").agg(F.collect_list(F.struct("n", "id", "at")).alias("held"))
+    held = store(held, "line-held")
+    x, y = (held.select("token", F.struct("home", "part").alias(k), F.col("held").alias(f"{k}_held")) for k in "xy")
+    some = F.exists("x_held", lambda a: F.exists("y_held", lambda b: _may_link(a, b, percent / 100)))
+    found = x.join(y, "token").where(some).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return placed, store(found.select(*[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "xy" for c in ("home", "part")]), "line-pairs")
+
+
+def _blocks(docs: DataFrame, classes: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """home, part and held (structs id, first, n, bits, tokens) of every block in a pair."""
+    wanted = pairs.select(F.col("x_home").alias("home"), F.col("x_part").alias("part")).union(pairs.select("y_home", "y_part")).distinct()
+    lines = placed.join(wanted, ["home", "part"]).join(classes.select("id", "k1", "k2", "first"), "id")
+    lines = store(lines.select("id", "home", "part", "k1", "k2", "first"), "line-wanted")
+    few = lines.count() <= BROADCAST_LINES
+    hint = F.broadcast if few else (lambda frame: frame)
+    texts = docs.select("doc_id", "text")
+    if few:
+        ids = lines.select(F.col("first.doc_id").alias("wanted_id")).distinct()
+        texts = texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    found = _keyed(texts).join(hint(lines), ["k1", "k2"]).where(here)
+    # Rows that repeat a document give its lines again.
+    once = found.groupBy("id", "home", "part").agg(F.first("first").alias("first"), F.first("norm").alias("norm"))
+    words = once.select("id", "home", "part", "first", F.split("norm", " ").alias("words"))
+    sets = words.select("id", "home", "part", "first", _tokens().alias("tokens")).withColumn("bits", _bits()).withColumn("n", F.size("tokens"))
+    return store(sets.groupBy("home", "part").agg(F.collect_list(F.struct("id", "first", "n", "bits", "tokens")).alias("held")), "line-blocks")
+
+
+def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id, n_links and earliest (the first line of the earliest linked class) of every class with a link."""
+    placed, pairs = block_pairs(classes, percent)
+    blocks = _blocks(docs, classes, placed, pairs)
+
+    def linked(a: Column, b: Column) -> Column:
+        alike = (F.col("apart") | (a["id"] < b["id"])) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))
+        differ = reduce(lambda x, y: x + y, [F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k])) for k in range(WORDS)])
+        near = alike & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"]))
+        return near & ((100 + percent) * F.size(F.array_intersect(a["tokens"], b["tokens"])) >= percent * (a["n"] + b["n"]))
+
+    same = pairs.where("x_home = y_home AND x_part = y_part").select(F.col("x_home").alias("home"), F.col("x_part").alias("part"))
+    inner = blocks.join(same, ["home", "part"], "left_semi").select(F.lit(False).alias("apart"), F.col("held").alias("x"), F.col("held").alias("y"))
+    apart = pairs.where("x_home <> y_home OR x_part <> y_part")
+    # By number: pairs are few bytes, but much work.
+    apart = apart.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *apart.columns)
+    x, y = (blocks.select(F.col("home").alias(f"{k}_home"), F.col("part").alias(f"{k}_part"), F.col("held").alias(k)) for k in "xy")
+    both = inner.union(apart.join(x, ["x_home", "x_part"]).join(y, ["y_home", "y_part"]).select(F.lit(True).alias("apart"), "x", "y"))
+    both = both.withColumn("links", F.transform("x", lambda a: F.transform("y", lambda b: linked(a, b))))
+    of = lambda one, other, is_link: F.transform(one, lambda a, i: F.struct(a["id"].alias("id"), F.transform(F.filter(other, lambda b, j: is_link(i, j)), lambda b: b["first"]).alias("firsts")))
+    at = lambda i, j: F.get(F.get("links", i), j)
+    # explode() would infer a filter, which works the comparisons out once more.
+    each = both.select(F.explode_outer(F.concat(of("x", "y", at), of("y", "x", lambda i, j: at(j, i)))).alias("found")).select("found.id", "found.firsts")
+    each = each.select("id", F.size("firsts").alias("n"), F.array_min("firsts").alias("first")).where("n > 0")
+    return store(each.groupBy("id").agg(F.sum("n").alias("n_links"), F.min("first").alias("earliest")), "line-links")
+
+
+def _judged(docs: DataFrame, percent: int, *keep: str) -> DataFrame:
+    classes = line_classes(docs, percent)
+    links = class_links(docs, classes, percent)
+    late = F.coalesce(F.col("earliest") < F.col("first"), F.lit(False))
+    named = store(classes.join(links, "id", "left").select("k1", "k2", "first", "lines", F.coalesce("n_links", F.lit(0)).alias("n_links"), late.alias("late")), "line-named")
+    total = named.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    is_hot = F.col("lines") > total // HOT
+    hot = store(named.where(is_hot).select("k1", "k2", F.lit(True).alias("hot")), "line-hot")
+    # The lines of a hot class are dealt over SALTS keys.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    lines = _keyed(docs, *keep).drop("norm").join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("salt", salt)
+    salts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    out = lines.join(named.withColumn("salt", F.explode(salts)), ["k1", "k2", "salt"])
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    return out.select("doc_id", *keep, "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), F.col("n_links").cast("long").alias("n_links"), (F.col("late") | ~is_first).alias("removed"))
 
 
 def judge_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -108,24 +210,22 @@ def judge_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     The class is named by its first line, in the order of doc_id (null last) and line_no; n_links counts the other
     classes that it is linked with.  A line is removed if an earlier line has the same words or is linked.
-    Null texts have no lines.  Rows with one doc_id are one document, so repeated rows keep the same lines.
+    Null and empty texts and an empty table have no lines; other columns are not looked at.  A line may be as long as a text. Rows
+    with one doc_id are one document, so repeated rows keep the same lines.
     """
-    lines, classes, links = similar_lines(docs, percent)
-    both = links.union(links.select("b1", "b2", "a1", "a2"))
-    other = both.join(classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("first").alias("other")), ["b1", "b2"])
-    linked = other.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("earliest"))
-    named = classes.join(linked.toDF("k1", "k2", "n_links", "earliest"), ["k1", "k2"], "left")
-    named = store(named.select("k1", "k2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("late")), "line-named")
-    out = lines.join(named, ["k1", "k2"])
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), F.col("n_links").cast("long").alias("n_links"), (F.col("late") | ~is_first).alias("removed"))
+    return _judged(docs.select("doc_id", "text"), percent)
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with the removed lines taken out of ``text``; lines without words stay, null texts stay null."""
-    gone = judge_lines(docs, percent).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("seriesloom_gone_lines"))
-    gone = store(gone.withColumnRenamed("doc_id", "seriesloom_gone_id"), "lines-gone")
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("seriesloom_gone_id")), "left")
+    """docs with the removed lines taken out of ``text``; lines without words stay, null texts stay null.
+
+    Texts that differ under one doc_id lose their own lines only.
+    """
+    of_text = F.xxhash64("text").alias("seriesloom_text")
+    gone = _judged(docs.select("doc_id", "text", of_text), percent, "seriesloom_text").where("removed")
+    gone = gone.groupBy(F.col("doc_id").alias("seriesloom_gone_id"), F.col("seriesloom_text").alias("seriesloom_gone_text")).agg(F.collect_set("line_no").alias("seriesloom_gone_lines"))
+    on = F.col("doc_id").eqNullSafe(F.col("seriesloom_gone_id")) & (F.xxhash64("text") == F.col("seriesloom_gone_text"))
+    both = docs.join(store(gone, "lines-gone"), on, "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("seriesloom_gone_lines", F.array().cast("array<int>")), i))
     text = F.when(F.col("seriesloom_gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -344,6 +344,32 @@ def test_line_dedup(spark, docs, empty):
     assert clean[61] == "last" and clean[62] == "" and clean[5] is None
 
 
+def test_line_dedup_of_many_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_TOKENS", 300)
+    rng, base = np.random.default_rng(4), text(90, 60, 999).split()
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for j in rng.choice(60, i % 5, replace=False):
+            w[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w) + "\nthe same line in every text\n\n \u00c9 \t", None, None))
+    rows.append((0, "another text under the first id\nthe same line in every text", None, None))
+    sets = {d: shingle_set(t.split("\n")[0]) for d, t, _, _ in rows[:-1]}
+    first = {}
+    for d, s in sets.items():
+        first.setdefault(frozenset(s), d)
+    links = {s: {o for o in first if o != s and 100 * len(s & o) >= 75 * len(s | o)} for s in first}
+    got = {(r.doc_id, r.line_no): r for r in line_dedup.judge_lines(table(spark, rows[:-1])).collect()}
+    for d, s in sets.items():
+        s = frozenset(s)
+        r = got[d, 0]
+        assert (r.class_doc, r.n_links, r.removed) == (first[s], len(links[s]), first[s] != d or any(first[o] < d for o in links[s]))
+        assert got[d, 1].class_doc == 0 and got[d, 1].removed == (d > 0) and (d, 2) not in got and got[d, 3].class_doc == 0
+    assert max(len(x) for x in links.values()) > 20
+    clean = sorted(r.text for r in line_dedup.dedup_lines(table(spark, rows)).collect() if r.doc_id == 0)
+    assert clean == sorted([rows[0][1], rows[-1][1]])
+
+
 def test_language_id(spark, empty):
     rng = np.random.default_rng(0)
     say = {"en": ["the", "and", "that", "with", "house"], "fr": ["les", "être", "une", "avec", "maison"], "de": ["der", "und", "nicht", "für", "straße"]}
