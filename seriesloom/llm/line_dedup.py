@@ -39,6 +39,8 @@ WORDS = 4
 BLOCK_TOKENS = 8_192
 #: Lines to verify that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 500_000
+#: Shared prefix tokens that are broadcast at most (16 bytes each and the hash table); more are joined by a shuffle.
+BROADCAST_TOKENS = 2_000_000
 #: Classes that hold more than a HOT-th of all lines: fewer than HOT, so they are broadcast.
 HOT, SALTS = 1_000, 64
 
@@ -53,7 +55,7 @@ def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
     return norm.select("*", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"))
 
 
-def _tokens(words: str = "words") -> Column:
+def _tokens(words: Column) -> Column:
     """The distinct shingles of an array of words (fewer words: one token): three passes over neighbours hash two, three and five words."""
     n = F.size(words)
     hashed = lambda x, at: F.zip_with(x, F.slice(x, at, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
@@ -70,12 +72,12 @@ def _shingle(words: str, at: Column) -> Column:
 
 def tokens_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, k1, k2 and tokens (64-bit hashes) of every line with a word."""
-    return _keyed(docs).select("doc_id", "line_no", "k1", "k2", F.split("norm", " ").alias("words")).select("doc_id", "line_no", "k1", "k2", _tokens().alias("tokens"))
+    return _keyed(docs).select("doc_id", "line_no", "k1", "k2", F.split("norm", " ").alias("words")).select("doc_id", "line_no", "k1", "k2", _tokens(F.col("words")).alias("tokens"))
 
 
-def _bits() -> Column:
-    """WORDS 64-bit parities of ``tokens``: two sets differ in at least as many tokens as their parities do in bits."""
-    word = lambda k: F.filter("tokens", lambda t: F.shiftrightunsigned(t, 58).bitwiseAND(F.lit(WORDS - 1)) == k)
+def _bits(tokens: Column) -> Column:
+    """WORDS 64-bit parities of tokens: two sets differ in at least as many tokens as their parities do in bits."""
+    word = lambda k: F.filter(tokens, lambda t: F.shiftrightunsigned(t, 58).bitwiseAND(F.lit(WORDS - 1)) == k)
     parity = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, 52).bitwiseAND(F.lit(63)).cast("int"))))
     return F.array(*[parity(word(k)) for k in range(WORDS)])
 
@@ -128,7 +130,8 @@ def block_pairs(classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """(placed, pairs): placed(id, home, part), the block of a class; pairs(x_home, x_part, y_home, y_part), all blocks to compare, each pair once."""
     spread = classes.where("prefix IS NOT NULL").select("id", "n", F.posexplode("prefix").alias("at", "token"))
     counts = store(spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "line-tokens")
-    members = store(spread.join(counts, "token"), "line-members")
+    few = counts.count() <= BROADCAST_TOKENS
+    members = store(spread.join(F.broadcast(counts) if few else counts, "token"), "line-members")
     homes = members.groupBy("id").agg(F.max(F.struct("k", "token"))["token"].alias("home"), F.first("n").alias("n"))
     homes = store(homes, "line-homes")
     parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
@@ -142,7 +145,7 @@ def block_pairs(classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
 
 
 def _blocks(docs: DataFrame, classes: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """home, part and held (structs id, first, n, bits, tokens) of every block in a pair."""
+    """home, part and held (structs id, first, tokens) of every block in a pair."""
     wanted = pairs.select(F.col("x_home").alias("home"), F.col("x_part").alias("part")).union(pairs.select("y_home", "y_part")).distinct()
     lines = placed.join(wanted, ["home", "part"]).join(classes.select("id", "k1", "k2", "first"), "id")
     lines = store(lines.select("id", "home", "part", "k1", "k2", "first"), "line-wanted")
@@ -154,11 +157,11 @@ def _blocks(docs: DataFrame, classes: DataFrame, placed: DataFrame, pairs: DataF
         texts = texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     found = _keyed(texts).join(hint(lines), ["k1", "k2"]).where(here)
-    # Rows that repeat a document give its lines again.
-    once = found.groupBy("id", "home", "part").agg(F.first("first").alias("first"), F.first("norm").alias("norm"))
-    words = once.select("id", "home", "part", "first", F.split("norm", " ").alias("words"))
-    sets = words.select("id", "home", "part", "first", _tokens().alias("tokens")).withColumn("bits", _bits()).withColumn("n", F.size("tokens"))
-    return store(sets.groupBy("home", "part").agg(F.collect_list(F.struct("id", "first", "n", "bits", "tokens")).alias("held")), "line-blocks")
+    # A set: rows that repeat a document give its lines again.
+    held = found.groupBy("home", "part").agg(F.collect_set(F.struct("id", "first", "norm")).alias("held"))
+    held = held.withColumn("held", F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["first"].alias("first"), F.split(x["norm"], " ").alias("words"))))
+    sets = F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["first"].alias("first"), _tokens(x["words"]).alias("tokens")))
+    return store(held.select("home", "part", sets.alias("held")), "line-blocks")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -173,12 +176,15 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
         return near & ((100 + percent) * F.size(F.array_intersect(a["tokens"], b["tokens"])) >= percent * (a["n"] + b["n"]))
 
     same = pairs.where("x_home = y_home AND x_part = y_part").select(F.col("x_home").alias("home"), F.col("x_part").alias("part"))
+    measured = F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["first"].alias("first"), F.size(x["tokens"]).alias("n"), _bits(x["tokens"]).alias("bits"), x["tokens"].alias("tokens")))
+    blocks = blocks.withColumn("held", measured)
     inner = blocks.join(same, ["home", "part"], "left_semi").select(F.lit(False).alias("apart"), F.col("held").alias("x"), F.col("held").alias("y"))
     apart = pairs.where("x_home <> y_home OR x_part <> y_part")
     # By number: pairs are few bytes, but much work.
-    apart = apart.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *apart.columns)
-    x, y = (blocks.select(F.col("home").alias(f"{k}_home"), F.col("part").alias(f"{k}_part"), F.col("held").alias(k)) for k in "xy")
-    both = inner.union(apart.join(x, ["x_home", "x_part"]).join(y, ["y_home", "y_part"]).select(F.lit(True).alias("apart"), "x", "y"))
+    dealt = apart.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *apart.columns)
+    ends = {k: apart.select(f"{k}_home", f"{k}_part").distinct() for k in "xy"}
+    x, y = (blocks.select(F.col("home").alias(f"{k}_home"), F.col("part").alias(f"{k}_part"), F.col("held").alias(k)).join(ends[k], [f"{k}_home", f"{k}_part"], "left_semi") for k in "xy")
+    both = inner.union(dealt.join(x, ["x_home", "x_part"]).join(y, ["y_home", "y_part"]).select(F.lit(True).alias("apart"), "x", "y"))
     both = both.withColumn("links", F.transform("x", lambda a: F.transform("y", lambda b: linked(a, b))))
     of = lambda one, other, is_link: F.transform(one, lambda a, i: F.struct(a["id"].alias("id"), F.transform(F.filter(other, lambda b, j: is_link(i, j)), lambda b: b["first"]).alias("firsts")))
     at = lambda i, j: F.get(F.get("links", i), j)
