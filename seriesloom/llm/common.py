@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: What separates words: space, tab and the four ASCII line separators.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,17 +18,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a folder below the local temp folder is
-    made and set as the checkpoint folder of the session.
+    Where the session names none, a local master (tests on one machine) gets a folder below the local temp folder, which
+    is set as the checkpoint folder of the session; on a cluster that is an error, as executors don't share the driver's disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-seriesloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema), on executors that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import arrow, store
 from .minhash import WordHashes
 
 WINDOW = 10
@@ -75,7 +75,7 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names)
 
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, key binary, length int, size int, shingles array<bigint>")
+    return arrow(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), run, "item_id string, key binary, length int, size int, shingles array<bigint>")
 
 
 def positions(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
@@ -110,7 +110,7 @@ def positions(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
                     found.append(own)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(ats, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "digest", "n_words", "at", "shingle"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, digest binary, n_words bigint, at array<int>, shingle array<bigint>")
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id bigint, digest binary, n_words bigint, at array<int>, shingle array<bigint>")
 
 
 def _blocks(vocabulary: DataFrame) -> Iterator[dict[int, np.ndarray]]:

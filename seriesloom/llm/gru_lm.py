@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import arrow, store
 
 HIDDEN, EMBED = 16, 12
 CLASS = 64
@@ -140,7 +140,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow(docs.select("text"), run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -422,7 +422,7 @@ def train_round(docs: DataFrame, p: Params, vocab: Vocabulary) -> Params:
         return pa.table({"block": table["block"][:1], "learner": pa.array([table["learner"][0].as_py() // FAN]), "weight": pa.array([w.sum()]), "part": pa.array([(sums / w.sum()).astype("<f4").tobytes()], pa.binary())})
 
     schema = "block int, learner bigint, weight double, part binary"
-    parts = store(docs.select("text").mapInArrow(run, schema), "lm-parts")
+    parts = store(arrow(docs.select("text"), run, schema), "lm-parts")
     while (parts.agg(F.max("learner")).first()[0] or 0) > 0:
         parts = store(parts.groupBy("block", F.floor(F.col("learner") / FAN).alias("fan")).applyInArrow(mean, schema), "lm-parts")
     flat = [np.frombuffer(r.part, "<f4") for r in sorted(parts.collect(), key=lambda r: r.block)]
@@ -491,7 +491,7 @@ def score(docs: DataFrame, p: Params, vocab: Vocabulary, counts: DataFrame) -> D
         if own:
             yield out(own, held, sums)
 
-    part = store(docs.select(*keep, F.monotonically_increasing_id().alias("row_id"), "text").mapInArrow(run, schema), "lm-scores")
+    part = store(arrow(docs.select(*keep, F.monotonically_increasing_id().alias("row_id"), "text"), run, schema), "lm-scores")
     tail = part.select("row_id", F.explode("tail").alias("word")).join(counts, "word")
     tail = tail.groupBy("row_id").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("more_known"))
     more = F.coalesce("more", F.lit(0.0))

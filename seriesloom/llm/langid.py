@@ -2,14 +2,16 @@
 
 Counts of (language, bucket) come from all training documents: each task sums its own rows, and the
 shuffle adds up at most BUCKETS numbers per task and language.  The matrix of log probabilities
-(BUCKETS rows, one column per language) is broadcast; MAX_LANGUAGES bounds it at 64 MB.  Texts are
-scored whole, in pieces, with numpy: a gather of matrix rows and one sum per document.
+(BUCKETS rows, one column per language) is broadcast in blocks of BLOCK languages, 64 MB each; with several
+blocks a text has a row for each, which are put together by its row.  Texts are scored whole, in pieces, with numpy:
+a text's buckets are a sparse row of counts, and a batch's scores a gather of matrix rows, summed by text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import arrow, store
+
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
+BLOCK = 256
 SMOOTHING = 0.5
 #: Characters that are hashed at once.
 PIECE = 1 << 18
@@ -26,12 +30,21 @@ PIECE = 1 << 18
 
 @dataclass
 class Model:
-    """languages in code point order; weights: float32, (BUCKETS, languages); prior: log share of training documents."""
+    """languages in code point order; counts(lang, bucket, n): the stored counts; prior: log share of training documents."""
 
     languages: list[str]
-    weights: np.ndarray
+    counts: DataFrame
     prior: np.ndarray
 
+    def weights(self, start: int) -> np.ndarray:
+        """float32, (BUCKETS, languages) of the block that begins at a language: log probabilities."""
+        names = self.languages[start : start + BLOCK]
+        table = self.counts.where(F.col("lang").between(names[0], names[-1]) & (F.col("bucket") >= 0)).toArrow()
+        index = {lang: i for i, lang in enumerate(names)}
+        matrix = np.full((BUCKETS, len(names)), SMOOTHING)
+        matrix[table["bucket"].to_numpy(), np.array([index[x] for x in table["lang"].to_pylist()], np.int64)] += table["n"].to_numpy()
+        return np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
+
 
 def buckets_of(text: str) -> Iterator[np.ndarray]:
     """The buckets of all 2- and 3-grams of a text, a piece at a time; case and runs of white space don't count."""
@@ -72,49 +85,71 @@ def fit(docs: DataFrame) -> Model:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([documents[lang], *own[at].tolist()], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = docs.select("text", "lang").where("lang IS NOT NULL").mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    total = counts.persist()
-    languages = sorted(r.lang for r in total.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = total.toArrow()
-    total.unpersist()
-    index = {lang: i for i, lang in enumerate(languages)}
-    matrix, prior = np.full((BUCKETS, len(languages)), SMOOTHING), np.zeros(len(languages))
-    where = np.array([index[x] for x in table["lang"].to_pylist()], np.int64)
-    bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
-    real = bucket >= 0
-    matrix[bucket[real], where[real]] += n[real]
-    prior[where[~real]] = n[~real]
-    return Model(languages, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), np.log(prior / max(prior.sum(), 1)) if languages else prior)
+    counts = arrow(docs.select("text", "lang").where("lang IS NOT NULL"), count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = store(counts, "langid-counts")
+    documents = {r.lang: r.n for r in counts.where("bucket = -1").select("lang", "n").collect()}
+    languages = sorted(documents)
+    prior = np.array([documents[x] for x in languages], np.float64)
+    return Model(languages, counts, np.log(prior / max(prior.sum(), 1)))
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred and score (posterior probability of lang_pred) of every row.
 
     Null texts, texts without a letter, and all texts if the model has no language: ``und``, score 0.
-    Ties go to the language that comes first.
+    Ties go to the language that comes first.  Rows that repeat are predicted each; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [F.col(f"`{c}`") for c in keep]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own = [*docs.select(*kept).schema.fields]
+    starts = range(0, len(model.languages), BLOCK) or range(1)
+    if len(starts) == 1:
+        score = F.when(F.col("rest") == 0, F.lit(0.0)).otherwise(1 / F.nullif("rest", F.lit(0.0)))
+        return _scored(docs.select(*kept, "text"), model, 0).select(*kept, "lang_pred", score.alias("score"))
+    rows = store(docs.select(*[c.alias(f"own_{i}") for i, c in enumerate(kept)], "text", F.monotonically_increasing_id().alias("row")), "langid-rows")
+    parts = [_scored(rows.select("row", "text"), model, at) for at in starts]
+    parts = store(reduce(DataFrame.unionAll, parts), "langid-parts")
+    best = parts.groupBy("row").agg(F.max(F.struct("top", (-F.col("at")).alias("first"), "lang_pred", "rest")).alias("best"), F.collect_list(F.struct("top", "rest")).alias("blocks"))
+    # One number for each block of languages.
+    total = F.aggregate("blocks", F.lit(0.0), lambda a, x: a + x["rest"] * F.exp(x["top"] - F.col("best.top")))
+    best = best.select("row", "best.lang_pred", F.when(F.col("best.rest") == 0, F.lit(0.0)).otherwise(1 / F.nullif(total, F.lit(0.0))).alias("score"))
+    return rows.drop("text").join(best, "row").select(*[F.col(f"own_{i}").alias(f.name) for i, f in enumerate(own)], "lang_pred", "score")
+
+
+def _scored(rows: DataFrame, model: Model, start: int) -> DataFrame:
+    """rows without text, and lang_pred, top (its log posterior, not normalised), rest (the sum of all of the block over it; 0 for ``und``) and at."""
+    names = model.languages[start : start + BLOCK]
+    shared = rows.sparkSession.sparkContext.broadcast((names, model.weights(start) if names else None, model.prior[start : start + BLOCK]))
+    keep = rows.columns[:-1]
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, top double, rest double, at int").fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        names, weights, prior = shared.value
         for batch in batches:
-            said, scores = [], []
-            for text in batch.column(len(keep)):
-                text = text.as_py()
-                if not m.languages or not has_letter(text):
-                    said.append("und")
-                    scores.append(0.0)
-                    continue
-                total = m.prior.copy()
-                for b in buckets_of(text):
-                    total += m.weights.take(b, axis=0).sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                said.append(m.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
-
-    return docs.select(*kept, F.col("text")).mapInArrow(score, schema)
+            texts = batch.column(len(keep)).to_pylist()
+            said, tops, rests = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            real = [i for i, t in enumerate(texts) if names and has_letter(t)]
+            held: list[np.ndarray] = []
+            owner: list[int] = []
+            sums = np.tile(prior, (len(texts), 1)) if names else np.zeros((len(texts), 0))
+
+            def add() -> None:
+                """A sparse batch: the buckets of several texts in a row, with where each text's begin."""
+                begin = np.cumsum([0, *map(len, held[:-1])])
+                np.add.at(sums, owner, np.add.reduceat(weights.take(np.concatenate(held), axis=0), begin, axis=0, dtype=np.float64))
+                held.clear()
+                owner.clear()
+
+            for i in real:
+                for b in buckets_of(texts[i]):
+                    held.append(b)
+                    owner.append(i)
+                    if sum(map(len, held)) > PIECE // 16:
+                        add()
+            if held:
+                add()
+            for i in real:
+                at = int(sums[i].argmax())
+                said[i], tops[i], rests[i] = names[at], sums[i, at], np.exp(sums[i] - sums[i, at]).sum()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said, pa.string()), pa.array(tops), pa.array(rests), pa.array([start] * len(texts), pa.int32())], schema.names)
+
+    return arrow(rows, score, schema)

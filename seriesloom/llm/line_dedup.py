@@ -182,7 +182,8 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     apart = pairs.where("x_home <> y_home OR x_part <> y_part")
     # By number: pairs are few bytes, but much work.
     dealt = apart.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *apart.columns)
-    ends = {k: apart.select(f"{k}_home", f"{k}_part").distinct() for k in "xy"}
+    hint = F.broadcast if apart.count() <= BROADCAST_LINES else (lambda frame: frame)
+    ends = {k: hint(apart.select(f"{k}_home", f"{k}_part").distinct()) for k in "xy"}
     x, y = (blocks.select(F.col("home").alias(f"{k}_home"), F.col("part").alias(f"{k}_part"), F.col("held").alias(k)).join(ends[k], [f"{k}_home", f"{k}_part"], "left_semi") for k in "xy")
     both = inner.union(dealt.join(x, ["x_home", "x_part"]).join(y, ["y_home", "y_part"]).select(F.lit(True).alias("apart"), "x", "y"))
     both = both.withColumn("links", F.transform("x", lambda a: F.transform("y", lambda b: linked(a, b))))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_per_id, store
+from .common import arrow, one_per_id, store
 from .graph import components
 
 SHINGLE = 5
@@ -126,7 +126,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     bands.append([xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(low.reshape(BANDS, ROWS))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, digest binary, n_shingles bigint, sig binary, bands array<bigint>")
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id bigint, digest binary, n_shingles bigint, sig binary, bands array<bigint>")
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, threshold: float = PERCENT / 100, miss: float = MISS) -> DataFrame:
@@ -143,7 +143,7 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float = PERCENT / 100,
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(live)), batch.column(1).take(pa.array(live))], ["a", "b"])
 
     both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    return arrow(both.select("a", "b", "sig_a", "sig_b"), run, "a bigint, b bigint")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
             words = [b" ".join(words_of(t or b"")) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())], ["rep", "digest", "words"])
 
-    rows = found.mapInArrow(run, "rep bigint, digest binary, words binary")
+    rows = arrow(found, run, "rep bigint, digest binary, words binary")
     return store(rows.join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]).select("rep", "words"), "minhash-texts")
 
 
@@ -169,23 +169,24 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, memo = WordHashes(), {}
 
-        def of(key: int, words: bytes) -> np.ndarray:
-            if key not in memo or memo[key][0] != len(words):
+        def of(words: bytes) -> np.ndarray:
+            key = xxhash.xxh3_128_digest(words)
+            if key not in memo:
                 if len(memo) > 64:
                     memo.clear()
-                memo[key] = (len(words), shingles(words.split(), hashes))
-            return memo[key][1]
+                memo[key] = shingles(words.split(), hashes)
+            return memo[key]
 
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = of(a, x), of(b, y)
+            for x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                one, two = of(x), of(y)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(two) - both) > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(texts.toDF("a", "words_a"), "a").join(texts.toDF("b", "words_b"), "b")
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
+    return arrow(both.select("a", "b", "words_a", "words_b"), run, "a bigint, b bigint")
 
 
 def links_apart(apart: DataFrame, texts: DataFrame, classes: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
@@ -199,7 +200,7 @@ def links_apart(apart: DataFrame, texts: DataFrame, classes: DataFrame, percent:
         hashes, memo = WordHashes(), {}
 
         def found(row: dict) -> np.ndarray:
-            key = (row["rep"], len(row["words"]))
+            key = xxhash.xxh3_128_digest(row["words"])
             if key not in memo:
                 if len(memo) > 8 * BLOCK:
                     memo.clear()
@@ -240,7 +241,7 @@ def links_apart(apart: DataFrame, texts: DataFrame, classes: DataFrame, percent:
     x, y = full.alias("x"), full.alias("y")
     alike = (F.col("x.least") == F.col("x.most")) & (F.col("y.least") == F.col("y.most")) & (F.col("x.least") == F.col("y.least"))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")) & ~alike)
-    return pairs.select("x.bucket", F.col("x.rows").alias("x"), F.col("y.rows").alias("y")).mapInArrow(run, "a bigint, b bigint").distinct()
+    return arrow(pairs.select("x.bucket", F.col("x.rows").alias("x"), F.col("y.rows").alias("y")), run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -96,10 +96,10 @@ def mix_documents(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2,
     size: words of the text, null none; documents without words have rate 1 and take nothing.  Copies
     are the floor or the ceiling of the rate.  They are chosen in buckets of about ROUND_ROWS documents of
     one source, larger documents first, each document taking up what those before it left over; so the
-    words taken in a bucket differ from the wanted ones by about its smallest document.  The order has no
-    randomness beyond a hash of doc_id: reruns agree.  Empty input: empty output.
+    words taken in a bucket differ from the wanted ones by about its smallest document.  Buckets are dealt by a hash of doc_id and text, so
+    rows without a doc_id spread too; only rows equal in both share one.  The order has no randomness beyond hashes: reruns agree.  Empty input: empty output.
     """
-    base = store(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "mix-sizes")
+    base = store(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
     histogram = store(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("documents")), "mix-histogram")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"), F.sum("documents").alias("rows"))
     targets = store(source_targets(per_source.select("source", "source_size"), cycle, cap), "mix-targets")
@@ -113,7 +113,7 @@ def mix_documents(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2,
     )
     rated = base.alias("d").join(state.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.doc_id", "d.source", "d.size", "s.source_size", "s.target", rate.alias("rate"),
-        F.pmod(F.xxhash64("d.doc_id", "d.size"), F.ceil(F.col("s.rows") / ROUND_ROWS)).alias("bucket"),
+        F.pmod(F.xxhash64("d.doc_id", "d.text_hash"), F.ceil(F.col("s.rows") / ROUND_ROWS)).alias("bucket"),
     )
     one = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id").alias("spread"), "doc_id", "size", "rate")
     buckets = rated.groupBy("source", "bucket").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sort_array(F.collect_list(one)).alias("docs"))

@@ -1,9 +1,9 @@
 """Quality rules: base counts of a text and robust multivariate outliers.
 
 Documents that pass the base rule give a vector of four transformed statistics.  For every group (language
-and source; too small ones are pooled) the minimum covariance determinant is estimated: from
-coordinate-wise quartiles, concentration steps keep the documents up to the distance at which a half of
-the group is reached and take mean and covariance from them.  A document whose squared
+and source; too small ones are pooled) the minimum covariance determinant is estimated: from two starts,
+concentration steps keep the documents up to the distance at which a half of
+the group is reached and take mean and covariance from them, until the determinant falls no more; the least one counts.  A document whose squared
 Mahalanobis distance exceeds the chi-square quantile is rejected.
 
 All steps are aggregations by group.  Quantiles come from counts per group and bin (bins are of fixed width, so
@@ -13,6 +13,7 @@ reruns agree), so the shuffles hold sums, and no task holds a group.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ DIMS = 4
 FLOORS = (0.08, 0.5, 0.15, 0.15)
 #: Bins of the coordinates for the first estimate, and bins of the distances a factor of e.
 BIN, DISTANCE_BINS = 1 / 256, 32
-STEPS = 4
+#: Steps end when the logarithm of the root of the determinant falls by no more than SETTLED; it always falls, so MOST_STEPS is never met in practice.
+SETTLED, MOST_STEPS = 1e-3, 100
 HALF = 0.5
-#: Groups under LEAST documents are pooled by language, and then altogether; a last pool under FEWEST rejects nothing.
+#: Groups under LEAST documents (a half with six for each dimension) are pooled by language, and then altogether; in a last pool under
+#: FEWEST (a half with six for four dimensions, one more than a covariance needs) there is no estimate, and nothing is rejected.
 LEAST, FEWEST = 50, 12
 #: Chance that a document of a normal group is rejected.
 TAIL = 1e-5
@@ -115,14 +118,14 @@ def _pools(rows: DataFrame) -> DataFrame:
 
 
 def _cholesky(model: DataFrame) -> DataFrame:
-    """pool, m0.. and the lower triangle l00, l10, l11.. of the covariance c00, c10, c11.."""
+    """pool, start, m0.. and the lower triangle l00, l10, l11.. of the covariance c00, c10, c11.."""
     for i in range(DIMS):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             model = model.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return model.select("pool", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    return model.select("pool", "start", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
 
 
 def distance() -> Column:
@@ -136,8 +139,13 @@ def distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """pool, m0.. and l00..: the estimate of every pool of rows(pool, x0..)."""
+def _second() -> list[Column]:
+    """c00, c10, c11..: covariances of x0.. with the consistency factor and the floors."""
+    return [(F.covar_pop(f"x{i}", f"x{j}") * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """pool, start and the first models: 0 has medians and quartile ranges by coordinate, 1 mean and covariance of all."""
     entry = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(f"x{i}") / BIN).alias("bin")) for i in range(DIMS)]))
     bins = rows.select("pool", entry.alias("e")).groupBy("pool", "e.dim", "e.bin").agg(F.count(F.lit(1)).alias("n"))
     ordered = Window.partitionBy("pool", "dim").orderBy("bin")
@@ -146,43 +154,63 @@ def estimate(rows: DataFrame) -> DataFrame:
     quartiles = bins.groupBy("pool", "dim").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"))
     middle = [F.max(F.when(F.col("dim") == i, (F.col("q2") + 0.5) * BIN)).alias(f"m{i}") for i in range(DIMS)]
     spread = [F.max(F.when(F.col("dim") == i, F.pow((F.col("q3") - F.col("q1")) * BIN / 1.349, F.lit(2)) + FLOORS[i] ** 2)).alias(f"c{i}{i}") for i in range(DIMS)]
-    model = quartiles.groupBy("pool").agg(*middle, *spread)
+    robust = quartiles.groupBy("pool").agg(*middle, *spread)
     for i in range(DIMS):
         for j in range(i):
-            model = model.withColumn(f"c{i}{j}", F.lit(0.0))
-    model = store(_cholesky(model), "quality-model")
-    for _ in range(STEPS):
-        near = rows.join(model, "pool").withColumn("ring", F.floor(F.log(distance() + 1e-6) * DISTANCE_BINS))
-        rings = near.groupBy("pool", "ring").agg(F.count(F.lit(1)).alias("n"))
-        rings = rings.withColumn("upto", F.sum("n").over(Window.partitionBy("pool").orderBy("ring"))).withColumn("all", F.sum("n").over(Window.partitionBy("pool")))
-        edge = store(rings.where(F.col("upto") >= HALF * F.col("all")).groupBy("pool").agg(F.min("ring").alias("edge")), "quality-edge")
-        half = near.join(edge, "pool").where("ring <= edge")
-        second = [F.covar_pop(f"x{i}", f"x{j}") * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i + 1)]
-        moments = half.groupBy("pool").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *[s.alias(f"c{i}{j}") for s, (i, j) in zip(second, [(i, j) for i in range(DIMS) for j in range(i + 1)], strict=True)])
-        model = store(_cholesky(moments), "quality-model")
-    return model
+            robust = robust.withColumn(f"c{i}{j}", F.lit(0.0))
+    whole = rows.groupBy("pool").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *_second())
+    return _cholesky(robust.withColumn("start", F.lit(0)).unionByName(whole.withColumn("start", F.lit(1))))
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """pool, m0.. and l00..: the estimate of every pool of rows(pool, x0..).
+
+    From each start concentration steps are taken until its determinant falls no more; the start with the least determinant counts.
+    """
+    best = store(_starts(rows).withColumn("log_det", F.lit(float("inf"))).withColumn("live", F.lit(True)), "quality-model")
+    for _ in range(MOST_STEPS):
+        if not best.where("live").limit(1).count():
+            break
+        near = rows.join(F.broadcast(best.where("live")), "pool").withColumn("ring", F.floor(F.log(distance() + 1e-6) * DISTANCE_BINS))
+        rings = near.groupBy("pool", "start", "ring").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("pool", "start").orderBy("ring"))
+        rings = rings.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start")))
+        edge = store(rings.where(F.col("upto") >= HALF * F.col("all")).groupBy("pool", "start").agg(F.min("ring").alias("edge")), "quality-edge")
+        half = near.join(F.broadcast(edge), ["pool", "start"]).where("ring <= edge")
+        moved = _cholesky(half.groupBy("pool", "start").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *_second()))
+        moved = moved.withColumn("log_det", sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00")))
+        before = best.select("pool", "start", F.col("log_det").alias("was"))
+        moved = moved.join(before, ["pool", "start"]).withColumn("live", F.col("log_det") < F.col("was") - SETTLED).drop("was")
+        # A step that doesn't lower the determinant is not taken.
+        taken = moved.where("live")
+        stays = best.join(taken.select("pool", "start"), ["pool", "start"], "left_anti").withColumn("live", F.lit(False))
+        best = store(taken.unionByName(stays), "quality-model")
+    least = best.groupBy("pool").agg(F.min(F.struct("log_det", "start"))["start"].alias("start"))
+    return best.join(least, ["pool", "start"]).drop("start", "log_det", "live")
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """RESULT and ``text_hash`` (64-bit hash of the text) of every row of (doc_id, text, lang, source).
+    """RESULT, lang, source and ``text_hash`` (64-bit hash of the text) of every row of (doc_id, text, lang, source).
 
     kept is false if base_failed; else if distance (squared Mahalanobis) exceeds CUTOFF.  Null language or source: a
     group like any other.  distance is null for documents that fail the base rule or have no estimate; the latter are kept.
+    Long texts count whole; rows that repeat are judged each, and alike within a group.  Empty table: empty result.
     """
     slim = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("text_hash"))
     rows = with_statistics(slim).drop("text").withColumn("base_failed", base_failed())
     rows = store(rows, "quality-rows")
-    vectors = _pools(rows.where("not base_failed")).select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "pool", *[v.alias(f"x{i}") for i, v in enumerate(_vector())])
+    vectors = _pools(rows.where("not base_failed")).select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lang", "source", "pool", *[v.alias(f"x{i}") for i, v in enumerate(_vector())])
     vectors = store(vectors, "quality-vectors")
     model = estimate(vectors.where("pool IS NOT NULL").select("pool", *[f"x{i}" for i in range(DIMS)]))
     judged = vectors.join(model, "pool", "left").withColumn("distance", distance())
     failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     judged = judged.withColumn("kept", F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
-    return judged.select(*RESULT, "text_hash").unionByName(failed.select(*RESULT, "text_hash"))
+    return judged.select(*RESULT, "lang", "source", "text_hash").unionByName(failed.select(*RESULT, "lang", "source", "text_hash"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that ``judge`` keeps, unchanged."""
-    bad = judge(docs).where("not kept").select(F.col("doc_id").alias("seriesloom_bad_id"), F.col("text_hash").alias("seriesloom_bad_hash"))
-    on = F.col("doc_id").eqNullSafe(F.col("seriesloom_bad_id")) & (F.xxhash64("text") == F.col("seriesloom_bad_hash"))
+    names = {"doc_id": "seriesloom_bad_id", "lang": "seriesloom_bad_lang", "source": "seriesloom_bad_source"}
+    bad = judge(docs).where("not kept").select(*[F.col(c).alias(x) for c, x in names.items()], F.col("text_hash").alias("seriesloom_bad_hash")).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in names.items()], F.xxhash64("text") == F.col("seriesloom_bad_hash"))
     return docs.join(store(bad, "quality-bad").hint("shuffle_hash"), on, "left_anti")

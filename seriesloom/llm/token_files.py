@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 NULL_ID = np.iinfo(np.int64).min
@@ -166,7 +168,8 @@ def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode ``text`` (null: empty) of every row, append ``end_id`` and write in ascending order of doc_id, nulls first.
 
-    Rows with equal doc_id follow each other in the order of their texts.  An empty table gives a folder with no ids.
+    Rows with equal doc_id follow each other in the order of their texts.  An empty table gives a folder with no ids;
+    a folder that is there already is an error.  Long texts are encoded whole, one at a time; other columns are not looked at.
     """
     spark, folder, tokenizer = docs.sparkSession, local_path(path), tokenizer or default_tokenizer()
     dtype = "<u2" if max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
@@ -194,9 +197,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         yield pa.RecordBatch.from_pydict({"part": [part], "documents": [n], "ids": [at], "dtype": [dtype]}, pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("dtype", pa.string())]))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows that share a doc_id (or have none) spread by how their texts begin.
+    ordered = ordered.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    found = ordered.mapInArrow(encode, "part int, documents bigint, ids bigint, dtype string")
+    found = arrow(ordered, encode, "part int, documents bigint, ids bigint, dtype string")
     # One row per partition.
     spark.createDataFrame(found.toArrow()).withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).coalesce(1).write.parquet(f"{path}/partitions")
 
@@ -222,7 +227,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     parts = spark.read.parquet(f"{path}/partitions")
     n = max(1, parts.count())
-    return parts.repartitionByRange(n, "part").mapInArrow(load, "doc_id bigint, start bigint, token_ids binary")
+    return arrow(parts.repartitionByRange(n, "part"), load, "doc_id bigint, start bigint, token_ids binary")
 
 
 def digests(tokens: DataFrame) -> DataFrame:

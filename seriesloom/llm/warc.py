@@ -17,15 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import arrow, store
 
 CRLF = "\r\n"
 #: Payloads under this many bytes are never revisited.
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Rows that one file holds at most, and bytes of compressed input that are inflated at once.
-FILE_ROWS = 4_000
+#: A file holds FILE_ROWS pages of up to LARGE bytes, or as many larger ones as fit FILE_BYTES (one at least).
+FILE_ROWS, LARGE, FILE_BYTES = 1_000, 1 << 18, 1 << 28
+#: Bytes of compressed input that are inflated at once.
 CHUNK = 1 << 20
 #: Records of one transaction that one nested row holds at most; further ones go to rows with part 1, 2 and so on.
 PART_ROWS = 10_000
@@ -50,7 +51,8 @@ def write_pages(pages: DataFrame, path: str) -> None:
     Payload: html in UTF-8, null as empty.  Of rows with equal payloads of LEAST_REVISIT bytes or more, that
     with the smallest page_id is the response; the others are revisits and hold the HTTP header only.
     Line ends in url are dropped; a null url is ``urn:none``, a null page_id ``none`` (nulls come last).
-    Rows with equal page_id are one page: the first of them in the archives counts.
+    Rows with equal page_id are one page: the first of them in the archives counts.  An empty table gives archives without
+    records; other columns are not looked at.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit("urn:none")).alias("url"), html.alias("html"))
@@ -77,8 +79,17 @@ def write_pages(pages: DataFrame, path: str) -> None:
         response,
         F.concat(_header("metadata", own("metadata"), F.col("url"), F.octet_length(note), together, F.lit(f"{CRLF}Content-Type: application/warc-fields")), note),
     )
-    out = rows.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    out.option("maxRecordsPerFile", 3 * FILE_ROWS).text(path)
+
+    def write(part: DataFrame, mode: str, pages_a_file: int) -> None:
+        out = part.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        out.mode(mode).option("maxRecordsPerFile", 3 * pages_a_file).text(path)
+
+    longest = pages.agg(F.max(F.octet_length(html))).first()[0] or 0
+    if longest <= LARGE:
+        write(rows, "error", FILE_ROWS)
+    else:
+        write(rows.where(F.col("n") <= LARGE), "error", FILE_ROWS)
+        write(rows.where(F.col("n") > LARGE), "append", max(1, FILE_BYTES // longest))
 
 
 class _Reader:
@@ -178,7 +189,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(records, schema)
+    return arrow(files, records, schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:

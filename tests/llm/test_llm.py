@@ -454,3 +454,151 @@ def test_pipeline(spark, tmp_path):
     assert len(set(seen["near-duplicates"])) == len(seen["near-duplicates"]) < 101
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in final.collect()) == sorted(seen["mix"]) and {"shard", "slot"} <= set(final.columns)
+
+
+def test_language_id_by_brute_force_and_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    say = [["ab", "abc", "bca"], ["bcd", "dcb", "cab"], ["xyz", "ab", "zzy"]]
+    rows = [(i, " ".join(rng.choice(say[i % 3], 5)), f"l{i % 3}", "a") for i in range(60)] + [(100, "ab xyz bcd", None, "a"), (101, "ab xyz bcd", None, "a")]
+    both = table(spark, rows)
+    grams = lambda t: [f" {t} "[i : i + n] for n in (2, 3) for i in range(len(t) + 3 - n)]
+    bucket = {}
+    for _, t, _, _ in rows:
+        for g in grams(t):
+            # A gram's own bucket: what its text has beyond the buckets of its first and its last part.
+            bucket.setdefault(g, None)
+    c = {g: [ord(x) for x in g] for g in bucket}
+    m = 0xFFFFFFFF
+    for g, k in c.items():
+        two = (k[0] * 0x9E3779B1 + k[1] * 0x85EBCA6B) & m
+        three = (two * 0xC2B2AE35 + k[2] * 0x27D4EB2F) & m if len(k) == 3 else None
+        bucket[g] = ((two ^ (two >> 15)) * 0x2C1B3C6D & m) >> 16 if three is None else ((three ^ (three >> 15)) * 0x297A2D39 & m) >> 16
+    seen, docs_of = defaultdict(Counter), Counter()
+    for _, t, lang, _ in rows:
+        if lang:
+            docs_of[lang] += 1
+            seen[lang].update(bucket[g] for g in grams(t))
+    want = {}
+    for d, t, _, _ in rows:
+        total = {k: math.log(docs_of[k] / 60) + sum(math.log((seen[k][bucket[g]] + 0.5) / (sum(seen[k].values()) + 0.5 * 65536)) for g in grams(t)) for k in sorted(docs_of)}
+        top = max(total, key=total.get)
+        want[d] = (top, 1 / sum(math.exp(x - total[top]) for x in total.values()))
+    for block in (256, 2):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(both, langid.fit(both)).collect()}
+        assert got.keys() == want.keys() and all(got[d][0] == k and math.isclose(got[d][1], s, rel_tol=1e-3) for d, (k, s) in want.items())
+        assert {r.lang_pred for r in langid.predict(table(spark, [(1, None, None, None), (2, "1 2", None, None)]), langid.fit(both)).collect()} == {"und"}
+
+
+def xx(data: bytes) -> int:
+    import xxhash
+
+    h = xxhash.xxh64(data, seed=42).intdigest()
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_mixing_rounds_as_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(n)), None, "ab"[i % 2]) for i, n in enumerate(rng.integers(0, 60, 400))]
+    got = mixing.mix_documents(table(spark, rows, False)).collect()
+    for source in "ab":
+        left, mine = 0.0, sorted((r for r in got if r.source == source), key=lambda r: (-r["size"], xx(r.doc_id.to_bytes(8, "little"))))
+        for r in mine:  # 200 documents of a source are one bucket
+            want = r["size"] * r.rate + left
+            copies = 1 if not r["size"] else min(math.ceil(r.rate), max(math.floor(r.rate), math.floor(want / r["size"] + 0.5)))
+            assert r.copies == copies
+            left = want - copies * r["size"]
+
+
+def test_kd_sharding_by_sorting(spark):
+    rows = [(i, text(i % 150, 5 + i * 7 % 90), "en", "a") for i in range(900)] + [(5000 + i, "copy " * 40, "en", "a") for i in range(500)]
+    frame = table(spark, rows)
+    items = [r.asDict() for r in kd_sharding.document_items(frame).collect()]
+    dims = ("log_bytes", "bytes_per_char", "line_chars")
+    for d in dims:
+        low, high = min(x[d] for x in items), max(x[d] for x in items)
+        for x in items:
+            code = math.floor((x[d] - low) / (high - low) * ((1 << 24) - 1)) if high > low else 0
+            x["at", d] = (code << 38) | (xx(x["text_hash"].to_bytes(8, "little", signed=True)) & ((1 << 38) - 1))
+
+    def split(part, first, leaves, out):
+        if leaves == 1:
+            out.update({x["doc_id"]: first for x in part})
+            return
+        d = max(dims, key=lambda d: (max(x["at", d] for x in part) - min(x["at", d] for x in part), -dims.index(d)))
+        whole, low = sum(x["size"] for x in part), leaves // 2
+        want, upto, cut, below = whole * low / leaves, 0, None, 0
+        for x in sorted(part, key=lambda x: x["at", d]):
+            if cut is None or x["at", d] != cut:
+                if upto >= want:
+                    break
+                cut, below = x["at", d], upto
+            upto += x["size"]
+        before, after = want - below, upto - want
+        group = [x for x in part if x["at", d] == cut]
+        if min(before, after) > 0.01 * whole / leaves:
+            assert len({x["text_hash"] for x in group}) == 1
+            tie = lambda x: (xx_pair(x["doc_id"], x["text_hash"]) % (1 << 64)) >> 2
+            near, held = set(), 0
+            for x in sorted(group, key=tie):
+                if held >= before:
+                    break
+                near.add(x["doc_id"])
+                held += x["size"]
+        else:
+            near = set() if before < after else {x["doc_id"] for x in group}
+        left = [x for x in part if x["at", d] < cut or x["doc_id"] in near]
+        names = {x["doc_id"] for x in left}
+        split(left, first, low, out)
+        split([x for x in part if x["doc_id"] not in names], first + low, leaves - low, out)
+
+    def xx_pair(a, b):
+        import xxhash
+
+        seed = xx(a.to_bytes(8, "little")) % (1 << 64)
+        h = xxhash.xxh64(b.to_bytes(8, "little", signed=True), seed=seed).intdigest()
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    want: dict[int, int] = {}
+    split(items, 0, 8, want)
+    assert {r.doc_id: r.shard for r in kd_sharding.shard_documents(frame).collect()} == want
+
+
+def test_quality_verdicts_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(240):
+        w = text(i, 70 + i % 50).split()
+        if i % 9 == 0:  # symbols in some, repeated phrases and lines in others
+            for j in rng.choice(len(w), 1 + i % 40, replace=False):
+                w[j] += "#"
+        t = " ".join(w)
+        if i % 7 == 0:
+            t += "\n" + "\n".join(["alpha beta gamma"] * (i % 12))
+        rows.append((i, t, "en" if i % 2 else "de", "a"))
+    rows += [(900, rows[0][1], "fr", "a"), (900, rows[0][1], "en", "a"), (901, None, None, None)]
+    got = quality.judge(table(spark, rows)).collect()
+    by = defaultdict(list)
+    for r in got:
+        if not r.base_failed:
+            n = max(1, r.n_words)
+            by[r.lang].append((r, [math.log(r.word_chars / n), math.log1p(100 * r.n_symbols / n), math.sqrt(10 * r.n_dup_lines / n), r.n_repeat_words / n]))
+    floors = np.diag(np.square(quality.FLOORS))
+    for lang in ("en", "de"):
+        x = np.array([v for _, v in by[lang]])
+        h, best = math.ceil(len(x) / 2), None
+        for k in range(60):  # exact halves from many random starts
+            own = rng.choice(len(x), h if k % 2 else 12, replace=False)
+            for _ in range(50):
+                m, s = x[own].mean(0), np.cov(x[own].T, bias=True) * quality.CONSISTENCY + floors
+                d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+                new = np.argsort(d, kind="stable")[:h]
+                if set(new) == set(own):
+                    break
+                own = new
+            if best is None or np.linalg.det(s) < best[0]:
+                best = (np.linalg.det(s), d)
+        clear = [(r.kept, bool(e <= quality.CUTOFF)) for (r, _), e in zip(by[lang], best[1]) if abs(e / quality.CUTOFF - 1) > 0.25]
+        assert len(clear) > 0.9 * len(x) and all(a == b for a, b in clear) and not all(a for a, _ in clear)
+    kept = sorted((r.doc_id, r.lang) for r in quality.keep_good(table(spark, rows)).collect())
+    assert kept == sorted((r.doc_id, r.lang) for r in got if r.kept)
