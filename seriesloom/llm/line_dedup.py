@@ -169,23 +169,33 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     placed, pairs = block_pairs(classes, percent)
     blocks = _blocks(docs, classes, placed, pairs)
 
-    def linked(a: Column, b: Column) -> Column:
-        alike = (F.col("apart") | (a["id"] < b["id"])) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))
+    def near(a: Column, b: Column) -> Column:
+        alike = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
         differ = reduce(lambda x, y: x + y, [F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k])) for k in range(WORDS)])
-        near = alike & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"]))
-        return near & ((100 + percent) * F.size(F.array_intersect(a["tokens"], b["tokens"])) >= percent * (a["n"] + b["n"]))
+        return alike & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"]))
+
+    def linked(a: Column, b: Column) -> Column:
+        once = F.col("apart") | (a["id"] < b["id"])
+        return once & near(a, b) & ((100 + percent) * F.size(F.array_intersect(a["tokens"], b["tokens"])) >= percent * (a["n"] + b["n"]))
 
-    same = pairs.where("x_home = y_home AND x_part = y_part").select(F.col("x_home").alias("home"), F.col("x_part").alias("part"))
     measured = F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["first"].alias("first"), F.size(x["tokens"]).alias("n"), _bits(x["tokens"]).alias("bits"), x["tokens"].alias("tokens")))
     blocks = blocks.withColumn("held", measured)
+    same = pairs.where("x_home = y_home AND x_part = y_part").select(F.col("x_home").alias("home"), F.col("x_part").alias("part"))
     inner = blocks.join(same, ["home", "part"], "left_semi").select(F.lit(False).alias("apart"), F.col("held").alias("x"), F.col("held").alias("y"))
     apart = pairs.where("x_home <> y_home OR x_part <> y_part")
+    hint = F.broadcast if apart.count() <= BROADCAST_LINES else (lambda frame: frame)
+    keys = {k: [f"{k}_home", f"{k}_part"] for k in "xy"}
+    x, y = (blocks.select(F.col("home").alias(keys[k][0]), F.col("part").alias(keys[k][1]), F.col("held").alias(k)).join(hint(apart.select(*keys[k]).distinct()), keys[k], "left_semi") for k in "xy")
+    # Two blocks meet by sizes and parities first, a tenth of the bytes; then only the classes that may be linked bring their tokens.
+    small = lambda frame, k: frame.withColumn(k, F.transform(k, lambda a: F.struct(a["id"].alias("id"), a["n"].alias("n"), a["bits"].alias("bits"))))
     # By number: pairs are few bytes, but much work.
     dealt = apart.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *apart.columns)
-    hint = F.broadcast if apart.count() <= BROADCAST_LINES else (lambda frame: frame)
-    ends = {k: hint(apart.select(f"{k}_home", f"{k}_part").distinct()) for k in "xy"}
-    x, y = (blocks.select(F.col("home").alias(f"{k}_home"), F.col("part").alias(f"{k}_part"), F.col("held").alias(k)).join(ends[k], [f"{k}_home", f"{k}_part"], "left_semi") for k in "xy")
-    both = inner.union(dealt.join(x, ["x_home", "x_part"]).join(y, ["y_home", "y_part"]).select(F.lit(True).alias("apart"), "x", "y"))
+    met = dealt.join(small(x, "x"), keys["x"]).join(small(y, "y"), keys["y"])
+    who = lambda one, other: F.transform(F.filter(one, lambda a: F.exists(other, lambda b: near(a, b))), lambda a: a["id"])
+    met = store(met.select(*apart.columns, who("x", "y").alias("x_ids"), who("y", "x").alias("y_ids")), "line-met").where(F.size("x_ids") > 0)
+    only = lambda k: F.filter(k, lambda a: F.array_contains(f"{k}_ids", a["id"])).alias(k)
+    outer = met.join(x, keys["x"]).select(*keys["y"], "y_ids", only("x")).join(y, keys["y"]).select(F.lit(True).alias("apart"), "x", only("y"))
+    both = inner.union(outer)
     both = both.withColumn("links", F.transform("x", lambda a: F.transform("y", lambda b: linked(a, b))))
     of = lambda one, other, is_link: F.transform(one, lambda a, i: F.struct(a["id"].alias("id"), F.transform(F.filter(other, lambda b, j: is_link(i, j)), lambda b: b["first"]).alias("firsts")))
     at = lambda i, j: F.get(F.get("links", i), j)
