@@ -1,4 +1,4 @@
-"""Nearest rows by brute force in blocks: the queries stay where they are, the other side goes round in bounded pieces."""
+"""Nearest rows by brute force in blocks: a small other side is broadcast, a larger one meets the queries by pairs of blocks."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+from ..session import ship
 
 BLOCK_VALUES = 1 << 21
 
@@ -30,35 +33,66 @@ def dtw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(cost[:, :, m])
 
 
+def hashed_block(key: str, parts: int) -> Column:
+    """The block, of ``parts``, that a row is in."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def every_pair(left: DataFrame, left_parts: int, left_key: str, right: DataFrame, right_parts: int, right_key: str) -> PandasCogroupedOps:
+    """Both sides by pairs of blocks, each of a bounded size, ready for ``applyInArrow``: each row goes to all blocks of the other side by a shuffle."""
+    every = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)])) if n <= 64 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = left.select("*", hashed_block(left_key, left_parts).alias("left_block"), every(right_parts).alias("right_block"))
+    two = right.select("*", hashed_block(right_key, right_parts).alias("right_block"), every(left_parts).alias("left_block"))
+    return one.groupBy("left_block", "right_block").cogroup(two.groupBy("left_block", "right_block"))
+
+
+def parts_of(rows: DataFrame, values: str = "v") -> int:
+    """Blocks of about BLOCK_VALUES numbers that rows make."""
+    return max(1, -(-(rows.agg(F.sum(F.size(values))).first()[0] or 0) // BLOCK_VALUES))
+
+
 def nearest(rows: DataFrame, others: DataFrame, k: int, same: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = _euclid) -> DataFrame:
-    """(series_id, label, other_id, other_label, dist, place): for each of rows(series_id, label, v) its k nearest of others; arrays of one length."""
-    n = others.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    parts, out = max(1, -(-n // BLOCK_VALUES)), None
-    for part in range(parts):
-        table = others.where(F.pmod(F.xxhash64("series_id"), F.lit(parts)) == part).select("series_id", "label", "v").toArrow()
-        if not table.num_rows:
-            continue
+    """(series_id, label, other_id, other_label, dist, place): for each of rows(series_id, label, v) its k nearest of others; arrays of one length.
+
+    Others of one block (BLOCK_VALUES numbers) are broadcast; more meet the rows by pairs of blocks.
+    """
+    ship(rows.sparkSession)
+    mine = rows.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v")
+    theirs = others.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v")
+    schema = "series_id bigint, label int, other_id bigint, other_label int, dist double"
+
+    def block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(table["series_id"].to_numpy(), kind="stable")
-        block = (table["series_id"].to_numpy()[order], table["label"].to_numpy()[order], np.array(table["v"].to_pylist(), np.float64)[order])
-        shared = rows.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, labels, y = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    piece = batch.slice(at, 256)
-                    d = np.round(distance(np.array(piece.column(2).to_pylist(), np.float64), y), 9)
-                    if same:
-                        d[piece.column(0).to_numpy()[:, None] == ids[None, :]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(d, best, 1)
-                    keep = np.flatnonzero(np.isfinite(value).ravel())
-                    own = pa.array(np.repeat(np.arange(piece.num_rows), best.shape[1])[keep])
-                    yield pa.RecordBatch.from_arrays([piece.column(0).take(own), piece.column(1).take(own), pa.array(ids[best].ravel()[keep]), pa.array(labels[best].ravel()[keep].astype(np.int32)), pa.array(value.ravel()[keep])], ["series_id", "label", "other_id", "other_label", "dist"])
-
-        found = rows.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v").mapInArrow(run, "series_id bigint, label int, other_id bigint, other_label int, dist double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "series_id bigint, label int, other_id bigint, other_label int, dist double, place int")
+        return table["series_id"].to_numpy()[order], table["label"].to_numpy()[order], np.array(table["v"].to_pylist(), np.float64)[order]
+
+    def match(table: pa.Table | pa.RecordBatch, other: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, labels, y = other
+        for at in range(0, table.num_rows, 256):
+            piece = table.slice(at, 256)
+            d = np.round(distance(np.array(piece.column(2).to_pylist(), np.float64), y), 9)
+            own_ids = piece.column(0).to_numpy()
+            if same:
+                d[own_ids[:, None] == ids[None, :]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(d, best, 1)
+            keep = np.flatnonzero(np.isfinite(value).ravel())
+            own = np.repeat(np.arange(piece.num_rows), best.shape[1])[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(own_ids[own]), pa.array(piece.column(1).to_pylist(), pa.int32()).take(pa.array(own)), pa.array(ids[best].ravel()[keep]), pa.array(labels[best].ravel()[keep].astype(np.int32)), pa.array(value.ravel()[keep])], ["series_id", "label", "other_id", "other_label", "dist"])
+
+    parts = parts_of(theirs)
+    if parts == 1:
+        table = theirs.toArrow()
+        if not table.num_rows:
+            return rows.sparkSession.createDataFrame([], schema + ", place int")
+        shared = rows.sparkSession.sparkContext.broadcast(block(table))
+        out = mine.mapInArrow(lambda batches: (x for batch in batches for x in match(batch, shared.value)), schema)
+    else:
+        empty = pa.schema([("series_id", pa.int64()), ("label", pa.int32()), ("other_id", pa.int64()), ("other_label", pa.int32()), ("dist", pa.float64())])
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = match(left, block(right)) if left.num_rows and right.num_rows else []
+            return pa.Table.from_batches([x.cast(empty) for x in found], empty)
+
+        out = every_pair(mine, parts_of(mine), "series_id", theirs, parts, "series_id").applyInArrow(pair, schema)
     place = F.row_number().over(Window.partitionBy("series_id").orderBy("dist", "other_id"))
     return out.withColumn("place", place).where(F.col("place") <= k)

@@ -1,6 +1,6 @@
 """Least distances between candidates and the windows of series.
 
-Candidates reach the tasks in blocks of a bounded size, so that any number of them can be matched;
+Few candidates are broadcast, many meet the series by pairs of bounded blocks, so that any number of them can be matched;
 within a task numpy compares all windows of a batch of series with the candidates of one length at once.
 """
 
@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..session import ship
+from .blocks import every_pair, parts_of
 
-#: Numbers in a block of candidates (16 MB), and in a table of windows that a task holds.
-BLOCK_VALUES, WINDOW_VALUES = 1 << 21, 1 << 22
+#: Numbers in a table of windows that a task holds.
+WINDOW_VALUES = 1 << 22
+FIELDS = pa.schema([("cand_id", pa.int64()), ("series_id", pa.int64()), ("label", pa.int32()), ("dist", pa.float64()), ("pos", pa.int32())])
 
 
 def window_ids(series: DataFrame, length: Column | str, start: Column | str) -> Column:
@@ -45,14 +48,6 @@ def candidates(series: DataFrame, lengths: range | tuple[int, ...], step: int =
     return rows.select(cand.alias("cand_id"), "series_id", "start_idx", "length", F.slice("v", F.col("start_idx") + 1, F.col("length")).alias("values"))
 
 
-def _blocks(cands: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    n = cands.agg(F.coalesce(F.sum(F.size("values")), F.lit(0))).first()[0]
-    parts = max(1, -(-n // BLOCK_VALUES))
-    for k in range(parts):
-        table = cands.where(F.pmod(F.xxhash64("cand_id"), F.lit(parts)) == k).select("cand_id", "values").toArrow()
-        yield [(c, np.array(x, np.float64)) for c, x in zip(table["cand_id"].to_pylist(), table["values"].to_pylist(), strict=True)]
-
-
 def _z(x: np.ndarray) -> np.ndarray:
     s = x.std(axis=-1, keepdims=True)
     return (x - x.mean(axis=-1, keepdims=True)) / np.where(s == 0, 1, s)
@@ -76,40 +71,52 @@ def min_distances(series: DataFrame, cands: DataFrame, normalize: bool = True, p
     dist: least Euclidean distance to a window; normalize: of z-normed windows (flat ones are zeros).  per_length
     divides by the root of the length (by default if normalize).  If the series is the shorter, its windows and the
     candidate change places.  pos: the first best window.  Empty arrays give no row.
+
+    Candidates of one block (BLOCK_VALUES numbers) are broadcast; more meet the series by pairs of blocks, in one plan of fixed size.
     """
     per_length = normalize if per_length is None else per_length
-    spark, out = series.sparkSession, None
-    for block in _blocks(cands):
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for cand, x in block:
-            by_length[len(x)].append((cand, x))
-        shared = spark.sparkContext.broadcast({n: (np.array([c for c, _ in xs]), np.stack([x for _, x in xs])) for n, xs in by_length.items() if n})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                groups: dict[int, list[int]] = defaultdict(list)
-                values = batch.column(2).to_pylist()
-                for i, v in enumerate(values):
-                    if v:
-                        groups[len(v)].append(i)
-                for m, rows in groups.items():
-                    for length, (ids, x) in shared.value.items():
-                        take = max(1, WINDOW_VALUES // (max(1, m - length + 1) * max(length, len(ids))))
-                        for at in range(0, len(rows), take):
-                            part = rows[at : at + take]
-                            own = np.array([values[i] for i in part], np.float64)
-                            if length <= m:
-                                best, pos = _least(x, own, normalize)
-                            else:
-                                best, pos = (y.T for y in _least(own, x, normalize))
-                            dist = np.sqrt(best / (min(length, m) if per_length else 1))
-                            k = len(ids)
-                            take_rows = pa.array(np.repeat(part, k))
-                            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(part))), batch.column(0).take(take_rows), batch.column(1).take(take_rows), pa.array(dist.ravel()), pa.array(pos.ravel().astype(np.int32))], ["cand_id", "series_id", "label", "dist", "pos"])
-
-        found = series.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v").mapInArrow(run, "cand_id bigint, series_id bigint, label int, dist double, pos int")
-        out = found if out is None else out.unionAll(found)
-    return out
+    spark = series.sparkSession
+    ship(spark)
+    schema = "cand_id bigint, series_id bigint, label int, dist double, pos int"
+    mine = series.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v")
+    theirs = cands.select(F.col("cand_id").cast("long").alias("cand_id"), "values")
+
+    def block(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        by_length: dict[int, list[tuple[int, list[float]]]] = defaultdict(list)
+        for cand, x in zip(table["cand_id"].to_pylist(), table["values"].to_pylist(), strict=True):
+            by_length[len(x or ())].append((cand, x))
+        return {n: (np.array([c for c, _ in xs]), np.array([x for _, x in xs], np.float64)) for n, xs in by_length.items() if n}
+
+    def match(table: pa.Table | pa.RecordBatch, other: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, list[int]] = defaultdict(list)
+        series_ids, labels, values = (table.column(i).to_pylist() for i in range(3))
+        for i, v in enumerate(values):
+            if v:
+                groups[len(v)].append(i)
+        for m, rows in groups.items():
+            for length, (ids, x) in other.items():
+                take = max(1, WINDOW_VALUES // (max(1, m - length + 1) * max(length, len(ids))))
+                for at in range(0, len(rows), take):
+                    part = rows[at : at + take]
+                    own = np.array([values[i] for i in part], np.float64)
+                    if length <= m:
+                        best, pos = _least(x, own, normalize)
+                    else:
+                        best, pos = (y.T for y in _least(own, x, normalize))
+                    dist = np.sqrt(best / (min(length, m) if per_length else 1))
+                    k = len(ids)
+                    who = [i for i in part for _ in range(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(part))), pa.array([series_ids[i] for i in who], pa.int64()), pa.array([labels[i] for i in who], pa.int32()), pa.array(dist.ravel()), pa.array(pos.ravel().astype(np.int32))], FIELDS.names)
+
+    parts = parts_of(theirs, "values")
+    if parts == 1:
+        shared = spark.sparkContext.broadcast(block(theirs.toArrow()))
+        return mine.mapInArrow(lambda batches: (x for batch in batches for x in match(batch, shared.value)), schema)
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(match(left, block(right))), FIELDS)
+
+    return every_pair(mine, parts_of(mine), "series_id", theirs, parts, "cand_id").applyInArrow(pair, schema)
 
 
 def mean_square(series: DataFrame, cands: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.order_lines import SCORES
@@ -33,21 +33,29 @@ def class_distances(line: DataFrame) -> DataFrame:
 
 
 def gain_bound(line: DataFrame, radius: float) -> DataFrame:
-    """(cand, bound): gain at the best threshold if every point within radius of it went to the side of its class's majority.
+    """(cand, bound): the largest gain over all thresholds if every point within radius of one went to the side that its class favours.
 
-    A bound for two classes; for more, an estimate.
+    A class favours the side of which it has the larger share; with equal shares its points stay.  For more than two classes an estimate.
+    Lines without a threshold give 0.
     """
-    best = score(line, "ig").select("cand", "tau")
-    near = F.abs(F.col("dist") - F.col("tau")) <= radius
-    per = line.join(best, "cand").groupBy("cand", "label").agg(
-        F.sum(F.when(F.col("dist") <= F.col("tau"), 1).otherwise(0)).alias("l"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(near & (F.col("dist") <= F.col("tau")), 1).otherwise(0)).alias("nl"),
-        F.sum(F.when(near & (F.col("dist") > F.col("tau")), 1).otherwise(0)).alias("nr"),
-    )
-    moved = F.when(2 * F.col("l") >= F.col("n"), F.col("l") + F.col("nr")).otherwise(F.col("l") - F.col("nl"))
-    per = per.withColumn("l", moved).withColumn("r", F.col("n") - moved)
-    h = lambda c: F.sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c))).otherwise(0.0))
-    t = per.groupBy("cand").agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"), F.sum("n").alias("n"), h("l").alias("hl"), h("r").alias("hr"), h("n").alias("ht"))
-    side = lambda n, hh: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n))).otherwise(0.0) - F.col(hh)
-    return t.select("cand", F.round(F.log("n") - F.col("ht") / F.col("n") - (side("nl", "hl") + side("nr", "hr")) / F.col("n"), 6).alias("bound"))
+    points = line.groupBy("cand", "label", F.col("dist").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("w"))
+    after = F.lead("x").over(Window.partitionBy("cand").orderBy("x"))
+    cuts = points.select("cand", "x").distinct().withColumn("after", after).where("after IS NOT NULL").select("cand", ((F.col("x") + F.col("after")) / 2).alias("x"))
+    labels = line.select("cand", "label").distinct()
+    # Cuts take part as points of no weight, so that frames over distances give the counts around them.
+    both = points.withColumn("cut", F.lit(False)).unionByName(cuts.join(labels, "cand").select("cand", "label", "x", F.lit(0).cast("long").alias("w"), F.lit(True).alias("cut")))
+    order = Window.partitionBy("cand", "label").orderBy("x")
+    total = F.sum("w").over(Window.partitionBy("cand", "label"))
+    left = F.sum("w").over(order.rangeBetween(Window.unboundedPreceding, 0))
+    around = (f"{float(radius)!r}D PRECEDING AND CURRENT ROW", f"CURRENT ROW AND {float(radius)!r}D FOLLOWING")
+    near = [F.expr(f"sum(w) OVER (PARTITION BY cand, label ORDER BY x RANGE BETWEEN {x})") for x in around]
+    at = both.select("cand", "label", "x", "cut", total.alias("n"), left.alias("l"), near[0].alias("nl"), near[1].alias("nr")).where("cut")
+    side = Window.partitionBy("cand", "x")
+    share = F.col("l") * F.sum(F.col("n") - F.col("l")).over(side) - (F.col("n") - F.col("l")) * F.sum("l").over(side)
+    moved = F.when(share > 0, F.col("l") + F.col("nr")).when(share < 0, F.col("l") - F.col("nl")).otherwise(F.col("l"))
+    per = at.select("cand", "x", "n", moved.alias("l")).withColumn("r", F.col("n") - F.col("l"))
+    plog = lambda c: F.when(c > 0, c * F.log(c)).otherwise(F.lit(0.0))
+    sums = per.groupBy("cand", "x").agg(*[F.sum(c).cast("double").alias(f"s{c}") for c in "nlr"], *[F.sum(plog(F.col(c).cast("double"))).alias(f"h{c}") for c in "nlr"])
+    rest = lambda c: plog(F.col(f"s{c}")) - F.col(f"h{c}")
+    best = sums.groupBy("cand").agg(F.max((rest("n") - rest("l") - rest("r")) / F.col("sn")).alias("bound"))
+    return line.select("cand").distinct().join(best, "cand", "left").select("cand", F.round(F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(0.0)), 6).alias("bound"))

@@ -226,3 +226,42 @@ def test_against_sql(spark, name):
     columns = sorted(frame.columns)
     assert columns == sorted(want.columns)
     assert sorted(map(repr, map(tuple, frame.select(*columns).collect()))) == sorted(map(repr, want.select(",".join(columns)).fetchall()))
+
+
+def test_pairs_of_blocks_give_what_one_block_gives(spark, monkeypatch):
+    from seriesloom.operators import blocks
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, i % 3, rng.normal(size=20).tolist()) for i in range(40)], "series_id long, label int, v array<double>")
+    cands = candidates(rows.where("series_id < 9"), (5, 9), 4)
+    near = lambda: sorted(map(tuple, blocks.nearest(rows, rows, 3, same=True).collect()))
+    dist = lambda: sorted((r.cand_id, r.series_id, r.label, round(r.dist, 9), r.pos) for r in min_distances(rows, cands).collect())
+    one = near(), dist()
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", 150)
+    assert blocks.parts_of(rows) > 3 and (near(), dist()) == one
+
+
+def test_gain_bound_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    lines = {c: [(float(np.round(rng.random(), 1 + c % 2)), int(rng.integers(0, 2 + c % 3))) for _ in range(25)] for c in range(9)} | {99: [(0.5, 0), (0.5, 1)]}
+    frame = spark.createDataFrame([(c, d, k) for c, xs in lines.items() for d, k in xs], "cand long, dist double, label int")
+    entropy = lambda counts: -sum(x / sum(counts) * math.log(x / sum(counts)) for x in counts if x)
+    got = {r.cand: r.bound for r in metrics.gain_bound(frame, 0.15).collect()}
+    for c, xs in lines.items():
+        labels, best, at = sorted({k for _, k in xs}), 0.0, sorted({d for d, _ in xs})
+        for a, b in zip(at, at[1:]):
+            tau = (a + b) / 2
+            left = {k: sum(d <= a and x == k for d, x in xs) for k in labels}
+            right = {k: sum(d > a and x == k for d, x in xs) for k in labels}
+            n, m = sum(left.values()), sum(right.values())
+            sure = {x: left[x] * m - right[x] * n for x in labels}
+            new_left = dict(left)
+            for d, k in xs:
+                if sure[k] < 0 and tau - 0.15 <= d <= a:
+                    new_left[k] -= 1
+                if sure[k] > 0 and a < d <= tau + 0.15:
+                    new_left[k] += 1
+            new_right = {k: left[k] + right[k] - new_left[k] for k in labels}
+            parts = [list(x.values()) for x in (new_left, new_right) if sum(x.values())]
+            best = max(best, entropy([left[k] + right[k] for k in labels]) - sum(sum(p) / len(xs) * entropy(p) for p in parts))
+        assert math.isclose(got[c], best, abs_tol=2e-6), (c, got[c], best)
