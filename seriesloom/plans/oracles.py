@@ -31,6 +31,20 @@ d AS (SELECT cand_id, zw.series_id, label, min(list_distance(zq.z, zw.z) / {over
 _DM = _dist() + ", dm AS (SELECT cand_id AS cand, round(r, 5) AS dist, label FROM d)"
 
 
+#: Every threshold of a line with all its points: what the range frames of gain_bound give, by a join.
+_BOUND = f"""WITH {_DM},
+pts AS (SELECT cand, label, dist, count(*) AS w FROM dm GROUP BY 1, 2, 3),
+ds AS (SELECT cand, dist, lead(dist) OVER (PARTITION BY cand ORDER BY dist) AS nxt FROM (SELECT DISTINCT cand, dist FROM dm)),
+cuts AS (SELECT cand, (dist + nxt) / 2 AS tau FROM ds WHERE nxt IS NOT NULL),
+g AS (SELECT c.cand, c.tau, p.label, CAST(sum(w) AS BIGINT) AS n, CAST(sum(CASE WHEN p.dist <= c.tau THEN w ELSE 0 END) AS BIGINT) AS l,
+  CAST(sum(CASE WHEN p.dist <= c.tau AND p.dist >= c.tau - 5e-2 THEN w ELSE 0 END) AS BIGINT) AS nl, CAST(sum(CASE WHEN p.dist > c.tau AND p.dist <= c.tau + 5e-2 THEN w ELSE 0 END) AS BIGINT) AS nr
+  FROM cuts c JOIN pts p ON p.cand = c.cand GROUP BY 1, 2, 3),
+t AS (SELECT *, sum(l) OVER (PARTITION BY cand, tau) AS tl, sum(n - l) OVER (PARTITION BY cand, tau) AS tr FROM g),
+m AS (SELECT cand, tau, CAST(n AS DOUBLE) AS n, CAST(CASE WHEN l * tr > (n - l) * tl THEN l + nr WHEN l * tr < (n - l) * tl THEN l - nl ELSE l END AS DOUBLE) AS l FROM t),
+h AS (SELECT cand, tau, sum(n) AS n, sum(l) AS l, sum(n - l) AS r, sum(n * ln(n)) AS hn, sum(CASE WHEN l > 0 THEN l * ln(l) ELSE 0e0 END) AS hl, sum(CASE WHEN n > l THEN (n - l) * ln(n - l) ELSE 0e0 END) AS hr FROM m GROUP BY 1, 2)
+SELECT cand, round(greatest(0e0, max((n * ln(n) - hn - CASE WHEN l > 0 THEN l * ln(l) ELSE 0e0 END + hl - CASE WHEN r > 0 THEN r * ln(r) ELSE 0e0 END + hr) / n)), 6) AS bound FROM h GROUP BY 1"""
+
+
 def _score(metric: str) -> str:
     return f"WITH {_DM} SELECT * FROM ({SCORES[metric].format(dm='dm')})"
 
@@ -89,6 +103,7 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "f_scores": _score("f"),
     "kw_scores": _score("kw"),
     "mood_scores": _score("mm"),
+    "gain_bound": _BOUND,
     "topk_shapelets": f"WITH {_DM} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM ({SCORES['ig'].format(dm='dm')}) g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
     "sax_words": f"WITH {_words()} SELECT series_id, pos, array_to_string(word, '') AS word FROM wd",
     "sax_distance": f"WITH {_words()}, p AS (SELECT a.series_id, a.pos, a.word AS x, b.word AS y FROM wd a JOIN wd b ON a.series_id = b.series_id AND b.pos = a.pos + 16) SELECT series_id, pos, round(2 * list_sum(list_transform(list_zip(x, y), lambda e: CASE WHEN abs(e[1] - e[2]) <= 1 THEN 0e0 ELSE [{', '.join(repr(b) + '::DOUBLE' for b in breakpoints(4))}][greatest(e[1], e[2])] - [{', '.join(repr(b) + '::DOUBLE' for b in breakpoints(4))}][least(e[1], e[2]) + 1] END)), 6) AS dist FROM p",

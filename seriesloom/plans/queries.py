@@ -15,7 +15,7 @@ from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTre
 from ..operators.extractors import Brute, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
 from ..sources import series as S
 
-LENGTH, STARTS = 16, (0, 16, 32, 48)
+LENGTH = 16
 #: Word positions that the three masks keep.
 MASKS = [[0, 1, 3, 5, 6], [1, 2, 4, 6, 7], [0, 2, 3, 4, 7]]
 DIGITS = 6
@@ -121,6 +121,11 @@ def topk_shapelets(spark, sf):
     return top(rank(_cands(rows), rows), 5).select("cand_id", "series_id", "start_idx", "length", "score", "gap", "tau")
 
 
+def brute_topk(spark, sf):
+    """All windows of a length of all series, each with all series."""
+    return Brute(8, 9).extract(S.event_series(spark, sf), 10)
+
+
 def topk_no_overlap(spark, sf):
     rows = _emb(spark, sf)
     return without_overlap(rank(_cands(rows, 4), rows), 10).select("cand_id", "series_id", "start_idx", "length", "score", "gap", "tau")
@@ -298,7 +303,7 @@ def learned_extract(spark, sf):
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
-    ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
+    ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
     scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, matrix_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
     tree_predict, transformer, dtw_neighbours, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
