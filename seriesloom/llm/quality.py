@@ -171,12 +171,12 @@ def estimate(rows: DataFrame) -> DataFrame:
     for _ in range(MOST_STEPS):
         if not best.where("live").limit(1).count():
             break
-        near = rows.join(F.broadcast(best.where("live")), "pool").withColumn("ring", F.floor(F.log(distance() + 1e-6) * DISTANCE_BINS))
+        near = rows.join(best.where("live"), "pool").withColumn("ring", F.floor(F.log(distance() + 1e-6) * DISTANCE_BINS))
         rings = near.groupBy("pool", "start", "ring").agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("pool", "start").orderBy("ring"))
         rings = rings.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start")))
         edge = store(rings.where(F.col("upto") >= HALF * F.col("all")).groupBy("pool", "start").agg(F.min("ring").alias("edge")), "quality-edge")
-        half = near.join(F.broadcast(edge), ["pool", "start"]).where("ring <= edge")
+        half = near.join(edge, ["pool", "start"]).where("ring <= edge")
         moved = _cholesky(half.groupBy("pool", "start").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *_second()))
         moved = moved.withColumn("log_det", sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00")))
         before = best.select("pool", "start", F.col("log_det").alias("was"))
