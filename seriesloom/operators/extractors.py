@@ -67,10 +67,6 @@ class Brute:
         return top(rank(candidates(series, range(self.min_len, most), self.step), series, self.metric), k)
 
 
-class Fast(Brute):
-    """The same result: distances come from dot products of all windows at once, which Brute's kernel does already."""
-
-
 @dataclass
 class Sax:
     """Windows whose words collide unevenly under random masks, then scored; overlaps are left out."""
@@ -406,7 +402,7 @@ class MultiGenetic:
         return _result(series, hall, "ig", False, k or len(hall))
 
 
-EXTRACTORS = {"brute": Brute, "fast": Fast, "sax": Sax, "learn": Learned, "genetic": MultiGenetic, "single_genetic": Genetic, "pso": Swarm}
+EXTRACTORS = {"brute": Brute, "sax": Sax, "learn": Learned, "genetic": MultiGenetic, "single_genetic": Genetic, "pso": Swarm}
 
 
 def extractor(method: object) -> object:
