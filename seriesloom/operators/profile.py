@@ -51,8 +51,9 @@ def matrix_profile(sequences: DataFrame, length: int, spread: int = 1) -> DataFr
                     d[:, (gap >= -(length // 2)) & (gap < length // 2)] = np.inf
                     order = np.argsort(d, axis=0, kind="stable")
                     best = np.cumsum(np.take_along_axis(d, order, 0), axis=0) / np.arange(1, len(d) + 1)[:, None, None]
-                    best = np.round(np.sqrt(best), 9)
-                    where = best.argmin(axis=2)
+                    best = np.sqrt(best)
+                    # Ties to 9 digits.
+                    where = np.round(best, 9).argmin(axis=2)
                     for k in range(len(d)):
                         for i, p in enumerate(q):
                             value = best[k, i, where[k, i]]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators.sax import breakpoints
-from .order_lines import SCORES
 from .queries import MASKS
 
 _S = "s AS (SELECT vec_id AS series_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -45,9 +44,48 @@ h AS (SELECT cand, tau, sum(n) AS n, sum(l) AS l, sum(n - l) AS r, sum(n * ln(n)
 SELECT cand, round(greatest(0e0, max((n * ln(n) - hn - CASE WHEN l > 0 THEN l * ln(l) ELSE 0e0 END + hl - CASE WHEN r > 0 THEN r * ln(r) ELSE 0e0 END + hr) / n)), 6) AS bound FROM h GROUP BY 1"""
 
 
-def _score(metric: str) -> str:
-    return f"WITH {_DM} SELECT * FROM ({SCORES[metric].format(dm='dm')})"
-
+#: Gain, gap and threshold of every cut by a join of cuts and points, from entropies of both sides; the best cut of each line.
+_GAIN = """pts AS (SELECT cand, label, dist, CAST(count(*) AS DOUBLE) AS w FROM dm GROUP BY 1, 2, 3),
+ds AS (SELECT cand, dist, lead(dist) OVER (PARTITION BY cand ORDER BY dist) AS nxt FROM (SELECT DISTINCT cand, dist FROM dm)),
+cuts AS (SELECT cand, (dist + nxt) / 2 AS tau FROM ds WHERE nxt IS NOT NULL),
+side AS (SELECT c.cand, c.tau, p.dist <= c.tau AS near, p.label, sum(w) AS n, sum(w * p.dist) AS s FROM cuts c JOIN pts p ON p.cand = c.cand GROUP BY 1, 2, 3, 4),
+ent AS (SELECT cand, tau, near, sum(n) AS n, sum(s) AS s, -sum(n / tot * ln(n / tot)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY cand, tau, near) AS tot FROM side) GROUP BY 1, 2, 3),
+whole AS (SELECT cand, sum(n) AS n, -sum(n / tot * ln(n / tot)) AS h FROM (SELECT cand, label, sum(w) AS n, sum(sum(w)) OVER (PARTITION BY cand) AS tot FROM pts GROUP BY 1, 2) GROUP BY 1),
+cut AS (SELECT l.cand, l.tau, round(a.h - (l.n * l.h + r.n * r.h) / a.n, 9) AS gain, round(r.s / r.n - l.s / l.n, 9) AS gap FROM ent l JOIN ent r ON l.cand = r.cand AND l.tau = r.tau AND l.near AND NOT r.near JOIN whole a ON a.cand = l.cand),
+best AS (SELECT cand, round(gain, 6) AS gain, round(gap, 6) AS gap, round(tau, 6) AS tau FROM cut QUALIFY row_number() OVER (PARTITION BY cand ORDER BY cut.gain DESC, cut.gap DESC, cut.tau) = 1)"""
+
+#: Variance ratio from the deviations of single points.
+_F = """SELECT cand, round((sum((m - g) * (m - g)) / nullif(count(DISTINCT label) - 1, 0)) / nullif(sum((dist - m) * (dist - m)) / nullif(count(*) - count(DISTINCT label), 0), 0e0), 6) AS score
+FROM (SELECT cand, label, dist, avg(dist) OVER (PARTITION BY cand, label) AS m, avg(dist) OVER (PARTITION BY cand) AS g FROM dm) GROUP BY 1"""
+
+#: Ranks by counting smaller points; H as the spread of mean ranks about the middle one, over the correction for ties.
+_KW = """v AS (SELECT cand, dist, CAST(count(*) AS DOUBLE) AS t FROM dm GROUP BY 1, 2),
+rk AS (SELECT a.cand, a.dist, a.t, coalesce(sum(b.t), 0e0) + (a.t + 1) / 2 AS r FROM v a LEFT JOIN v b ON b.cand = a.cand AND b.dist < a.dist GROUP BY 1, 2, 3),
+sz AS (SELECT cand, sum(t) AS n, sum(t * t * t - t) AS ties FROM v GROUP BY 1),
+mr AS (SELECT dm.cand, label, count(*) AS k, avg(r) AS m FROM dm JOIN rk ON rk.cand = dm.cand AND rk.dist = dm.dist GROUP BY 1, 2)
+SELECT mr.cand, round(12 / (max(n) * (max(n) + 1)) * sum(k * (m - (n + 1) / 2) * (m - (n + 1) / 2)) / nullif(1 - max(ties) / nullif(max(n) * max(n) * max(n) - max(n), 0e0), 0e0), 6) AS score FROM mr JOIN sz ON sz.cand = mr.cand GROUP BY 1"""
+
+#: Chi-square of the shares above the median in its form for two rows.
+_MOOD = """md AS (SELECT cand, quantile_cont(dist, 0.5) AS mid FROM dm GROUP BY 1),
+ab AS (SELECT dm.cand, label, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (dist > mid) AS DOUBLE) AS a FROM dm JOIN md ON md.cand = dm.cand GROUP BY 1, 2),
+al AS (SELECT cand, sum(n) AS n, sum(a) AS a, count(*) AS k FROM ab GROUP BY 1),
+df AS (SELECT ab.cand, ab.n, al.n AS nn, al.a AS aa, abs(ab.a - ab.n * al.a / al.n) AS d, k FROM ab JOIN al ON al.cand = ab.cand)
+SELECT cand, round(sum(power(CASE WHEN k = 2 THEN d - least(5e-1, d) ELSE d END, 2) / n) * max(nn) * max(nn) / nullif(max(aa) * (max(nn) - max(aa)), 0e0), 6) AS score FROM df GROUP BY 1"""
+
+#: The walk over the windows of a series, best first, as a recursion over places.
+_WALK = f"""WITH RECURSIVE {_dist(True, 4)}, dm AS (SELECT cand_id AS cand, round(r, 5) AS dist, label FROM d), {_GAIN},
+rk AS (SELECT zq.cand_id, zq.source, zq.start_idx, gain, gap, tau, row_number() OVER (PARTITION BY zq.source ORDER BY gain DESC NULLS LAST, gap DESC NULLS LAST, zq.start_idx) AS place FROM zq LEFT JOIN best ON best.cand = zq.cand_id),
+walk AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS place, CAST([] AS INTEGER[]) AS kept FROM rk
+  UNION ALL SELECT w.source, r.place, CASE WHEN len(kept) < 10 AND len(list_filter(kept, lambda a: a <= r.start_idx AND r.start_idx < a + 16)) = 0 THEN list_append(kept, r.start_idx) ELSE kept END FROM walk w JOIN rk r ON r.source = w.source AND r.place = w.place + 1),
+last AS (SELECT source, arg_max(kept, place) AS kept FROM walk GROUP BY 1)
+SELECT cand_id, rk.source AS series_id, start_idx, 16 AS length, gain AS score, gap, tau FROM rk JOIN last ON last.source = rk.source AND list_contains(kept, start_idx) ORDER BY gain DESC NULLS LAST, gap DESC NULLS LAST, rk.source, start_idx LIMIT 10"""
+
+#: Two halves of a series as dimensions, every pair of windows.
+_TWO = f"""WITH {_S}, w AS (SELECT series_id AS seq_id, CAST(p AS INTEGER) AS p, v[p+1:p+8] AS a, v[p+33:p+40] AS b FROM s, (SELECT unnest(range(25)) AS p)),
+z AS (SELECT seq_id, p, {_z("a")} AS a, {_z("b")} AS b FROM w),
+d AS (SELECT x.seq_id, x.p, y.p AS q, power(list_distance(x.a, y.a), 2) AS da, power(list_distance(x.b, y.b), 2) AS db FROM z x JOIN z y ON x.seq_id = y.seq_id AND NOT (y.p - x.p >= -4 AND y.p - x.p < 4)),
+k AS (SELECT seq_id, 1 AS k, p, q, sqrt(least(da, db)) AS d FROM d UNION ALL SELECT seq_id, 2, p, q, sqrt((da + db) / 2) FROM d)
+SELECT seq_id, CAST(k AS INTEGER) AS k, p AS pos, round(min({{'r': round(d, 9), 'q': q, 'd': d}}).d, 6) AS profile, min({{'r': round(d, 9), 'q': q}}).q AS nearest FROM k GROUP BY 1, 2, 3"""
 
 
 def _words() -> str:
@@ -56,7 +94,7 @@ def _words() -> str:
     cuts = ", ".join(repr(x) + "::DOUBLE" for x in breakpoints(4))
     return f"""{_S}, w AS (SELECT series_id, label, CAST(p AS INTEGER) AS pos, v[p+1:p+32] AS w FROM s, (SELECT unnest(range(33)) AS p)),
 z AS (SELECT series_id, label, pos, {_z('w')} AS z FROM w), m AS (SELECT series_id, label, pos, [{means}] AS m FROM z),
-wd AS (SELECT series_id, label, pos, list_transform(m, lambda x: len(list_filter([{cuts}], lambda b: b <= x))) AS word FROM m)"""
+wd AS MATERIALIZED (SELECT series_id, label, pos, list_transform(m, lambda x: len(list_filter([{cuts}], lambda b: b <= x))) AS word FROM m)"""
 
 
 def _power() -> str:
@@ -99,12 +137,14 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "mean_square_min": f"WITH {_dist(False)} SELECT cand_id, series_id, round(r * r / 16, 6) AS dist FROM d",
     "transform_features": f"WITH {_dist(False)} SELECT series_id, label, list(round(r, 6) ORDER BY cand_id) AS features FROM d GROUP BY 1, 2",
     "order_line_classes": f"WITH {_DM} SELECT cand, label, count(*) AS n, min(dist) AS nearest, max(dist) AS farthest FROM dm GROUP BY 1, 2",
-    "ig_scores": _score("ig"),
-    "f_scores": _score("f"),
-    "kw_scores": _score("kw"),
-    "mood_scores": _score("mm"),
+    "ig_scores": f"WITH {_DM}, {_GAIN} SELECT cand, gain, gap, tau FROM best",
+    "f_scores": f"WITH {_DM} {_F}",
+    "kw_scores": f"WITH {_DM}, {_KW}",
+    "mood_scores": f"WITH {_DM}, {_MOOD}",
     "gain_bound": _BOUND,
-    "topk_shapelets": f"WITH {_DM} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM ({SCORES['ig'].format(dm='dm')}) g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
+    "topk_shapelets": f"WITH {_DM}, {_GAIN} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM best g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
+    "topk_no_overlap": _WALK,
+    "profile_two_dims": _TWO,
     "sax_words": f"WITH {_words()} SELECT series_id, pos, array_to_string(word, '') AS word FROM wd",
     "sax_distance": f"WITH {_words()}, p AS (SELECT a.series_id, a.pos, a.word AS x, b.word AS y FROM wd a JOIN wd b ON a.series_id = b.series_id AND b.pos = a.pos + 16) SELECT series_id, pos, round(2 * list_sum(list_transform(list_zip(x, y), lambda e: CASE WHEN abs(e[1] - e[2]) <= 1 THEN 0e0 ELSE [{', '.join(repr(b) + '::DOUBLE' for b in breakpoints(4))}][greatest(e[1], e[2])] - [{', '.join(repr(b) + '::DOUBLE' for b in breakpoints(4))}][least(e[1], e[2]) + 1] END)), 6) AS dist FROM p",
     "sax_power": f"WITH {_power()} SELECT series_id, pos, power FROM pw",

@@ -1,4 +1,4 @@
-"""Scores of order lines dm(cand, dist, label): SQL that Spark and the checks share.
+"""Scores of order lines dm(cand, dist, label) in SQL.
 
 All literals are doubles: decimal ones round differently between engines.
 """

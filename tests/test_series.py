@@ -216,7 +216,7 @@ def test_wilcoxon(spark):
     assert (r.n, r.w_plus, r.w_minus, r.statistic) == (3, 5.0, 1.0, 1.0)
 
 
-@pytest.mark.parametrize("name", ["sdist_matrix", "ig_scores", "f_scores", "kw_scores", "mood_scores", "sax_words", "scatter_ratio", "matrix_profile", "customer_series", "wilcoxon"])
+@pytest.mark.parametrize("name", ["sdist_matrix", "ig_scores", "f_scores", "kw_scores", "mood_scores", "topk_shapelets", "topk_no_overlap", "profile_two_dims", "sax_distance", "sax_words", "scatter_ratio", "matrix_profile", "customer_series", "wilcoxon"])
 def test_against_sql(spark, name):
     frame = queries.queries()[name](spark, SF)
     con = duckdb.connect()
