@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from ..session import ship
 
 BLOCK_VALUES = 1 << 21
+#: Rows that a pair of blocks makes, at most about.
+PAIR_ROWS = 1 << 22
 
 
 def _euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -51,6 +54,11 @@ def parts_of(rows: DataFrame, values: str = "v") -> int:
     return max(1, -(-(rows.agg(F.sum(F.size(values))).first()[0] or 0) // BLOCK_VALUES))
 
 
+def parts_by_rows(one: int, two: int) -> int:
+    """Blocks of each side so that a pair of them makes about PAIR_ROWS of one * two rows."""
+    return max(1, math.ceil(math.sqrt(one * two / PAIR_ROWS)))
+
+
 def nearest(rows: DataFrame, others: DataFrame, k: int, same: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = _euclid) -> DataFrame:
     """(series_id, label, other_id, other_label, dist, place): for each of rows(series_id, label, v) its k nearest of others; arrays of one length.
 

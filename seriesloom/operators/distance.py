@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..session import ship
-from .blocks import every_pair, parts_of
+from .blocks import every_pair, parts_by_rows, parts_of
 
 #: Numbers in a table of windows that a task holds.
 WINDOW_VALUES = 1 << 22
@@ -116,7 +116,8 @@ def min_distances(series: DataFrame, cands: DataFrame, normalize: bool = True, p
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(match(left, block(right))), FIELDS)
 
-    return every_pair(mine, parts_of(mine), "series_id", theirs, parts, "cand_id").applyInArrow(pair, schema)
+    least = parts_by_rows(mine.count(), theirs.count())
+    return every_pair(mine, max(least, parts_of(mine)), "series_id", theirs, max(least, parts), "cand_id").applyInArrow(pair, schema)
 
 
 def mean_square(series: DataFrame, cands: DataFrame) -> DataFrame:

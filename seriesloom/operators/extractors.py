@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alignment import blended
 from .distance import candidates, min_distances
 from .metrics import order_line, scores
 from .profile import matrix_profile, motifs
 from .sax import random_masks, sax_candidates
+from .sums import window_distances
 
 
 def rank(cands: DataFrame, series: DataFrame, metric: str = "ig", normalize: bool = True) -> DataFrame:
@@ -67,6 +69,21 @@ class Brute:
         return top(rank(candidates(series, range(self.min_len, most), self.step), series, self.metric), k)
 
 
+@dataclass
+class Fast:
+    """What Brute finds, from running sums: all lengths of a pair of series after one pass.  Flat windows have correlation 0."""
+
+    min_len: int = 4
+    max_len: int | None = None
+    metric: str = "ig"
+
+    def extract(self, series: DataFrame, k: int = 1) -> DataFrame:
+        most = self.max_len or series.agg(F.max(F.size("v"))).first()[0] or self.min_len
+        lengths = range(self.min_len, most)
+        found = scores(order_line(window_distances(series, lengths)), self.metric)
+        return top(candidates(series, lengths).join(found.withColumnRenamed("cand", "cand_id"), "cand_id", "left"), k)
+
+
 @dataclass
 class Sax:
     """Windows whose words collide unevenly under random masks, then scored; overlaps are left out."""
@@ -257,11 +274,13 @@ def kmeans_windows(series: DataFrame, k: int, length: int, sample: int = 2500, i
 class Learned:
     """Arrays and a linear classifier learned together by gradient descent on soft-minimum distances.
 
-    Every step is one job: tasks sum the gradient over their series, the shuffle adds the sums up.
+    sizes: {length: arrays} learns several lengths at once; without it ``shapelets`` arrays of one length.  Series shorter than
+    the longest array are left out.  Every step is one job: tasks sum the gradient over their series, the shuffle adds the sums up.
     """
 
     length: int = 16
     shapelets: int = 3
+    sizes: dict[int, int] | None = None
     steps: int = 20
     rate: float = 0.5
     alpha: float = -25.0
@@ -269,60 +288,67 @@ class Learned:
     metric: str = "ig"
     seed: int = 1337
 
-    def fit(self, series: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
-        """(shapelets, weights, bias, mean loss of each step); labels are 0 .. classes - 1."""
+    def fit(self, series: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[float]]:
+        """(a table of arrays per length, weights, bias, mean loss of each step); labels are 0 .. classes - 1."""
         classes = (series.agg(F.max("label")).first()[0] or 0) + 1
-        s = np.array(kmeans_windows(series, self.shapelets, self.length, seed=self.seed))
-        w, b, losses = np.zeros((len(s), classes)), np.zeros(classes), []
-        for _ in range(self.steps if len(s) else 0):
-            sums = self._gradient(series, s, w, b)
+        starts = [np.array(kmeans_windows(series, k, length, seed=self.seed)) for length, k in sorted((self.sizes or {self.length: self.shapelets}).items())]
+        blocks = [x for x in starts if len(x)]
+        w, b, losses = np.zeros((sum(map(len, blocks)), classes)), np.zeros(classes), []
+        for _ in range(self.steps if blocks else 0):
+            sums = self._gradient(series, blocks, w, b)
             flat = np.array([r.total for r in sums.groupBy("at").agg(F.sum("value").alias("total")).orderBy("at").collect()])
-            n, loss, flat = flat[0], flat[1], flat[2:]
+            if not len(flat) or not flat[0]:
+                break
+            n, loss = flat[:2]
             losses.append(loss / n)
-            ds, dw, db = np.split(flat / n, [s.size, s.size + w.size])
-            s = s - self.rate * ds.reshape(s.shape)
+            *steps, dw, db = np.split(flat[2:] / n, np.cumsum([*(x.size for x in blocks), w.size]))
+            blocks = [x - self.rate * d.reshape(x.shape) for x, d in zip(blocks, steps, strict=True)]
             w = w - self.rate * (dw.reshape(w.shape) + self.regular * w)
             b = b - self.rate * db
-        return s, w, b, losses
+        return blocks, w, b, losses
 
-    def _gradient(self, series: DataFrame, s: np.ndarray, w: np.ndarray, b: np.ndarray) -> DataFrame:
-        alpha = self.alpha
+    def _gradient(self, series: DataFrame, blocks: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> DataFrame:
+        alpha, longest = self.alpha, max(x.shape[1] for x in blocks)
+        at = np.cumsum([len(x) for x in blocks])[:-1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 + s.size + w.size + b.size)
+            total = np.zeros(2 + sum(x.size for x in blocks) + w.size + b.size)
             for batch in batches:
                 for label, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    x = np.array(v)
-                    if len(x) < s.shape[1]:
+                    if v is None or len(v) < longest:
                         continue
-                    win = np.lib.stride_tricks.sliding_window_view(x, s.shape[1])
-                    diff = s[:, None] - win[None]
-                    d = (diff * diff).mean(-1)
-                    e = np.exp(alpha * (d - d.min(1, keepdims=True)))
-                    p = e / e.sum(1, keepdims=True)
-                    m = (p * d).sum(1)
+                    x, parts = np.array(v), []
+                    for s in blocks:
+                        diff = s[:, None] - np.lib.stride_tricks.sliding_window_view(x, s.shape[1])[None]
+                        d = (diff * diff).mean(-1)
+                        e = np.exp(alpha * (d - d.min(1, keepdims=True)))
+                        p = e / e.sum(1, keepdims=True)
+                        parts.append((diff, d, p, (p * d).sum(1)))
+                    m = np.concatenate([part[3] for part in parts])
                     logits = m @ w + b
                     q = np.exp(logits - logits.max())
                     q /= q.sum()
                     loss = -np.log(max(q[label], 1e-300))
                     q[label] -= 1
-                    dm = w @ q
-                    dd = p * (1 + alpha * (d - m[:, None])) * dm[:, None]
-                    ds = (dd[:, :, None] * 2 * diff / s.shape[1]).sum(1)
-                    total += np.concatenate(([1, loss], ds.ravel(), np.outer(m, q).ravel(), q))
+                    slopes = []
+                    for (diff, d, p, own), dm in zip(parts, np.split(w @ q, at), strict=True):
+                        dd = p * (1 + alpha * (d - own[:, None])) * dm[:, None]
+                        slopes.append((dd[:, :, None] * 2 * diff / diff.shape[2]).sum(1).ravel())
+                    total += np.concatenate(([1, loss], *slopes, np.outer(m, q).ravel(), q))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "value"])
 
         return series.select("label", "v").mapInArrow(run, "at int, value double")
 
     def extract(self, series: DataFrame, k: int = 1) -> DataFrame:
-        return _result(series, list(self.fit(series)[0]), self.metric, True, k)
+        return _result(series, [x for block in self.fit(series)[0] for x in block], self.metric, True, k)
 
 
 @dataclass
 class MultiGenetic:
     """Individuals are sets of arrays; fitness: cross-validated log-loss of a nearest-centre model on their distances, then fewer points.
 
-    Starts mix k-means centres, discords of sampled series and random windows.
+    Starts mix k-means centres, discords of sampled series and random windows.  Parents swap arrays (crossover) and are blended with their
+    nearest partners by the alignment kernel (blend).
     """
 
     population: int = 10
@@ -331,6 +357,7 @@ class MultiGenetic:
     add: float = 0.3
     remove: float = 0.3
     crossover: float = 0.66
+    blend: float = 0.33
     wait: int = 5
     min_len: int = 4
     max_len: int = 32
@@ -384,6 +411,8 @@ class MultiGenetic:
                 if rng.random() < self.crossover:
                     a, b = int(rng.integers(len(people[i]))), int(rng.integers(len(people[i + 1])))
                     people[i][a], people[i + 1][b] = people[i + 1][b], people[i][a]
+                if rng.random() < self.blend:
+                    people[i], people[i + 1] = blended(people[i], people[i + 1])
             for p in people:
                 if rng.random() < self.noise:
                     j = int(rng.integers(len(p)))
@@ -402,7 +431,7 @@ class MultiGenetic:
         return _result(series, hall, "ig", False, k or len(hall))
 
 
-EXTRACTORS = {"brute": Brute, "sax": Sax, "learn": Learned, "genetic": MultiGenetic, "single_genetic": Genetic, "pso": Swarm}
+EXTRACTORS = {"brute": Brute, "fast": Fast, "sax": Sax, "learn": Learned, "genetic": MultiGenetic, "single_genetic": Genetic, "pso": Swarm}
 
 
 def extractor(method: object) -> object:

@@ -46,8 +46,8 @@ SELECT cand, round(greatest(0e0, max((n * ln(n) - hn - CASE WHEN l > 0 THEN l *
 
 #: Gain, gap and threshold of every cut by a join of cuts and points, from entropies of both sides; the best cut of each line.
 _GAIN = """pts AS (SELECT cand, label, dist, CAST(count(*) AS DOUBLE) AS w FROM dm GROUP BY 1, 2, 3),
-ds AS (SELECT cand, dist, lead(dist) OVER (PARTITION BY cand ORDER BY dist) AS nxt FROM (SELECT DISTINCT cand, dist FROM dm)),
-cuts AS (SELECT cand, (dist + nxt) / 2 AS tau FROM ds WHERE nxt IS NOT NULL),
+nexts AS (SELECT cand, dist, lead(dist) OVER (PARTITION BY cand ORDER BY dist) AS nxt FROM (SELECT DISTINCT cand, dist FROM dm)),
+cuts AS (SELECT cand, (dist + nxt) / 2 AS tau FROM nexts WHERE nxt IS NOT NULL),
 side AS (SELECT c.cand, c.tau, p.dist <= c.tau AS near, p.label, sum(w) AS n, sum(w * p.dist) AS s FROM cuts c JOIN pts p ON p.cand = c.cand GROUP BY 1, 2, 3, 4),
 ent AS (SELECT cand, tau, near, sum(n) AS n, sum(s) AS s, -sum(n / tot * ln(n / tot)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY cand, tau, near) AS tot FROM side) GROUP BY 1, 2, 3),
 whole AS (SELECT cand, sum(n) AS n, -sum(n / tot * ln(n / tot)) AS h FROM (SELECT cand, label, sum(w) AS n, sum(sum(w)) OVER (PARTITION BY cand) AS tot FROM pts GROUP BY 1, 2) GROUP BY 1),
@@ -117,6 +117,15 @@ pr AS (SELECT a.series_id AS seq_id, a.p AS pos, b.p AS q, round(sqrt(greatest(2
   FROM z a JOIN z b ON a.series_id = b.series_id AND NOT (b.p - a.p >= -4 AND b.p - a.p < 4) AND b.sd >= 1e-7),
 pf AS (SELECT z.series_id AS seq_id, z.p AS pos, b.d AS profile, CAST(b.q AS INTEGER) AS nearest FROM z LEFT JOIN (SELECT seq_id, pos, min({{'d': d, 'q': q}}).d AS d, min({{'d': d, 'q': q}}).q AS q FROM pr GROUP BY 1, 2) b ON b.seq_id = z.series_id AND b.pos = z.p)"""
 
+#: All windows of 8 days with all series.
+_ALL = f"""WITH {_EV}, v AS (SELECT series_id, label, list(x ORDER BY day) AS v FROM es GROUP BY 1, 2), w AS MATERIALIZED (SELECT series_id, label, CAST(p AS INTEGER) AS p, v[p+1:p+8] AS w FROM v, (SELECT unnest(range(23)) AS p)),
+z AS MATERIALIZED (SELECT series_id, label, p, {_z("w")} AS z FROM w),
+d AS (SELECT a.series_id * 1000000 + 8000 + a.p AS cand, b.series_id, b.label, min(list_distance(a.z, b.z)) / sqrt(8) AS r FROM z a, z b GROUP BY 1, 2, 3),
+dm AS MATERIALIZED (SELECT cand, round(r, 5) AS dist, label FROM d), {_GAIN}
+SELECT cand AS cand_id, z.series_id, z.p AS start_idx, 8 AS length, gain AS score, gap, tau FROM best JOIN z ON z.series_id * 1000000 + 8000 + z.p = cand ORDER BY gain DESC, gap DESC, z.series_id, z.p LIMIT 10"""
+
+_FAST = _ALL.replace("min(list_distance(a.z, b.z)) / sqrt(8) AS r", "min(CASE WHEN list_max(a.z) = list_min(a.z) OR list_max(b.z) = list_min(b.z) THEN sqrt(2) ELSE list_distance(a.z, b.z) / sqrt(8) END) AS r")
+
 _SPLIT = f"""{_S}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY series_id * 7919 % 1000, series_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM s),
 sp AS (SELECT series_id, label, v, CASE WHEN place <= ceil(n * 0.5e0) THEN 'train' ELSE 'test' END AS part, place FROM k)"""
 _NN = f"""{_SPLIT}, nn AS (SELECT a.series_id, a.label, arg_min(b.label, {{'d': round(list_distance(a.v, b.v), 9), 'i': b.series_id}}) AS prediction FROM sp a JOIN sp b ON a.part = 'test' AND b.part = 'train' GROUP BY 1, 2)"""
@@ -124,7 +133,11 @@ _NEAR = f"""{_S}, nn AS (SELECT a.series_id, a.label, min({{'d': round(list_dist
 _HALVES = f"{_EV}, h AS (SELECT series_id, sum(CASE WHEN day < 15 THEN x ELSE 0e0 END) AS a, sum(CASE WHEN day >= 15 THEN x ELSE 0e0 END) AS b FROM es GROUP BY 1)"
 _CENTER = f"{_S}, {_P}, c AS (SELECT label, t, avg(x) AS c FROM pt GROUP BY 1, 2), cv AS (SELECT label, list(c ORDER BY t) AS c FROM c GROUP BY 1)"
 
+_WEEK = "[0e0, 1e0, 3e0, 2e0, 0e0, 1e0, 5e0]"
+
 ORACLES: dict[str, str] = {
+    "mass_profile": f"WITH {_EV}, v AS (SELECT series_id, list(x ORDER BY day) AS v FROM es GROUP BY 1), w AS (SELECT series_id, CAST(p AS INTEGER) AS p, v[p+1:p+7] AS w, {_WEEK} AS q FROM v, (SELECT unnest(range(24)) AS p)) SELECT series_id AS seq_id, p AS pos, round(list_distance({_z('w')}, {_z('q')}), 6) AS dist FROM w",
+    "fast_topk": _FAST,
     "series_stats": f"WITH {_S} SELECT series_id, round(list_avg(v), 6) AS mean, round(list_stddev_pop(v), 6) AS std, round(list_min(v), 6) AS least, round(list_max(v), 6) AS most, CAST(len(v) AS INTEGER) AS n FROM s",
     "znorm_points": f"WITH {_S}, z AS (SELECT series_id, {_z('v')} AS z FROM s) SELECT series_id, CAST(unnest(range(64)) AS INTEGER) AS t, round(unnest(z), 6) AS z FROM z",
     "window_moments": f"WITH {_S}, {_cands()} SELECT series_id, p AS pos, round(list_avg(w), 6) AS mean, round(list_stddev_pop(w), 6) AS std FROM w",
@@ -143,6 +156,7 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "mood_scores": f"WITH {_DM}, {_MOOD}",
     "gain_bound": _BOUND,
     "topk_shapelets": f"WITH {_DM}, {_GAIN} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM best g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
+    "brute_topk": _ALL,
     "topk_no_overlap": _WALK,
     "profile_two_dims": _TWO,
     "sax_words": f"WITH {_words()} SELECT series_id, pos, array_to_string(word, '') AS word FROM wd",

@@ -12,7 +12,8 @@ from ..operators import evaluation, metrics, profile, sax, separability
 from ..operators.blocks import nearest
 from ..operators.distance import candidates, features, mean_square, min_distances
 from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTree
-from ..operators.extractors import Brute, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
+from ..operators.extractors import Brute, Fast, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
+from ..operators.sums import distance_profile
 from ..sources import series as S
 
 LENGTH = 16
@@ -123,7 +124,12 @@ def topk_shapelets(spark, sf):
 
 def brute_topk(spark, sf):
     """All windows of a length of all series, each with all series."""
-    return Brute(8, 9).extract(S.event_series(spark, sf), 10)
+    return Brute(8, 9).extract(S.event_series(spark, sf), 10).select("cand_id", "series_id", "start_idx", "length", "score", "gap", "tau")
+
+
+def fast_topk(spark, sf):
+    """The same windows as brute_topk by running sums; a flat window has correlation 0 (brute_topk: zeros)."""
+    return Fast(8, 9).extract(S.event_series(spark, sf), 10).select("cand_id", "series_id", "start_idx", "length", "score", "gap", "tau")
 
 
 def topk_no_overlap(spark, sf):
@@ -205,6 +211,20 @@ def profile_two_dims(spark, sf):
     return profile.matrix_profile(rows, 8).select("seq_id", "k", "pos", _r("profile"), "nearest")
 
 
+def mass_profile(spark, sf):
+    """A week's shape against all windows of all event series."""
+    rows = S.event_series(spark, sf).select(F.col("series_id").alias("seq_id"), "v")
+    return distance_profile(rows, [0.0, 1.0, 3.0, 2.0, 0.0, 1.0, 5.0]).select("seq_id", "pos", _r("dist"))
+
+
+def bootstrap_sample(spark, sf):
+    return S.bootstrap(_emb(spark, sf)).groupBy("series_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+def learned_sizes_extract(spark, sf):
+    return Learned(sizes={8: 2, 16: 2}, steps=5).extract(_emb(spark, sf), 3)
+
+
 def event_series(spark, sf):
     rows = S.event_series(spark, sf).select("series_id", "label", F.posexplode("v").alias("day", "x"))
     return rows.select("series_id", "label", "day", _r("x"))
@@ -303,7 +323,7 @@ def learned_extract(spark, sf):
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
-    ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
+    ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
     scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, matrix_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
     tree_predict, transformer, dtw_neighbours, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,

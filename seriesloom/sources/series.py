@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +96,49 @@ def read_runtimes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").try_cast("double").alias("seconds")).where("seconds IS NOT NULL")
 
 
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """rows(row_id, prediction) as CSV files that read_predictions reads."""
+    rows.select("row_id", "prediction").write.csv(path, header=True)
+
+
+def write_runtime(spark: SparkSession, seconds: float, path: str) -> None:
+    """One number, as read_runtimes reads it."""
+    spark.range(1).select(F.lit(str(float(seconds))).alias("value")).write.text(path)
+
+
+def write_measurements(rows: DataFrame, path: str) -> None:
+    """Points of a sweep with what was measured, one CSV row each, added to those of earlier runs."""
+    rows.write.mode("append").csv(path, header=True)
+
+
+def bootstrap(rows: DataFrame, share: float = 1.0, seed: int = 1337) -> DataFrame:
+    """rows with replacement: each is repeated by a Poisson number of mean ``share`` that a hash of series_id and seed decides.
+
+    Nothing is shuffled, and reruns agree; the size of the result is ``share`` of that of rows only on average.  Rows that repeat a
+    series_id are repeated alike.  ``share`` is from 0 to 10.
+    """
+    if not 0 <= share <= 10:
+        raise ValueError("share is from 0 to 10")
+    draw = F.pmod(F.xxhash64("series_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    steps, chance, below = [], math.exp(-share), 0.0
+    for k in range(64):
+        below += chance
+        steps.append(below)
+        chance *= share / (k + 1)
+    times = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x <= draw))
+    return rows.select("*", F.explode(F.array_repeat(F.lit(0), times)).alias("seriesloom_turn")).drop("seriesloom_turn")
+
+
+def sizes_of(shapelets: DataFrame, seed: int = 1337) -> dict[int, int]:
+    """{length: arrays} for learning, from found shapelets(file, values): as many lengths as a file has on average, drawn as they occur."""
+    counts = shapelets.groupBy(F.size("values").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()
+    if not counts:
+        return {}
+    files, total = shapelets.select("file").distinct().count(), sum(r.n for r in counts)
+    drawn = np.random.default_rng(seed).multinomial(max(1, total // files), [r.n / total for r in counts])
+    return {r.length: int(k) for r, k in zip(counts, drawn, strict=True) if k}
+
+
 def stratified(rows: DataFrame, per_label: int, key: Column | None = None) -> DataFrame:
     """per_label rows of each label, those of the least key (by default a hash of series_id)."""
     order = Window.partitionBy("label").orderBy(F.xxhash64("series_id") if key is None else key, "series_id")

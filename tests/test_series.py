@@ -216,7 +216,7 @@ def test_wilcoxon(spark):
     assert (r.n, r.w_plus, r.w_minus, r.statistic) == (3, 5.0, 1.0, 1.0)
 
 
-@pytest.mark.parametrize("name", ["sdist_matrix", "ig_scores", "f_scores", "kw_scores", "mood_scores", "topk_shapelets", "topk_no_overlap", "profile_two_dims", "sax_distance", "sax_words", "scatter_ratio", "matrix_profile", "customer_series", "wilcoxon"])
+@pytest.mark.parametrize("name", ["sdist_matrix", "ig_scores", "f_scores", "kw_scores", "mood_scores", "topk_shapelets", "topk_no_overlap", "profile_two_dims", "brute_topk", "fast_topk", "mass_profile", "sax_distance", "sax_words", "scatter_ratio", "matrix_profile", "customer_series", "wilcoxon"])
 def test_against_sql(spark, name):
     frame = queries.queries()[name](spark, SF)
     con = duckdb.connect()
@@ -265,3 +265,90 @@ def test_gain_bound_by_brute_force(spark):
             parts = [list(x.values()) for x in (new_left, new_right) if sum(x.values())]
             best = max(best, entropy([left[k] + right[k] for k in labels]) - sum(sum(p) / len(xs) * entropy(p) for p in parts))
         assert math.isclose(got[c], best, abs_tol=2e-6), (c, got[c], best)
+
+
+def test_running_sums(spark):
+    from seriesloom.operators import blocks, sums
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=11), rng.normal(size=14)
+    for length in (2, 5, 11):
+        want = [[np.corrcoef(x[i : i + length], y[j : j + length])[0, 1] for j in range(len(y) - length + 1)] for i in range(len(x) - length + 1)]
+        assert np.allclose(sums.correlations(x, y, length), want)
+    assert (sums.correlations(np.ones(6), y, 4) == 0).all()
+    rows = spark.createDataFrame([(i, i % 2, rng.normal(size=12 + i % 3).tolist()) for i in range(9)] + [(20, 1, []), (21, 0, None)], "series_id long, label int, v array<double>")
+    line = lambda d: sorted((r.cand_id, r.series_id, r.label, round(r.dist, 6), r.pos) for r in d.collect())
+    want = line(min_distances(rows, candidates(rows, range(5, 9))))
+    assert line(sums.window_distances(rows, range(5, 9))) == want
+    old, blocks.PAIR_ROWS = blocks.PAIR_ROWS, 40
+    try:
+        assert line(sums.window_distances(rows, range(5, 9))) == want
+    finally:
+        blocks.PAIR_ROWS = old
+    fine = rows.where("size(v) > 0")
+    assert [tuple(r) for r in extractors.Fast(5, 9).extract(fine, 4).collect()] == [tuple(r) for r in Brute(5, 9).extract(fine, 4).collect()]
+
+
+def test_alignment_kernel_by_all_paths():
+    from seriesloom.operators import alignment
+
+    def slow(x, y, width):
+        def walk(i, j):
+            e = math.exp(-((x[i] - y[j]) ** 2) / (2 * width**2))
+            before = 1.0 if i == j == 0 else sum(walk(a, b) for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0)
+            return e / (2 - e) * before
+
+        return walk(len(x) - 1, len(y) - 1)
+
+    rng = np.random.default_rng(1)
+    xs, ys = [rng.normal(size=n) for n in (3, 4)], [rng.normal(size=n) for n in (2, 4, 5)]
+    assert np.allclose([[math.exp(alignment.log_kernel(x, y, 0.8)) for y in ys] for x in xs], [[slow(x, y, 0.8) for y in ys] for x in xs])
+    assert np.allclose(np.diag(alignment.similarities(xs, xs, 0.8)), 1)
+    assert alignment.barycenter(np.array([2.0, 4.0, 8.0]), np.array([1.0, 2.0])).tolist() == [1.5, 3.0, 8.0]
+    one, two = alignment.blended([xs[0]], [xs[0], xs[0] + 0.5])
+    assert np.allclose(one[0], xs[0] + 0.25) and np.allclose(two[1], xs[0] + 0.25) and np.allclose(two[0], xs[0])
+
+
+def test_learning_of_several_lengths(spark, steps):
+    blocks, w, b, losses = Learned(sizes={4: 2, 7: 1}, steps=8).fit(steps)
+    assert [x.shape for x in blocks] == [(2, 4), (1, 7)] and w.shape == (3, 2) and losses[-1] < losses[0]
+    # The gradient against differences of the loss.
+    model, rng = Learned(), np.random.default_rng(0)
+    w, b = rng.normal(size=w.shape), rng.normal(size=b.shape)
+    total = lambda bs, ws: np.array([r.t for r in model._gradient(steps, bs, ws, b).groupBy("at").agg(F.sum("value").alias("t")).orderBy("at").collect()])
+    base = total(blocks, w)
+    for k in (0, 1):
+        moved = [x.copy() for x in blocks]
+        moved[k][0, 1] += 1e-5
+        at = 2 + sum(x.size for x in blocks[:k]) + 1
+        assert math.isclose((total(moved, w)[1] - base[1]) / 1e-5, base[at], rel_tol=1e-2, abs_tol=1e-3)
+
+
+def test_sinks_bootstrap_and_sizes(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("series_id"), F.lit(1).alias("label"))
+    times = {r.series_id: r["count"] for r in S.bootstrap(rows).groupBy("series_id").count().collect()}
+    assert times == {r.series_id: r["count"] for r in S.bootstrap(rows).groupBy("series_id").count().collect()}
+    assert abs(sum(times.values()) - 2000) < 200 and abs(len(times) - 2000 * (1 - math.exp(-1))) < 100
+    assert S.bootstrap(rows, 0.0).count() == 0 and S.bootstrap(rows.limit(0)).count() == 0
+    S.write_predictions(spark.createDataFrame([(0, 1), (1, 3)], "row_id long, prediction int"), str(tmp_path / "p"))
+    assert {(r.row_id, r.prediction) for r in S.read_predictions(spark, str(tmp_path / "p")).collect()} == {(0, 1), (1, 3)}
+    S.write_runtime(spark, 2.5, str(tmp_path / "t"))
+    assert [r.seconds for r in S.read_runtimes(spark, str(tmp_path / "t")).collect()] == [2.5]
+    for a in (0.1, 0.2):
+        S.write_measurements(spark.createDataFrame([(a, 0.9)], "rate double, accuracy double"), str(tmp_path / "m"))
+    assert spark.read.csv(str(tmp_path / "m"), header=True).count() == 2
+    found = spark.createDataFrame([("a", [1.0] * 4), ("a", [1.0] * 6), ("b", [1.0] * 4), ("b", [2.0] * 4)], "file string, values array<double>")
+    sizes = S.sizes_of(found)
+    assert sum(sizes.values()) == 2 and set(sizes) <= {4, 6} and S.sizes_of(found.limit(0)) == {}
+
+
+def test_distance_profile(spark):
+    from seriesloom.operators.sums import distance_profile
+
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=30), rng.normal(size=6)
+    x[10:17] = 2.0
+    rows = spark.createDataFrame([(1, x.tolist()), (2, [1.0]), (3, None)], "seq_id long, v array<double>")
+    z = lambda v: (v - v.mean()) / (v.std() or 1) if len(set(v)) > 1 else v * 0
+    got = [r.dist for r in distance_profile(rows, q).orderBy("pos").collect()]
+    assert np.allclose(got, [np.linalg.norm(z(x[i : i + 6]) - z(q)) for i in range(25)])
