@@ -45,6 +45,8 @@ STEPS, STREAMS = 32, 512
 #: Symbols whose probabilities are worked out at once: they stay in a core's cache.
 ROWS = 2048
 RATE = 0.02
+#: Symbols that a step of the optimizer rests on: the windows at the ends of long documents hold few, and are put together.
+BATCH = 4_096
 #: One training document in FIRST is in the first round.
 FIRST = 8
 #: Bytes of text whose words are found at once.
@@ -318,11 +320,11 @@ class Adam:
     def __init__(self, p: Params) -> None:
         self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
 
-    def __call__(self, p: Params, g: Params) -> None:
+    def __call__(self, p: Params, g: Params, share: float = 1.0) -> None:
         norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-12))
         self.t += 1
-        rate = RATE * math.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
+        rate = share * RATE * math.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
             x *= clip
             self.m[k] += 0.1 * (x - self.m[k])
@@ -340,9 +342,10 @@ def _window(docs: list[np.ndarray], lengths: np.ndarray, at: int, steps: int) ->
 
 
 def train(p: Params, docs: list[np.ndarray], adam: Adam) -> None:
-    """Truncated backpropagation over all documents, in streams of documents of like length."""
+    """Truncated backpropagation over all documents, in streams of documents of like length; the rate falls to a tenth."""
     docs = sorted(docs, key=len, reverse=True)
     groups = [docs[i : i + STREAMS] for i in range(0, len(docs), STREAMS)]
+    whole, done, held, sums = max(1, sum(map(len, docs))), 0, 0, {}
     for k in np.random.default_rng(len(docs)).permutation(len(groups)):
         group = groups[k]
         lengths = np.array([len(d) for d in group])
@@ -351,7 +354,12 @@ def train(p: Params, docs: list[np.ndarray], adam: Adam) -> None:
             n = int((lengths > at).sum())
             x, y, live = _window(group[:n], lengths[:n], at, min(STEPS, int(lengths[0]) - at))
             g, h = gradient(p, x, y, live, h[:n])
-            adam(p, g)
+            symbols = int(live.sum())
+            sums = {c: v * symbols + sums.get(c, 0) for c, v in g.items()}
+            done, held = done + symbols, held + symbols
+            if held >= BATCH or done == whole:
+                adam(p, {c: v / held for c, v in sums.items()}, min(1.0, held / BATCH) * (1 - 0.9 * done / whole))
+                held, sums = 0, {}
 
 
 def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.llm import decontam, graph, gru_lm, kd_sharding, langid, line_dedup, minhash, mixing, quality, token_files, warc
+from seriesloom.llm import queries as llm_queries
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -602,3 +603,10 @@ def test_quality_verdicts_against_numpy(spark):
         assert len(clear) > 0.9 * len(x) and all(a == b for a, b in clear) and not all(a for a, _ in clear)
     kept = sorted((r.doc_id, r.lang) for r in quality.keep_good(table(spark, rows)).collect())
     assert kept == sorted((r.doc_id, r.lang) for r in got if r.kept)
+
+
+def test_language_model_beats_the_unigram_counts_on_held_out_text(spark):
+    scored = llm_queries.op5_lm(spark, "/root/testdata/sf0.01").where("held_out")
+    better = F.avg((F.col("score") > F.col("base_score")).cast("double"))
+    r = scored.agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), better.alias("better")).first()
+    assert r.score > 0.97 * r.base and r.better > 0.9
