@@ -355,10 +355,14 @@ def train(p: Params, docs: list[np.ndarray], adam: Adam) -> None:
             x, y, live = _window(group[:n], lengths[:n], at, min(STEPS, int(lengths[0]) - at))
             g, h = gradient(p, x, y, live, h[:n])
             symbols = int(live.sum())
-            sums = {c: v * symbols + sums.get(c, 0) for c, v in g.items()}
+            for c, v in g.items():
+                v *= symbols
+                sums[c] = np.add(v, sums[c], out=v) if c in sums else v
             done, held = done + symbols, held + symbols
             if held >= BATCH or done == whole:
-                adam(p, {c: v / held for c, v in sums.items()}, min(1.0, held / BATCH) * (1 - 0.9 * done / whole))
+                for v in sums.values():
+                    v /= held
+                adam(p, sums, min(1.0, held / BATCH) * (1 - 0.9 * done / whole))
                 held, sums = 0, {}
 
 
