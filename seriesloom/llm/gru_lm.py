@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ HEAD = 1 << 18
 STEPS, STREAMS = 32, 512
 #: Symbols whose probabilities are worked out at once: they stay in a core's cache.
 ROWS = 2048
+#: Symbols of a block that is scored: its numbers stay near the core.
+SIDE = 1 << 16
 RATE = 0.02
 #: Symbols that a step of the optimizer rests on: the windows at the ends of long documents hold few, and are put together.
 BATCH = 4_096
@@ -51,8 +53,8 @@ BATCH = 4_096
 FIRST = 8
 #: Bytes of text whose words are found at once.
 PART_BYTES = 1 << 23
-#: Words that a task counts before it hands them on; symbols that are scored side by side.
-FLUSH, CHUNK = 400_000, 4_000_000
+#: Distinct words of parts that a task counts before it hands them on; symbols that are scored side by side.
+FLUSH, CHUNK = 1_000_000, 4_000_000
 BLOCKS, FAN = 16, 64
 FOLDS, HELD_OUT = 7, 2
 
@@ -110,14 +112,42 @@ class Vocabulary:
     tokens: int
     distinct: int
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """The symbol of each word."""
-        base, get = 1 + len(self.symbols), self.symbols.get
-        return np.array([get(w) or base + tail_bucket(w) for w in words], np.int16)
+    @cached_property
+    def names(self) -> pa.Array:
+        return pa.array(list(self.symbols), pa.binary())
+
+    @cached_property
+    def heads(self) -> tuple[pa.Array, np.ndarray]:
+        """The broadcast words and log10(c + 1) of each; a 0 follows, for all others."""
+        return pa.array(list(self.counts), pa.binary()), np.log10(np.array([*self.counts.values(), 0], np.float64) + 1)
+
+    @cached_property
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """tail_bucket of words of one byte, and of those that end in two bytes."""
+        ends = [np.array([tail_bucket(bytes(x)) for x in np.ndindex(*shape)], np.int16).reshape(shape) for shape in ((256,), (256, 256))]
+        return ends[0], ends[1]
 
-    def encode(self, words: Words) -> list[np.ndarray]:
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """The symbol of each word."""
+        if not len(words):
+            return np.empty(0, np.int16)
+        _, offsets, raw = words.buffers()
+        ends = np.frombuffer(offsets, np.int32)[words.offset :][: len(words) + 1]
+        data, last = np.frombuffer(raw, np.uint8) if raw and raw.size else np.zeros(1, np.uint8), np.maximum(ends[1:] - 1, 0)
+        one, two = self.buckets
+        bucket = np.where(np.diff(ends) == 1, one[data[last]], two[data[np.maximum(last - 1, 0)], data[last]])
+        found = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        return np.where(found >= 0, found + 1, 1 + len(self.symbols) + bucket).astype(np.int16)
+
+    def logs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have a broadcast count, and log10(c + 1) of it, else 0."""
+        names, logs = self.heads
+        found = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy(zero_copy_only=False)
+        return found >= 0, logs[found]
+
+    def encode(self, words: Words, codes: np.ndarray | None = None) -> list[np.ndarray]:
         """The symbols of every text, with the end."""
-        found = self.codes(words.distinct.to_pylist())[words.which]
+        found = (self.codes(words.distinct) if codes is None else codes)[words.which]
         return [np.append(x, np.int16(0)) for x in np.split(found, words.offsets[1:-1])]
 
 
@@ -125,21 +155,29 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(word, c) of all whole texts; the end, once per row, has the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            found = [(w, c) for w, c in counts.items() if c]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.int64())], ["word", "c"])
+            found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"])
+            return found.rename_columns(["word", "c"]).combine_chunks().to_batches()[0]
+
+        def counted(words: pa.Array, c: np.ndarray) -> pa.Table:
+            return pa.table({"word": words, "c": pa.array(c, pa.int64())})
 
         for batch in batches:
-            counts[b""] += batch.num_rows
+            if batch.num_rows:
+                held.append(counted(pa.array([b""], pa.binary()), np.array([batch.num_rows])))
             for part in slices(batch, 0):
                 words = Words.of(part.column(0))
-                counts.update(dict(zip(words.distinct.to_pylist(), np.bincount(words.which, minlength=len(words.distinct)).tolist(), strict=True)))
-                if len(counts) > FLUSH:
+                if len(words.which):
+                    c = np.bincount(words.which, minlength=len(words.distinct))
+                    table = counted(words.distinct, c)
+                    held.append(table.filter(pa.array(c > 0)))
+                    size += len(c)
+                if size > FLUSH:
                     yield out()
-                    counts.clear()
-        if counts:
+                    held, size = [], 0
+        if held:
             yield out()
 
     return arrow(docs.select("text"), run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -200,46 +238,58 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(x - top), its sum by row, and top: the largest of all, or of each row where that would leave a row nothing."""
+    """exp(x - top), its sum by row, and top: 0, the largest of all where that is large, or of each row where that would leave a row nothing."""
     ones = np.ones(x.shape[1], x.dtype)
-    top = x.max()
-    e = np.exp(x - top)
+    top = x.max(initial=0)
+    top = 0.0 if top < 60 else top
+    e = np.exp(x - top) if top else np.exp(x)
     sums = e @ ones
-    if not sums.min() > 1e-20:
+    if not sums.min(initial=1) > 1e-20:
         top = x.max(axis=1)
         e = np.exp(x - top[:, None])
         sums = e @ ones
     return e, sums, top
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, scale: float) -> np.ndarray:
     e, sums, _ = _exps(x)
-    e *= (1 / sums)[:, None]
+    e *= (scale / sums)[:, None]
     return e
 
 
 def step(p: Params, xw: np.ndarray, h: np.ndarray) -> np.ndarray:
-    hu = h @ p["u"]
+    """The next states of streams (rows); fast where the rows are columns of what lies behind."""
+    hu = (p["u"].T @ h.T).T
     gates = _sigmoid(xw[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
     new = np.tanh(xw[:, 2 * HIDDEN :] + gates[:, HIDDEN:] * hu[:, 2 * HIDDEN :])
     return new + gates[:, :HIDDEN] * (h - new)
 
 
-def _by_class(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _with_bias(p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The output weights of the classes and of their symbols, with the biases as a last row: states have a 1 there."""
+    return np.vstack([p["wc"], p["bc"]]), np.concatenate([p["wo"], p["bo"][:, None]], axis=1)
+
+
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order of symbols y by class, and (class, its part of that order, in slices of up to ROWS)."""
     c = (y // CLASS).astype(np.int16)
     order = np.argsort(c, kind="stable")
     ends = np.flatnonzero(np.diff(c[order], append=-1)) + 1
-    at = 0
-    for end in ends:
+    found, at = [], 0
+    for end in ends.tolist():
         own = int(c[order[at]])
-        for i in range(at, end, ROWS):
-            yield own, order[i : min(i + ROWS, end)]
+        found += [(own, slice(i, min(i + ROWS, end))) for i in range(at, end, ROWS)]
         at = end
+    return order, found
 
 
 def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of symbols y after states h."""
-    out = np.empty(len(y), h.dtype)
+    order, parts = _by_class(y)
+    y, rows = y[order], np.ones((len(y), HIDDEN + 1), h.dtype)
+    rows[:, :HIDDEN] = h[order]
+    of_class, of_symbol = _with_bias(p)
+    found = np.empty(len(y), h.dtype)
 
     def own(x: np.ndarray, k: np.ndarray) -> np.ndarray:
         _, sums, top = _exps(x)
@@ -247,18 +297,26 @@ def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
 
     for at in range(0, len(y), ROWS):
         part = slice(at, at + ROWS)
-        out[part] = own(h[part] @ p["wc"] + p["bc"], y[part] // CLASS)
-    for c, rows in _by_class(y):
-        out[rows] += own(h[rows] @ p["wo"][c] + p["bo"][c], y[rows] % CLASS)
+        found[part] = own(rows[part] @ of_class, y[part] // CLASS)
+    for c, part in parts:
+        found[part] += own(rows[part] @ of_symbol[c], y[part] % CLASS)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
+def _inputs(p: Params, e: np.ndarray) -> np.ndarray:
+    """What embeddings (steps, streams, EMBED) add to the gates: (steps, 3 * HIDDEN, streams). Numbers of a step lie by feature, then stream: the gates are contiguous."""
+    xw = p["w"].T @ e.transpose(0, 2, 1)
+    xw += p["b"][:, None]
+    return xw
+
+
 def gradient(p: Params, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
     """Mean gradient over the live symbols of one window (steps, streams), and the last state."""
     steps, n = x.shape
     e = p["emb"][x]
-    # Numbers of a step lie by feature, then stream: the gates are contiguous.
-    xw = p["w"].T @ e.transpose(0, 2, 1) + p["b"][:, None]
+    xw = _inputs(p, e)
     ut = np.ascontiguousarray(p["u"].T)
     hs = np.empty((steps + 1, HIDDEN, n), xw.dtype)
     hs[0] = h.T
@@ -270,28 +328,31 @@ def gradient(p: Params, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.nd
         new = np.tanh(xw[t, 2 * HIDDEN :] + gates[t, HIDDEN:] * hns[t], out=news[t])
         np.add(new, gates[t, :HIDDEN] * (hs[t] - new), out=hs[t + 1])
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    states = hs[1:].transpose(0, 2, 1).reshape(-1, HIDDEN)
+    # Live symbols by class: each class's states and targets lie together.
     at = np.flatnonzero(live.ravel())
-    s, target, scale = states[at], y.ravel()[at], np.float32(1 / max(1, len(at)))
-    ds = np.empty_like(s)
-    wct = np.ascontiguousarray(p["wc"].T)
+    order, parts = _by_class(y.ravel()[at])
+    at = at[order]
+    s, target, scale = np.ones((len(at), HIDDEN + 1), xw.dtype), y.ravel()[at], xw.dtype.type(1 / max(1, len(at)))
+    s[:, :HIDDEN] = hs[1:].transpose(0, 2, 1).reshape(-1, HIDDEN)[at]
+    ds = np.empty((len(at), HIDDEN), xw.dtype)
+    of_class, of_symbol = _with_bias(p)
+    g_class, wct = np.zeros_like(of_class), np.ascontiguousarray(p["wc"].T)
     for i in range(0, len(at), ROWS):
-        part, own = s[i : i + ROWS], target[i : i + ROWS]
-        d = _softmax(part @ p["wc"] + p["bc"])
-        d[np.arange(len(own)), own // CLASS] -= 1
-        d *= scale
-        g["wc"] += part.T @ d
-        g["bc"] += d.sum(axis=0)
+        part, own = s[i : i + ROWS], target[i : i + ROWS] // CLASS
+        d = _softmax(part @ of_class, scale)
+        d[np.arange(len(own)), own] -= scale
+        g_class += part.T @ d
         ds[i : i + ROWS] = d @ wct
-    for c, rows in _by_class(target):
-        part = s[rows]
-        d = _softmax(part @ p["wo"][c] + p["bo"][c])
-        d[np.arange(len(rows)), target[rows] % CLASS] -= 1
-        d *= scale
-        g["wo"][c] += part.T @ d
-        g["bo"][c] += d.sum(axis=0)
+    g["wc"], g["bc"] = g_class[:-1].copy(), g_class[-1].copy()
+    for c, rows in parts:
+        part, own = s[rows], target[rows] % CLASS
+        d = _softmax(part @ of_symbol[c], scale)
+        d[np.arange(len(own)), own] -= scale
+        of_c = part.T @ d
+        g["wo"][c] += of_c[:-1]
+        g["bo"][c] += of_c[-1]
         ds[rows] += d @ p["wo"][c].T
-    dstates = np.zeros_like(states)
+    dstates = np.zeros((steps * n, HIDDEN), xw.dtype)
     dstates[at] = ds
     dstates = np.ascontiguousarray(dstates.reshape(steps, n, HIDDEN).transpose(0, 2, 1))
     z, r, before = gates[:, :HIDDEN], gates[:, HIDDEN:], hs[:-1]
@@ -371,19 +432,16 @@ def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     lengths = np.array([len(docs[i]) for i in order])
     total = np.zeros(len(docs))
-    table = p["emb"] @ p["w"] + p["b"]
-    h, at, most = np.zeros((len(docs), HIDDEN), np.float32), 0, int(lengths[0]) if len(docs) else 0
+    h, at, most = np.zeros((HIDDEN, len(docs)), np.float32), 0, int(lengths[0]) if len(docs) else 0
     while at < most:
         n = int((lengths > at).sum())
-        steps = min(max(16, (1 << 17) // n), 512, most - at)
+        steps = min(max(16, SIDE // n), 512, most - at)
         x, y, live = _window([docs[i] for i in order[:n]], lengths[:n], at, steps)
-        h = h[:n]
+        xw, h = _inputs(p, p["emb"][x]), h[:, :n].copy()
         states = np.empty((steps, n, HIDDEN), np.float32)
-        counts = live.sum(axis=1)
-        for t in range(steps):
-            k = int(counts[t])
-            h[:k] = step(p, table[x[t, :k]], h[:k])
-            states[t, :k] = h[:k]
+        for t, k in enumerate(live.sum(axis=1).tolist()):
+            h[:, :k] = step(p, xw[t, :, :k].T, h[:, :k].T).T
+            states[t, :k] = h[:, :k].T
         got = np.zeros((steps, n))
         got[live] = log_probs(p, states[live], y[live])
         total[:n] += got.sum(axis=0)
@@ -465,7 +523,6 @@ def score(docs: DataFrame, p: Params, vocab: Vocabulary, counts: DataFrame) -> D
 
         arrow = to_arrow_schema(schema)
         params, v = shared.value
-        logs = {w: math.log10(c + 1) for w, c in v.counts.items()}
         every, size = math.log10(v.tokens + v.distinct + 1), np.log10(v.tail_size)
         first = 1 + len(v.symbols)
         end = math.log10(v.ends + 1)
@@ -481,20 +538,19 @@ def score(docs: DataFrame, p: Params, vocab: Vocabulary, counts: DataFrame) -> D
         for batch in batches:
             for part in slices(batch, len(keep) + 1):
                 words = Words.of(part.column(len(keep) + 1))
-                names, n, doc = words.distinct.to_pylist(), part.num_rows, words.documents()
-                log = np.array([logs.get(w, -1.0) for w in names])
-                codes = v.codes(names)
-                known, log = log >= 0, np.maximum(log, 0)
+                n, doc = part.num_rows, words.documents()
+                known, log = v.logs(words.distinct)
+                codes = v.codes(words.distinct)
                 # Of words outside the symbols: log10(c + 1) of those counted here, less the bucket's size.
                 outside = codes >= first
-                rest = np.where(outside, log - size[np.where(outside, codes - first, 0)], 0.0) if len(names) else log
+                rest = np.where(outside, log - size[np.where(outside, codes - first, 0)], 0.0) if len(codes) else log
                 per = lambda x, doc=doc, n=n, words=words: np.bincount(doc, x[words.which], n)
                 count = np.diff(words.offsets)
                 n_known = per(known.astype(np.float64)).astype(np.int64)
                 tail = words.which[~known[words.which]]
                 tails = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count - n_known))), pa.int32()), words.distinct.take(pa.array(tail)))
                 sums.append((count + 1, n_known + (v.ends > 0), per(log) + end - (count + 1) * every, per(rest), tails))
-                held += v.encode(words)
+                held += v.encode(words, codes)
                 own.append(part)
                 size_held += len(words.which) + n
                 if size_held > CHUNK:
