@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, gru_lm, kd_sharding, langid, line_dedup, minhash, mixing, quality, token_files, vp_search, warc
+from . import ball_trees, decontam, gru_lm, kd_sharding, langid, line_dedup, minhash, mixing, quality, resampling, token_files, vp_search, warc
 from .common import new_path
 
 
@@ -69,6 +69,14 @@ def op11_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.search(vp_search.build(vectors, 20), vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_ball_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_trees.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_token_ids, op7_line_dedup, op8_langid, op9_kd_sharding, op10_decontamination, op11_vp_trees)
+    found = (op1_warc, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_token_ids, op7_line_dedup, op8_langid, op9_kd_sharding, op10_decontamination, op11_vp_trees, op12_resampling, op13_ball_trees)
     return {f.__name__: f for f in found}
