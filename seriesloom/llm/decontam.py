@@ -79,7 +79,7 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def positions(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
-    """doc_id, digest (of the word sequence), n_words, at and shingle (parallel arrays) of every row; wanted: sorted hashes by shingle size."""
+    """doc_id, text_hash, digest (of the word sequence), n_words, at and shingle (parallel arrays) of every row; wanted: sorted hashes by shingle size."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     mask = np.uint64((1 << 22) - 1)
 
@@ -108,9 +108,9 @@ def positions(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
                             own += h[real].view(np.int64).tolist()
                     ats.append(at)
                     found.append(own)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(ats, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "digest", "n_words", "at", "shingle"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(ats, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "digest", "n_words", "at", "shingle"])
 
-    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id bigint, digest binary, n_words bigint, at array<int>, shingle array<bigint>")
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), run, "doc_id bigint, text_hash bigint, digest binary, n_words bigint, at array<int>, shingle array<bigint>")
 
 
 def _blocks(vocabulary: DataFrame) -> Iterator[dict[int, np.ndarray]]:
@@ -124,13 +124,13 @@ def _blocks(vocabulary: DataFrame) -> Iterator[dict[int, np.ndarray]]:
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): rows(doc_id, digest, n_words) of all docs; found(digest, start, length, key): where each window occurs."""
+    """(rows, found): rows(doc_id, text_hash, digest, n_words) of all docs; found(digest, start, length, key): where each window occurs."""
     distinct = store(windows.dropDuplicates(["key"]).select("key", "length", "size", "shingles"), "leak-windows")
     vocabulary = store(distinct.select("size", F.explode("shingles").alias("shingle")).distinct(), "leak-vocabulary")
     rows, spots = None, []
     for wanted in _blocks(vocabulary):
         one = store(positions(docs, wanted), "leak-positions")
-        rows = one.select("doc_id", "digest", "n_words") if rows is None else rows
+        rows = one.select("doc_id", "text_hash", "digest", "n_words") if rows is None else rows
         spots.append(one.where("size(at) > 0").select("digest", "n_words", F.explode(F.arrays_zip("at", "shingle")).alias("x")).select("digest", "n_words", "x.at", "x.shingle"))
     spots = _union(spots)
     spots = store(spots.groupBy("digest", "at", "shingle").agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies")), "leak-spots")
@@ -161,8 +161,13 @@ def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs(doc_id, text).
 
     Null texts have no words.  Items without words, or with a null item_id, match nothing (the latter's words still
-    count as hit).  Repeated items count once.  Empty benchmark: nothing is hit.
+    count as hit).  Repeated items count once.  Empty benchmark: nothing is hit.  Long texts count whole: a task holds the words of one at a time.
     """
+    return _hits(docs, benchmark, window).drop("text_hash")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """document_hits, and the 64-bit hash of each row's text."""
     windows = store(windows_of(benchmark, window), "leak-items")
     rows, found = occurrences(docs, windows)
     before = Window.partitionBy("digest").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,6 +181,7 @@ def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
+        "text_hash",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -185,6 +191,7 @@ def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a hit, unchanged; rows with one doc_id go together."""
-    bad = document_hits(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("seriesloom_bad_id")).distinct()
-    return docs.join(store(bad, "leak-bad").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("seriesloom_bad_id")), "left_anti")
+    """The rows of docs without a hit, unchanged.  Each is judged by its own text, whatever its doc_id (or none)."""
+    bad = _hits(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("seriesloom_bad_id"), F.col("text_hash").alias("seriesloom_bad_hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("seriesloom_bad_id")) & (F.xxhash64("text") == F.col("seriesloom_bad_hash"))
+    return docs.join(store(bad, "leak-bad").hint("shuffle_hash"), same, "left_anti")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, one_per_id, store
+from .common import ROW_ID, arrow, one_per_id, store, with_ids
 from .graph import components
 
 SHINGLE = 5
@@ -284,9 +284,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, unchanged: rows that near_duplicates keeps; of rows with one doc_id, the smallest."""
-    judged = near_duplicates(docs).select("doc_id", "kept").distinct()
-    judged = store(judged, "minhash-judged")
+    """docs with one document of each group, unchanged: rows that near_duplicates keeps; of rows with one doc_id, the smallest.
+
+    Each row without a doc_id is a document of its own: it goes if it is near another one, and stays if it is the only one of its group, or
+    if no other of its group has a doc_id and it is the first of them.
+    """
+    docs = with_ids(docs)
+    judged = store(near_duplicates(docs.select(F.col(ROW_ID).alias("doc_id"), "text")).select("doc_id", "kept").distinct(), "minhash-judged")
     gone = judged.where("not kept").select(F.col("doc_id").alias("seriesloom_gone_id")).hint("shuffle_hash")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("seriesloom_gone_id")), "left_anti")
-    return one_per_id(kept)
+    kept = docs.join(gone, F.col(ROW_ID) == F.col("seriesloom_gone_id"), "left_anti")
+    return one_per_id(kept, ROW_ID).drop(ROW_ID)

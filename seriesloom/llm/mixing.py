@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, one_per_id, store
+from .common import ROW_ID, count_words, one_per_id, store, with_ids
 
 #: Rows that are rounded together.
 ROUND_ROWS = 1_000
@@ -38,8 +38,11 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: fl
     return rows.select("source", "source_size", F.least("full", F.coalesce(level, F.lit(0.0)) * F.col("weight")).cast("double").alias("target"))
 
 
-def tilts(histogram: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-9, most_steps: int = 80) -> DataFrame:
-    """targets with ``lambda``, ``mean`` and ``full`` (rates are all ``cap``) from histogram(source, size, documents)."""
+def tilts(histogram: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-9) -> DataFrame:
+    """targets with ``lambda``, ``mean`` and ``full`` (rates are all ``cap``) from histogram(source, size, documents).
+
+    Every fourth step halves the bracket, so the steps end: at the tolerance, or at a bracket that doubles can't halve.
+    """
     log_cap = F.log(F.lit(float(cap)))
     shape = histogram.where("size > 0").groupBy("source").agg(F.min("size").alias("least"), (F.sum(F.col("size") * F.col("documents")) / F.sum("documents")).alias("mean"))
     state = targets.alias("t").join(shape.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left").select("t.*", "s.least", "s.mean")
@@ -54,9 +57,9 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance:
         ),
         "mix-dual",
     )
-    for _ in range(most_steps):
-        if not state.where("not done").limit(1).count():
-            break
+    turn = 0
+    while state.where("not done").limit(1).count():
+        turn += 1
         tilt = F.col("lambda") * F.col("size") / F.col("mean")
         open_state = state.where("not done").select("source", "lambda", "mean")
         sums = (
@@ -76,8 +79,8 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance:
         moved = (
             state.alias("a").join(sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "b.words", "b.slope")
             .withColumn("new_low", F.coalesce(low, F.col("low"))).withColumn("new_high", F.coalesce(high, F.col("high")))
-            .withColumn("new_done", F.col("done") | F.col("words").isNull() | (F.abs(gap) <= F.lit(tolerance) * F.col("target")) | (F.col("new_high") - F.col("new_low") < 1e-14))
-            .withColumn("step", F.when((newton > F.col("new_low")) & (newton < F.col("new_high")), newton).otherwise((F.col("new_low") + F.col("new_high")) / 2))
+            .withColumn("new_done", F.col("done") | F.col("words").isNull() | (F.abs(gap) <= F.lit(tolerance) * F.col("target")) | (F.col("new_high") - F.col("new_low") <= 1e-14 * F.greatest(F.lit(1.0), F.abs("new_low"), F.abs("new_high"))))
+            .withColumn("step", F.when((newton > F.col("new_low")) & (newton < F.col("new_high")) & F.lit(turn % 4 > 0), newton).otherwise((F.col("new_low") + F.col("new_high")) / 2))
         )
         state = store(
             moved.select(
@@ -136,10 +139,11 @@ def mix_documents(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2,
 def repeat_documents(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """docs with every row as often as mix_documents takes it; of rows that share a doc_id, the smallest counts.
 
-    Rows without a doc_id are all kept, each as often as the one of them that is taken most.
+    Each row without a doc_id is a document of its own.
     """
-    docs = one_per_id(docs)
-    copies = mix_documents(docs, cap, cycle).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    own = docs.columns
+    docs = one_per_id(with_ids(docs), ROW_ID)
+    copies = mix_documents(docs.select(F.col(ROW_ID).alias("doc_id"), "source", "text"), cap, cycle).where("copies > 0")
     copies = store(copies.select(F.col("doc_id").alias("seriesloom_mix_id"), F.col("copies").alias("seriesloom_mix_copies")), "mix-copies").hint("shuffle_hash")
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("seriesloom_mix_id")))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("seriesloom_mix_copies"))).alias("seriesloom_mix_turn")).drop("seriesloom_mix_turn")
+    both = docs.join(copies, F.col(ROW_ID) == F.col("seriesloom_mix_id"))
+    return both.select(*[F.col(f"`{c}`") for c in own], F.explode(F.sequence(F.lit(1), F.col("seriesloom_mix_copies"))).alias("seriesloom_mix_turn")).drop("seriesloom_mix_turn")

@@ -23,12 +23,13 @@ from .common import WORD, store
 SYMBOLS = "#*$%&|<>"
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 DIMS = 4
-#: Standard deviations that are added (as variances) to every estimate: smaller spreads say nothing about quality.
-FLOORS = (0.08, 0.5, 0.15, 0.15)
+#: Standard deviations that are added (as variances) to every estimate: smaller spreads say nothing about quality.  In a group without any spread
+#: each statistic rejects by itself: a mean word length off by a factor of 1.53, over 4.0 symbols, over 4.1 repeated lines or over 48 repeated words for 100 words.
+FLOORS = (0.08, 0.3, 0.12, 0.09)
 #: Bins of the coordinates for the first estimate, and bins of the distances a factor of e.
 BIN, DISTANCE_BINS = 1 / 256, 32
-#: Steps end when the logarithm of the root of the determinant falls by no more than SETTLED; it always falls, so MOST_STEPS is never met in practice.
-SETTLED, MOST_STEPS = 1e-3, 100
+#: Steps end when the logarithm of the root of the determinant falls by no more than SETTLED; the floors bound it from below, so they do end.
+SETTLED = 1e-3
 HALF = 0.5
 #: Groups under LEAST documents (a half with six for each dimension) are pooled by language, and then altogether; in a last pool under
 #: FEWEST (a half with six for four dimensions, one more than a covariance needs) there is no estimate, and nothing is rejected.
@@ -106,7 +107,8 @@ def _vector() -> list[Column]:
 
 def _pools(rows: DataFrame) -> DataFrame:
     """rows with ``pool``: the group that a row's estimate comes from; null where that is too small."""
-    key = lambda *c: F.to_json(F.struct(*c))
+    # Nulls are written out: a null source is not a pool of all sources.
+    key = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     groups = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     small = F.col("n") < LEAST
     by_lang = F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))
@@ -168,9 +170,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     From each start concentration steps are taken until its determinant falls no more; the start with the least determinant counts.
     """
     best = store(_starts(rows).withColumn("log_det", F.lit(float("inf"))).withColumn("live", F.lit(True)), "quality-model")
-    for _ in range(MOST_STEPS):
-        if not best.where("live").limit(1).count():
-            break
+    while best.where("live").limit(1).count():
         near = rows.join(best.where("live"), "pool").withColumn("ring", F.floor(F.log(distance() + 1e-6) * DISTANCE_BINS))
         rings = near.groupBy("pool", "start", "ring").agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("pool", "start").orderBy("ring"))
