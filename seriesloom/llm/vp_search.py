@@ -37,7 +37,7 @@ CENTRES = 1 << 14
 #: What rounding may do to a product, relative to the norms.
 SLACK = 1e-9
 #: Factors that are tried, the queries that try them, and the recall that a factor must have on these.
-FACTORS, TRIED, RECALL = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0), 64, 0.99
+FACTORS, TRIED, RECALL = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0), 64, 0.999
 
 
 class Tree:
