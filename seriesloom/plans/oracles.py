@@ -124,6 +124,15 @@ d AS (SELECT a.series_id * 1000000 + 8000 + a.p AS cand, b.series_id, b.label, m
 dm AS MATERIALIZED (SELECT cand, round(r, 5) AS dist, label FROM d), {_GAIN}
 SELECT cand AS cand_id, z.series_id, z.p AS start_idx, 8 AS length, gain AS score, gap, tau FROM best JOIN z ON z.series_id * 1000000 + 8000 + z.p = cand ORDER BY gain DESC, gap DESC, z.series_id, z.p LIMIT 10"""
 
+#: All windows of 8 and 9 days of running sums with all series, by raw distances.
+_PRUNED = f"""WITH {_EV}, cs AS (SELECT series_id, day, sum(x) OVER (PARTITION BY series_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS x FROM es),
+tot AS (SELECT series_id, max(CASE WHEN day = 29 THEN x END) AS total FROM cs GROUP BY 1),
+v AS (SELECT cs.series_id, CAST(any_value(total) > (SELECT avg(total) FROM tot) AS INTEGER) AS label, list(x ORDER BY day) AS v FROM cs JOIN tot USING (series_id) GROUP BY 1),
+w AS MATERIALIZED (SELECT series_id, label, n, CAST(p AS INTEGER) AS p, v[p+1:p+n] AS w FROM v, (SELECT unnest([8, 9]) AS n), LATERAL (SELECT unnest(range(31 - n)) AS p)),
+d AS (SELECT a.series_id * 1000000 + a.n * 1000 + a.p AS cand, b.series_id, b.label, min(list_distance(a.w, b.w)) AS r FROM w a JOIN w b ON a.n = b.n GROUP BY 1, 2, 3),
+dm AS MATERIALIZED (SELECT cand, round(r, 5) AS dist, label FROM d), {_GAIN}
+SELECT cand AS cand_id, w.series_id, w.p AS start_idx, CAST(w.n AS INTEGER) AS length, gain AS score, gap, tau FROM best JOIN w ON w.series_id * 1000000 + w.n * 1000 + w.p = cand ORDER BY gain DESC, gap DESC, w.series_id, w.n, w.p LIMIT 1"""
+
 _FAST = _ALL.replace("min(list_distance(a.z, b.z)) / sqrt(8) AS r", "min(CASE WHEN list_max(a.z) = list_min(a.z) OR list_max(b.z) = list_min(b.z) THEN sqrt(2) ELSE list_distance(a.z, b.z) / sqrt(8) END) AS r")
 
 _SPLIT = f"""{_S}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY series_id * 7919 % 1000, series_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM s),
@@ -157,6 +166,7 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "gain_bound": _BOUND,
     "topk_shapelets": f"WITH {_DM}, {_GAIN} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM best g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
     "brute_topk": _ALL,
+    "pruned_topk": _PRUNED,
     "topk_no_overlap": _WALK,
     "profile_two_dims": _TWO,
     "sax_words": f"WITH {_words()} SELECT series_id, pos, array_to_string(word, '') AS word FROM wd",

@@ -13,6 +13,7 @@ from ..operators.blocks import nearest
 from ..operators.distance import candidates, features, mean_square, min_distances
 from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTree
 from ..operators.extractors import Brute, Fast, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
+from ..operators.pruned import Pruned
 from ..operators.sums import distance_profile
 from ..sources import series as S
 
@@ -127,6 +128,11 @@ def brute_topk(spark, sf):
     return Brute(8, 9).extract(S.event_series(spark, sf), 10).select("cand_id", "series_id", "start_idx", "length", "score", "gap", "tau")
 
 
+def pruned_topk(spark, sf):
+    """The window of 8 or 9 days of running sums that tells heavy users from light ones best, by raw distances; the entropy bound leaves most windows out."""
+    return Pruned(8, 10, normalize=False).extract(S.cumulated(S.event_series(spark, sf)), 1).select("cand_id", "series_id", "start_idx", "length", "score", "gap", "tau")
+
+
 def fast_topk(spark, sf):
     """The same windows as brute_topk by running sums; a flat window has correlation 0 (brute_topk: zeros)."""
     return Fast(8, 9).extract(S.event_series(spark, sf), 10).select("cand_id", "series_id", "start_idx", "length", "score", "gap", "tau")
@@ -323,7 +329,7 @@ def learned_extract(spark, sf):
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
-    ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
+    ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
     scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, matrix_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
     tree_predict, transformer, dtw_neighbours, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,

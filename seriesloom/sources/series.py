@@ -24,6 +24,14 @@ def event_series(spark: SparkSession, sf_dir: str, days: int = 30, first: str =
     return by_day.select(F.col("user_id").alias("series_id"), F.pmod("user_id", F.lit(2)).cast("int").alias("label"), values.alias("v"))
 
 
+def cumulated(rows: DataFrame) -> DataFrame:
+    """rows(series_id, v) with the running sums of v; label: 1 for series whose total is over the mean total, else 0."""
+    added = F.aggregate("v", F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
+    rows = rows.select("series_id", added.alias("v")).withColumn("total", F.try_element_at("v", F.lit(-1)))
+    mean = F.broadcast(rows.agg(F.avg("total").alias("mean")))
+    return rows.join(mean).select("series_id", (F.col("total") > F.col("mean")).cast("int").alias("label"), "v")
+
+
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, t, x): the values of each user's events in order of time; lengths differ."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
