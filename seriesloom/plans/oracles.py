@@ -133,6 +133,13 @@ d AS (SELECT a.series_id * 1000000 + a.n * 1000 + a.p AS cand, b.series_id, b.la
 dm AS MATERIALIZED (SELECT cand, round(r, 5) AS dist, label FROM d), {_GAIN}
 SELECT cand AS cand_id, w.series_id, w.p AS start_idx, CAST(w.n AS INTEGER) AS length, gain AS score, gap, tau FROM best JOIN w ON w.series_id * 1000000 + w.n * 1000 + w.p = cand ORDER BY gain DESC, gap DESC, w.series_id, w.n, w.p LIMIT 1"""
 
+#: All pairs of windows of 16 events in order of time.
+_LONG = """WITH q AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, value FROM events),
+l AS (SELECT pos, list(value) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS w FROM q QUALIFY len(w) = 16),
+z AS MATERIALIZED (SELECT pos, list_transform(w, lambda x: (x - list_avg(w)) / greatest(list_stddev_pop(w), 1e-7)) AS z, list_stddev_pop(w) < 1e-7 AS flat FROM l),
+d AS (SELECT a.pos, arg_min(b.pos, (round(2 * (16 - list_inner_product(a.z, b.z)), 10), b.pos)) AS nearest, max(list_inner_product(a.z, b.z)) AS p FROM z a JOIN z b ON NOT b.flat AND NOT (b.pos - a.pos >= -8 AND b.pos - a.pos < 8) GROUP BY 1)
+SELECT z.pos, round(sqrt(greatest(0, 2 * (16 - p))), 6) AS profile, nearest FROM z LEFT JOIN d USING (pos)"""
+
 _FAST = _ALL.replace("min(list_distance(a.z, b.z)) / sqrt(8) AS r", "min(CASE WHEN list_max(a.z) = list_min(a.z) OR list_max(b.z) = list_min(b.z) THEN sqrt(2) ELSE list_distance(a.z, b.z) / sqrt(8) END) AS r")
 
 _SPLIT = f"""{_S}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY series_id * 7919 % 1000, series_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM s),
@@ -167,6 +174,7 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "topk_shapelets": f"WITH {_DM}, {_GAIN} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM best g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
     "brute_topk": _ALL,
     "pruned_topk": _PRUNED,
+    "event_profile": _LONG,
     "topk_no_overlap": _WALK,
     "profile_two_dims": _TWO,
     "sax_words": f"WITH {_words()} SELECT series_id, pos, array_to_string(word, '') AS word FROM wd",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import evaluation, metrics, profile, sax, separability
 from ..operators.blocks import nearest
+from ..operators.diagonals import long_profile
 from ..operators.distance import candidates, features, mean_square, min_distances
 from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTree
 from ..operators.extractors import Brute, Fast, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
@@ -217,6 +218,11 @@ def profile_two_dims(spark, sf):
     return profile.matrix_profile(rows, 8).select("seq_id", "k", "pos", _r("profile"), "nearest")
 
 
+def event_profile(spark, sf):
+    """The matrix profile of all events as one sequence."""
+    return long_profile(S.event_sequence(spark, sf), 16).select("pos", _r("profile"), "nearest")
+
+
 def mass_profile(spark, sf):
     """A week's shape against all windows of all event series."""
     rows = S.event_series(spark, sf).select(F.col("series_id").alias("seq_id"), "v")
@@ -330,7 +336,7 @@ def learned_extract(spark, sf):
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
     ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
-    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, matrix_profile, motif, discord, profile_two_dims,
+    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, matrix_profile, event_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
     tree_predict, transformer, dtw_neighbours, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
 )

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import store
+
 
 def embedding_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, label, v) of ``embeddings``."""
@@ -39,6 +41,23 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("series_id"), (F.row_number().over(order) - 1).alias("t"), F.col("value").alias("x"))
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
+    """rows with their number (from 0) in an order, which no task sees whole: ranges are sorted apart and start where those before them end."""
+    ordered = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "series-order")
+    part = F.shiftright(name, 33)
+    sizes = ordered.groupBy(part.alias("seriesloom_part")).agg(F.count(F.lit(1)).alias("n"))
+    # One row for each partition.
+    sizes = sizes.select("seriesloom_part", (F.sum("n").over(Window.orderBy("seriesloom_part")) - F.col("n")).alias("seriesloom_before"))
+    number = F.col("seriesloom_before") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(F.broadcast(sizes), part == F.col("seriesloom_part")).select(*rows.columns, number.alias(name))
+
+
+def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, pos, x): the values of all events in order of time, as one sequence of one dimension."""
+    rows = numbered(spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "value"), "ts", "event_id")
+    return rows.select(F.lit(0).cast("long").alias("seq_id"), "pos", F.array("value").alias("x"))
+
+
 def customer_series(spark: SparkSession, sf_dir: str, months: int = 80) -> DataFrame:
     """(series_id, label, v): per customer the monthly sums of order prices from 1995-01 on; label: dense rank of the market segment."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("month"), F.col("o_totalprice").cast("double").alias("x"))
