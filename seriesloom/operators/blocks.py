@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
@@ -36,6 +38,65 @@ def dtw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(cost[:, :, m])
 
 
+def dtw_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No more than dtw(x, y): what the points of one outside the other's range must cost at least, either way round, and the ends."""
+    def outside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = b.min(1), b.max(1)
+        return np.stack([(np.maximum(np.maximum(a - h, w - a), 0) ** 2).sum(1) for w, h in zip(low, high, strict=True)], axis=1)
+
+    first = (x[:, None, 0] - y[None, :, 0]) ** 2
+    last = (x[:, None, -1] - y[None, :, -1]) ** 2
+    ends = first + last if x.shape[1] > 1 or y.shape[1] > 1 else first
+    return np.sqrt(np.maximum(np.maximum(outside(x, y), outside(y, x).T), ends))
+
+
+def dtw_pairs(x: np.ndarray, y: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """dtw of row i of x with row i of y; infinite where it is over within[i], as soon as a row of costs shows it."""
+    n, m = x.shape[1], y.shape[1]
+    out = np.full(len(x), np.inf)
+    live = np.arange(len(x))
+    cost = np.full((len(x), m + 1), np.inf)
+    cost[:, 0] = 0
+    for i in range(n):
+        new = np.full_like(cost, np.inf)
+        square = (x[live, i, None] - y[live]) ** 2
+        for j in range(m):
+            new[:, j + 1] = square[:, j] + np.minimum(np.minimum(cost[:, j + 1], new[:, j]), cost[:, j])
+        keep = new.min(1) <= within[live] ** 2 * (1 + 1e-9) + 1e-9
+        live, cost = live[keep], new[keep]
+    out[live] = np.sqrt(cost[:, m])
+    return out
+
+
+#: Partners that the filter lets through at once for each row.
+VERIFIED = 16
+
+
+def dtw_filtered(x: np.ndarray, y: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """(dtw of x with y where it may be among the k least of a row, else infinite; pairs that were worked out).
+
+    Partners come by their bound; once the k-th distance of a row is under the next bound the rest is left out.  same: pairs to leave out.
+    """
+    bound = dtw_bound(x, y)
+    if same is not None:
+        bound[same] = np.inf
+    order = np.argsort(bound, axis=1, kind="stable")
+    out = np.full(bound.shape, np.inf)
+    kth, count = np.full(len(x), np.inf), 0
+    for at in range(0, y.shape[0], VERIFIED):
+        some = order[:, at : at + VERIFIED]
+        near = np.take_along_axis(bound, some, 1)
+        row, place = np.nonzero(np.isfinite(near) & (near <= kth[:, None] + 1e-9))
+        if not len(row):
+            break
+        column = some[row, place]
+        out[row, column] = dtw_pairs(x[row], y[column], kth[row])
+        count += len(row)
+        if len(y) >= k:
+            kth = np.partition(out, k - 1, axis=1)[:, k - 1]
+    return out, count
+
+
 def hashed_block(key: str, parts: int) -> Column:
     """The block, of ``parts``, that a row is in."""
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
@@ -60,32 +121,48 @@ def parts_by_rows(one: int, two: int) -> int:
 
 
 def nearest(rows: DataFrame, others: DataFrame, k: int, same: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = _euclid) -> DataFrame:
-    """(series_id, label, other_id, other_label, dist, place): for each of rows(series_id, label, v) its k nearest of others; arrays of one length.
+    """(series_id, label, other_id, other_label, dist, place): for each of rows(series_id, label, v) its k nearest of others.
 
-    Others of one block (BLOCK_VALUES numbers) are broadcast; more meet the rows by pairs of blocks.
+    Euclidean distances are between arrays of one length; dtw takes any, and works out only the pairs that a lower bound lets through.
+    Null and empty arrays take no part.  Others of one block (BLOCK_VALUES numbers) are broadcast; more meet the rows by pairs of blocks.
     """
     ship(rows.sparkSession)
     mine = rows.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v")
     theirs = others.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v")
     schema = "series_id bigint, label int, other_id bigint, other_label int, dist double"
 
-    def block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(table["series_id"].to_numpy(), kind="stable")
-        return table["series_id"].to_numpy()[order], table["label"].to_numpy()[order], np.array(table["v"].to_pylist(), np.float64)[order]
-
-    def match(table: pa.Table | pa.RecordBatch, other: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        ids, labels, y = other
-        for at in range(0, table.num_rows, 256):
-            piece = table.slice(at, 256)
-            d = np.round(distance(np.array(piece.column(2).to_pylist(), np.float64), y), 9)
-            own_ids = piece.column(0).to_numpy()
-            if same:
-                d[own_ids[:, None] == ids[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(d, best, 1)
-            keep = np.flatnonzero(np.isfinite(value).ravel())
-            own = np.repeat(np.arange(piece.num_rows), best.shape[1])[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(own_ids[own]), pa.array(piece.column(1).to_pylist(), pa.int32()).take(pa.array(own)), pa.array(ids[best].ravel()[keep]), pa.array(labels[best].ravel()[keep].astype(np.int32)), pa.array(value.ravel()[keep])], ["series_id", "label", "other_id", "other_label", "dist"])
+    mine, theirs = (t.where(F.size("v") > 0) for t in (mine, theirs))
+
+    def groups(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """ids, labels and values of the rows of each length, by id."""
+        table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
+        table = table.take(pa.array(np.argsort(table["series_id"].to_numpy(), kind="stable")))
+        lengths = pc.list_value_length(table["v"]).to_numpy()
+        for n in np.unique(lengths):
+            part = table.filter(pa.array(lengths == n))
+            yield part["series_id"].to_numpy(), part["label"].combine_chunks(), np.array(part["v"].to_pylist(), np.float64)
+
+    def block(table: pa.Table) -> list[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        return list(groups(table))
+
+    def match(table: pa.Table | pa.RecordBatch, others: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for (own_ids, own_labels, x), (ids, labels, y) in itertools.product(groups(table), others):
+            if distance is _euclid and x.shape[1] != y.shape[1]:
+                continue
+            for at in range(0, len(x), 256):
+                mates = own_ids[at : at + 256, None] == ids[None, :] if same else None
+                if distance is dtw:
+                    d = np.round(dtw_filtered(x[at : at + 256], y, k, mates)[0], 9)
+                else:
+                    d = np.round(distance(x[at : at + 256], y), 9)
+                    if same:
+                        d[mates] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(d, best, 1)
+                keep = np.flatnonzero(np.isfinite(value).ravel())
+                own = at + np.repeat(np.arange(len(d)), best.shape[1])[keep]
+                to = best.ravel()[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(own_ids[own]), own_labels.take(pa.array(own)), pa.array(ids[to]), labels.take(pa.array(to)), pa.array(value.ravel()[keep])], ["series_id", "label", "other_id", "other_label", "dist"])
 
     parts = parts_of(theirs)
     if parts == 1:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..session import ship
-from .blocks import every_pair, parts_by_rows, parts_of
+from .blocks import every_pair, hashed_block, parts_by_rows, parts_of
 
 #: Numbers in a table of windows that a task holds.
 WINDOW_VALUES = 1 << 22
@@ -72,7 +72,8 @@ def min_distances(series: DataFrame, cands: DataFrame, normalize: bool = True, p
     divides by the root of the length (by default if normalize).  If the series is the shorter, its windows and the
     candidate change places.  pos: the first best window.  Empty arrays give no row.
 
-    Candidates of one block (BLOCK_VALUES numbers) are broadcast; more meet the series by pairs of blocks, in one plan of fixed size.
+    Candidates of one block (BLOCK_VALUES numbers) are broadcast; more meet the series by pairs of blocks, in one plan of fixed size.  A
+    stream of series has one pass for each block instead.
     """
     per_length = normalize if per_length is None else per_length
     spark = series.sparkSession
@@ -109,9 +110,13 @@ def min_distances(series: DataFrame, cands: DataFrame, normalize: bool = True, p
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(part))), pa.array([series_ids[i] for i in who], pa.int64()), pa.array([labels[i] for i in who], pa.int32()), pa.array(dist.ravel()), pa.array(pos.ravel().astype(np.int32))], FIELDS.names)
 
     parts = parts_of(theirs, "values")
-    if parts == 1:
-        shared = spark.sparkContext.broadcast(block(theirs.toArrow()))
-        return mine.mapInArrow(lambda batches: (x for batch in batches for x in match(batch, shared.value)), schema)
+    if parts == 1 or series.isStreaming:
+        out = None
+        for i in range(parts):
+            shared = spark.sparkContext.broadcast(block((theirs if parts == 1 else theirs.where(hashed_block("cand_id", parts) == i)).toArrow()))
+            rows = mine.mapInArrow(lambda batches, shared=shared: (x for batch in batches for x in match(batch, shared.value)), schema)
+            out = rows if out is None else out.unionAll(rows)
+        return out
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(match(left, block(right))), FIELDS)
