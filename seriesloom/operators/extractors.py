@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .alignment import blended
 from .distance import candidates, min_distances
+from .fitness import logistic_losses
 from .metrics import order_line, scores
 from .profile import matrix_profile, motifs
 from .sax import random_masks, sax_candidates
@@ -345,7 +346,7 @@ class Learned:
 
 @dataclass
 class MultiGenetic:
-    """Individuals are sets of arrays; fitness: cross-validated log-loss of a nearest-centre model on their distances, then fewer points.
+    """Individuals are sets of arrays; fitness: cross-validated log-loss of a logistic regression on their distances, then fewer points.
 
     Starts mix k-means centres, discords of sampled series and random windows.  Parents swap arrays (crossover) and are blended with their
     nearest partners by the alignment kernel (blend).
@@ -380,22 +381,8 @@ class MultiGenetic:
         return sample_windows(series, n, self.min_len, self.max_len, self.seed + turn)
 
     def _losses(self, series: DataFrame, people: list[list[np.ndarray]]) -> list[tuple[float, int]]:
-        """Mean over held-out series of the log-loss of a softmax over squared distances to class centres, all by one job."""
-        flat = [x for p in people for x in p]
-        owner = [(i, j) for j, p in enumerate(people) for i in [sum(len(q) for q in people[:j]) + a for a in range(len(p))]]
-        owners = series.sparkSession.createDataFrame(owner, "cand_id bigint, person int")
-        d = min_distances(series, _frame(series, flat), False).join(F.broadcast(owners), "cand_id").withColumn("fold", F.pmod(F.xxhash64("series_id", F.lit(self.seed)), F.lit(self.folds)))
-        own = d.groupBy("person", "cand_id", "label", "fold").agg(F.sum("dist").alias("s"), F.count(F.lit(1)).alias("n"))
-        whole = own.groupBy("person", "cand_id", "label").agg(F.sum("s").alias("ws"), F.sum("n").alias("wn"))
-        folds = own.select("fold").distinct()
-        # Centres of what is outside a fold.
-        c = whole.join(folds).join(own, ["person", "cand_id", "label", "fold"], "left").select("person", "cand_id", "fold", F.col("label").alias("class"), F.try_divide(F.col("ws") - F.coalesce("s", F.lit(0.0)), F.col("wn") - F.coalesce("n", F.lit(0))).alias("c"))
-        spread = d.groupBy("person", "cand_id").agg((F.var_pop("dist") + 1e-9).alias("var"))
-        gap = d.join(c, ["person", "cand_id", "fold"]).join(spread, ["person", "cand_id"]).groupBy("person", "series_id", "label", "class").agg(F.sum(F.pow(F.col("dist") - F.col("c"), F.lit(2)) / F.col("var")).alias("g"))
-        soft = gap.groupBy("person", "series_id", "label").agg(F.min("g").alias("least"), F.max(F.when(F.col("class") == F.col("label"), F.col("g"))).alias("own"), F.collect_list("g").alias("all"))
-        loss = (F.col("own") - F.col("least")) / 2 + F.log(F.aggregate("all", F.lit(0.0), lambda a, g: a + F.exp((F.col("least") - g) / 2)))
-        found = {r.person: r.loss for r in soft.groupBy("person").agg(F.avg(loss).alias("loss")).collect()}
-        return [(found.get(j, float("inf")), sum(map(len, p))) for j, p in enumerate(people)]
+        """Held-out log-loss of each set's logistic regression, all fitted together; then its points."""
+        return [(loss, sum(map(len, p))) for loss, p in zip(logistic_losses(series, people, self.folds, self.seed), people, strict=True)]
 
     def extract(self, series: DataFrame, k: int | None = None) -> DataFrame:
         """The shapelets of the best set, ranked; k of them if given."""

@@ -41,13 +41,16 @@ def davies_bouldin(rows: DataFrame) -> DataFrame:
     return worst.agg(F.round(F.coalesce(F.avg("r"), F.lit(float("inf"))), 6).alias("dbi"))
 
 
-def bhattacharyya(rows: DataFrame, dims: tuple[int, ...] = (0, 1), cells: int = 10) -> DataFrame:
-    """(coefficient): the sum over grid cells of the K-th root of the product of the K classes' shares.
+def bhattacharyya(rows: DataFrame, dims: tuple[int, ...] | None = None, cells: int = 10) -> DataFrame:
+    """(coefficient): the sum over grid cells of the K-th root of the product of the K classes' shares, in logarithms.
 
-    Each kept dimension is cut into ``cells`` of equal width, the largest value in a cell of its own; dimensions of a range
+    Only cells that hold a series are there, so any number of dimensions (by default all that the longest series has) will do.  Each kept dimension is cut into ``cells`` of equal width, the largest value in a cell of its own; dimensions of a range
     under 1e-5 are left out, and if none is left the classes coincide (1).
     """
-    x = [F.element_at("v", d + 1) for d in dims]
+    dims = tuple(range(rows.agg(F.max(F.size("v"))).first()[0] or 0)) if dims is None else dims
+    x = [F.try_element_at("v", F.lit(d + 1)) for d in dims]
+    if not dims:
+        return rows.sparkSession.sql("SELECT 1.0D AS coefficient")
     ends = rows.agg(*[f(e).alias(f"{n}{i}") for i, e in enumerate(x) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     used = [i for i in range(len(dims)) if ends[f"hi{i}"] is not None and ends[f"hi{i}"] - ends[f"lo{i}"] >= 1e-5]
     spark = rows.sparkSession
@@ -77,18 +80,45 @@ def separability_index(rows: DataFrame) -> DataFrame:
     return near.agg(F.round(F.avg((F.col("label") == F.col("other_label")).cast("double")), 6).alias("si"))
 
 
-def jensen_shannon(rows: DataFrame, dim: int = 0, bins: int = 10) -> DataFrame:
-    """(label_a, label_b, jsd) of the classes' histograms of one dimension over its whole range (natural logarithm)."""
-    x = F.element_at("v", dim + 1)
-    ends = rows.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    width = ((ends["hi"] - ends["lo"]) / bins if ends["lo"] is not None else 0.0) or 1.0
-    counts = rows.select("label", F.least(F.lit(bins - 1), F.floor((x - (ends["lo"] or 0.0)) / width)).alias("bin")).groupBy("label", "bin").agg(F.count(F.lit(1)).alias("n"))
-    p = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
-    labels = p.select("label").distinct()
-    pairs = labels.toDF("label_a").join(labels.toDF("label_b"), F.col("label_a") < F.col("label_b"))
-    grid = pairs.join(p.select("bin").distinct())
-    a, b = p.select(F.col("label").alias("label_a"), "bin", F.col("p").alias("pa")), p.select(F.col("label").alias("label_b"), "bin", F.col("p").alias("pb"))
-    both = grid.join(a, ["label_a", "bin"], "left").join(b, ["label_b", "bin"], "left").na.fill(0.0, ["pa", "pb"])
+def _shares(rows: DataFrame, bins: int, joint: bool) -> DataFrame:
+    """(key, label, p): the share of each class's series in each cell.
+
+    Every dimension is cut into bins of equal width over its whole range.  A cell is a dimension and a bin, or, if joint, the bins of all
+    dimensions together; only cells that hold a series are there.  Null values are in no cell.
+    """
+    long = _long(rows).where("x IS NOT NULL")
+    ends = long.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    width = F.coalesce(F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0)), F.lit(1.0))
+    cells = long.join(ends, "dim").select("series_id", "label", "dim", F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / width)).alias("bin"))
+    if joint:
+        cell = F.to_json(F.sort_array(F.collect_list(F.struct("dim", "bin"))))
+        cells = cells.groupBy("series_id", "label").agg(cell.alias("bin")).withColumn("dim", F.lit(None).cast("int"))
+    counts = cells.groupBy("dim", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(F.col("dim").alias("of"), F.col("label").alias("whose")).agg(F.sum("n").alias("size"))
+    return counts.join(sizes, F.col("dim").eqNullSafe(F.col("of")) & F.col("label").eqNullSafe(F.col("whose"))).select("dim", "bin", "label", (F.col("n") / F.col("size")).alias("p"))
+
+
+def jensen_shannon(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """(dim, label_a, label_b, jsd) of every pair of classes' histograms, for every dimension over its whole range (natural logarithm)."""
+    p = _shares(rows, bins, False)
+    a, b = (p.select("dim", "bin", F.col("label").alias(f"label_{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
     m = (F.col("pa") + F.col("pb")) / 2
-    part = lambda q: F.when(F.col(q) > 0, F.col(q) * F.log(F.col(q) / m)).otherwise(0.0)
-    return both.groupBy("label_a", "label_b").agg(F.round(F.sum((part("pa") + part("pb")) / 2), 6).alias("jsd"))
+    met = a.join(b, ["dim", "bin"]).where("label_a < label_b").groupBy("dim", "label_a", "label_b").agg(F.sum(F.col("pa") + F.col("pb")).alias("shared"), F.sum(F.col("pa") * F.log(F.col("pa") / m) + F.col("pb") * F.log(F.col("pb") / m)).alias("s"))
+    labels = p.select("dim", "label").distinct()
+    pairs = labels.withColumnRenamed("label", "label_a").join(labels.withColumnRenamed("label", "label_b"), "dim").where("label_a < label_b")
+    # Where only one of the two has a series, its share counts ln 2.
+    both = pairs.join(met, ["dim", "label_a", "label_b"], "left").na.fill(0.0, ["shared", "s"])
+    return both.select("dim", "label_a", "label_b", F.round((F.col("s") + (2 - F.col("shared")) * F.log(F.lit(2.0))) / 2, 6).alias("jsd"))
+
+
+def jensen_shannon_mixture(rows: DataFrame, bins: int = 10, weight: float = 0.5, joint: bool = False) -> DataFrame:
+    """(dim, jsd) of all classes at once: ``weight`` times the sum of their divergences from the mean of their histograms.
+
+    joint: one value for the histogram over all dimensions together (dim is null); its cells are those that hold a series.  Two
+    classes and a weight of a half give the usual divergence.
+    """
+    p = _shares(rows, bins, joint)
+    classes = p.groupBy(F.col("dim").alias("of")).agg(F.countDistinct("label").alias("k"))
+    mean = p.groupBy(F.col("dim").alias("d"), F.col("bin").alias("b")).agg(F.sum("p").alias("m"))
+    both = p.join(mean, F.col("dim").eqNullSafe(F.col("d")) & (F.col("bin") == F.col("b"))).join(F.broadcast(classes), F.col("dim").eqNullSafe(F.col("of")))
+    return both.groupBy("dim").agg(F.round(weight * F.sum(F.col("p") * F.log(F.col("p") * F.col("k") / F.col("m"))), 6).alias("jsd"))

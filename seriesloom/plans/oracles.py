@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators.sax import breakpoints
+import re
+
+from ..operators.sax import breakpoints, distance_table
 from .queries import MASKS
 
 _S = "s AS (SELECT vec_id AS series_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -140,6 +142,32 @@ z AS MATERIALIZED (SELECT pos, list_transform(w, lambda x: (x - list_avg(w)) / g
 d AS (SELECT a.pos, arg_min(b.pos, (round(2 * (16 - list_inner_product(a.z, b.z)), 10), b.pos)) AS nearest, max(list_inner_product(a.z, b.z)) AS p FROM z a JOIN z b ON NOT b.flat AND NOT (b.pos - a.pos >= -8 AND b.pos - a.pos < 8) GROUP BY 1)
 SELECT z.pos, round(sqrt(greatest(0, 2 * (16 - p))), 6) AS profile, nearest FROM z LEFT JOIN d USING (pos)"""
 
+
+
+def _level(name: str, lines: str) -> str:
+    """The best cut of each line of ``lines`` (cand, dist, label), under names of its own."""
+    out = f"dm AS MATERIALIZED ({lines}), {_GAIN}"
+    for table in ("dm", "pts", "nexts", "cuts", "side", "ent", "whole", "cut", "best"):
+        out = re.sub(rf"\b{table}\b(?!\.)|\b{table}(?=\.)", f"{table}_{name}", out)
+    return out
+
+
+#: A tree of two levels on the training half: windows of 8 days as candidates of the node that their series is in.
+_TREE = f"""WITH {_EV}, s AS (SELECT series_id, label, list(x ORDER BY day) AS v FROM es GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY series_id * 7919 % 1000, series_id) AS place, count(*) OVER (PARTITION BY label) AS total FROM s),
+w AS (SELECT series_id, label, place <= ceil(total * 0.5e0) AS train, CAST(p AS INTEGER) AS p, v[p+1:p+8] AS w FROM ranked, (SELECT unnest(range(23)) AS p)),
+z AS MATERIALIZED (SELECT series_id, label, train, p, {_z("w")} AS z FROM w),
+d AS MATERIALIZED (SELECT a.series_id * 100 + a.p AS cand, a.series_id AS source, b.series_id, b.label, b.train, round(min(list_distance(a.z, b.z)) / sqrt(8), 5) AS dist FROM z a JOIN z b ON a.train GROUP BY ALL),
+{_level("a", "SELECT cand, dist, label FROM d WHERE train")},
+root AS MATERIALIZED (SELECT cand, tau FROM best_a ORDER BY gain DESC, gap DESC, cand LIMIT 1),
+n1 AS MATERIALIZED (SELECT d.series_id, label, train, CASE WHEN dist <= tau THEN 'L' ELSE 'R' END AS path FROM d JOIN root USING (cand)),
+{_level("b", "SELECT d.cand, d.dist, d.label FROM d JOIN n1 a ON a.series_id = d.source JOIN n1 b ON b.series_id = d.series_id AND a.path = b.path WHERE d.train")},
+inner1 AS MATERIALIZED (SELECT path, cand, tau FROM best_b JOIN (SELECT DISTINCT cand AS c, source FROM d) ON c = cand JOIN n1 ON n1.series_id = source QUALIFY row_number() OVER (PARTITION BY path ORDER BY gain DESC, gap DESC, cand) = 1),
+n2 AS MATERIALIZED (SELECT n1.series_id, n1.label, n1.train, n1.path || coalesce(CASE WHEN d.dist <= i.tau THEN 'L' ELSE 'R' END, '') AS path FROM n1 LEFT JOIN inner1 i ON i.path = n1.path LEFT JOIN d ON d.cand = i.cand AND d.series_id = n1.series_id),
+votes AS (SELECT path, label, count(*) AS n FROM n2 WHERE train GROUP BY 1, 2),
+leaf AS (SELECT path, label AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, label) = 1)
+SELECT n2.series_id, n2.label, prediction FROM n2 JOIN leaf USING (path)"""
+
 _FAST = _ALL.replace("min(list_distance(a.z, b.z)) / sqrt(8) AS r", "min(CASE WHEN list_max(a.z) = list_min(a.z) OR list_max(b.z) = list_min(b.z) THEN sqrt(2) ELSE list_distance(a.z, b.z) / sqrt(8) END) AS r")
 
 _SPLIT = f"""{_S}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY series_id * 7919 % 1000, series_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM s),
@@ -149,6 +177,18 @@ _NEAR = f"""{_S}, nn AS (SELECT a.series_id, a.label, min({{'d': round(list_dist
 _HALVES = f"{_EV}, h AS (SELECT series_id, sum(CASE WHEN day < 15 THEN x ELSE 0e0 END) AS a, sum(CASE WHEN day >= 15 THEN x ELSE 0e0 END) AS b FROM es GROUP BY 1)"
 _CENTER = f"{_S}, {_P}, c AS (SELECT label, t, avg(x) AS c FROM pt GROUP BY 1, 2), cv AS (SELECT label, list(c ORDER BY t) AS c FROM c GROUP BY 1)"
 
+#: Each series' cells of its 30 days, two a day.
+_CELLS = f"""{_EV}, ends AS (SELECT day, min(x) AS lo, max(x) AS hi FROM es GROUP BY 1),
+bins AS (SELECT series_id, label, day, floor((x - lo) / ((hi - lo) / 2)) AS cell FROM es JOIN ends USING (day) WHERE hi - lo >= 1e-5),
+k AS (SELECT series_id, label, list(cell ORDER BY day) AS cell FROM bins GROUP BY 1, 2)"""
+
+#: Shares of the classes in ten bins of every dimension.
+_HISTOGRAMS = f"""{_S}, {_P}, e AS (SELECT t, min(x) AS lo, max(x) AS hi FROM pt GROUP BY 1),
+c AS (SELECT t, label, least(9, floor((x - lo) / coalesce(nullif((hi - lo) / 10, 0), 1))) AS bin, count(*) AS n FROM pt JOIN e USING (t) GROUP BY 1, 2, 3),
+p AS MATERIALIZED (SELECT t, label, bin, n / sum(n) OVER (PARTITION BY t, label) AS p FROM c)"""
+
+_SYMBOLS = ", ".join(f"({i}, {j}, {x!r}::DOUBLE)" for i, row in enumerate(distance_table(4)) for j, x in enumerate(row))
+
 _WEEK = "[0e0, 1e0, 3e0, 2e0, 0e0, 1e0, 5e0]"
 
 ORACLES: dict[str, str] = {
@@ -174,19 +214,23 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "topk_shapelets": f"WITH {_DM}, {_GAIN} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM best g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
     "brute_topk": _ALL,
     "pruned_topk": _PRUNED,
+    "tree_predict": _TREE,
     "event_profile": _LONG,
     "topk_no_overlap": _WALK,
     "profile_two_dims": _TWO,
     "sax_words": f"WITH {_words()} SELECT series_id, pos, array_to_string(word, '') AS word FROM wd",
-    "sax_distance": f"WITH {_words()}, p AS (SELECT a.series_id, a.pos, a.word AS x, b.word AS y FROM wd a JOIN wd b ON a.series_id = b.series_id AND b.pos = a.pos + 16) SELECT series_id, pos, round(2 * list_sum(list_transform(list_zip(x, y), lambda e: CASE WHEN abs(e[1] - e[2]) <= 1 THEN 0e0 ELSE [{', '.join(repr(b) + '::DOUBLE' for b in breakpoints(4))}][greatest(e[1], e[2])] - [{', '.join(repr(b) + '::DOUBLE' for b in breakpoints(4))}][least(e[1], e[2]) + 1] END)), 6) AS dist FROM p",
+    "sax_distance": f"WITH {_words()}, tb(a, b, d) AS (VALUES {_SYMBOLS}), u AS (SELECT series_id, pos, unnest(range(8)) AS i, unnest(word) AS s FROM wd) SELECT x.series_id, x.pos, round(2 * sum(d), 6) AS dist FROM u x JOIN u y ON x.series_id = y.series_id AND y.pos = x.pos + 16 AND x.i = y.i JOIN tb ON tb.a = x.s AND tb.b = y.s GROUP BY 1, 2",
     "sax_power": f"WITH {_power()} SELECT series_id, pos, power FROM pw",
     "sax_top_windows": f"WITH {_power()} SELECT series_id, pos, power FROM pw ORDER BY power DESC, series_id, pos LIMIT 100",
     "scatter_ratio": f"WITH {_S}, {_P}, c AS (SELECT label, t, avg(x) AS m, coalesce(var_samp(x), 0) AS s, count(*) AS n FROM pt GROUP BY 1, 2), g AS (SELECT t, avg(x) AS g FROM pt GROUP BY 1) SELECT round(sum(n * (m - g) * (m - g)) / (sum(n * (m - g) * (m - g)) + sum(s)), 6) AS ratio FROM c JOIN g USING (t)",
     "davies_bouldin": f"WITH {_CENTER}, sp AS (SELECT label, avg(list_distance(v, c)) AS s FROM s JOIN cv USING (label) GROUP BY 1), r AS (SELECT a.label, max((x.s + y.s) / list_distance(a.c, b.c)) AS r FROM cv a JOIN cv b ON a.label <> b.label JOIN sp x ON x.label = a.label JOIN sp y ON y.label = b.label GROUP BY 1) SELECT round(avg(r), 6) AS dbi FROM r",
-    "bhattacharyya": f"WITH {_EV}, v AS (SELECT series_id, label, max(CASE WHEN day = 0 THEN x END) AS a, max(CASE WHEN day = 1 THEN x END) AS b FROM es GROUP BY 1, 2), e AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM v), c AS (SELECT label, floor((a - la) / ((ha - la) / 3)) AS ca, floor((b - lb) / ((hb - lb) / 3)) AS cb, count(*) AS n FROM v, e GROUP BY ALL), z AS (SELECT label, count(*) AS size FROM v GROUP BY 1), p AS (SELECT ca, cb, sum(ln(n / size)) AS l, count(*) AS k FROM c JOIN z USING (label) GROUP BY 1, 2) SELECT round(coalesce(sum(CASE WHEN k = (SELECT count(*) FROM z) THEN exp(l / k) END), 0e0), 6) AS coefficient FROM p",
+    "bhattacharyya": f"WITH {_CELLS}, c AS (SELECT cell, label, count(*) AS n FROM k GROUP BY 1, 2), z AS (SELECT label, count(*) AS size FROM k GROUP BY 1), p AS (SELECT cell, sum(ln(n / size)) AS l, count(*) AS n FROM c JOIN z USING (label) GROUP BY 1) SELECT round(coalesce(sum(exp(l / (SELECT count(*) FROM z))) FILTER (n = (SELECT count(*) FROM z)), 0e0), 6) AS coefficient FROM p",
     "separability_index": f"WITH {_NEAR} SELECT round(avg(CASE WHEN label = b.l THEN 1e0 ELSE 0e0 END), 6) AS si FROM nn",
     "nearest_neighbour": f"WITH {_NEAR} SELECT series_id, b.i AS other_id, round(b.d, 6) AS dist FROM nn",
-    "jensen_shannon": f"WITH {_S}, e AS (SELECT min(v[1]) AS lo, max(v[1]) AS hi FROM s), c AS (SELECT label, least(9, floor((v[1] - lo) / ((hi - lo) / 10))) AS bin, count(*) AS n FROM s, e GROUP BY 1, 2), p AS (SELECT label, bin, n / sum(n) OVER (PARTITION BY label) AS p FROM c), g AS (SELECT a.label AS label_a, b.label AS label_b, bin FROM (SELECT DISTINCT label FROM s) a JOIN (SELECT DISTINCT label FROM s) b ON a.label < b.label CROSS JOIN (SELECT DISTINCT bin FROM c)), f AS (SELECT label_a, label_b, coalesce(x.p, 0e0) AS pa, coalesce(y.p, 0e0) AS pb FROM g LEFT JOIN p x ON x.label = label_a AND x.bin = g.bin LEFT JOIN p y ON y.label = label_b AND y.bin = g.bin) SELECT label_a, label_b, round(sum((CASE WHEN pa > 0 THEN pa * ln(pa / ((pa + pb) / 2)) ELSE 0e0 END + CASE WHEN pb > 0 THEN pb * ln(pb / ((pa + pb) / 2)) ELSE 0e0 END) / 2), 6) AS jsd FROM f GROUP BY 1, 2",
+    "jensen_shannon": f"WITH {_HISTOGRAMS}, g AS (SELECT a.t, a.label AS label_a, b.label AS label_b, n.bin FROM (SELECT DISTINCT t, label FROM p) a JOIN (SELECT DISTINCT t, label FROM p) b ON a.t = b.t AND a.label < b.label JOIN (SELECT DISTINCT t, bin FROM p) n ON n.t = a.t), f AS (SELECT g.t, label_a, label_b, coalesce(x.p, 0e0) AS x, coalesce(y.p, 0e0) AS y FROM g LEFT JOIN p x ON x.t = g.t AND x.bin = g.bin AND x.label = label_a LEFT JOIN p y ON y.t = g.t AND y.bin = g.bin AND y.label = label_b) SELECT CAST(t AS INTEGER) AS dim, label_a, label_b, round(sum(CASE WHEN x > 0 THEN x * ln(2 * x / (x + y)) ELSE 0e0 END + CASE WHEN y > 0 THEN y * ln(2 * y / (x + y)) ELSE 0e0 END) / 2, 6) AS jsd FROM f GROUP BY 1, 2, 3",
+    "jensen_shannon_mixture": f"WITH {_HISTOGRAMS}, m AS (SELECT t, bin, sum(p) AS m FROM p GROUP BY 1, 2), k AS (SELECT t, count(DISTINCT label) AS k FROM p GROUP BY 1) SELECT CAST(t AS INTEGER) AS dim, round(0.5e0 * sum(p * ln(p * k / m)), 6) AS jsd FROM p JOIN m USING (t, bin) JOIN k USING (t) GROUP BY 1",
+    "jensen_shannon_joint": f"WITH {_CELLS.replace('floor', 'least(1, floor', 1).replace('AS cell', ') AS cell', 1)}, p AS (SELECT cell, label, count(*) / sum(count(*)) OVER (PARTITION BY label) AS p FROM k GROUP BY 1, 2), m AS (SELECT cell, sum(p) AS m FROM p GROUP BY 1) SELECT round(0.5e0 * sum(p * ln(p * (SELECT count(DISTINCT label) FROM p) / m)), 6) AS jsd FROM p JOIN m USING (cell)",
+    "transformer": f"WITH {_DM}, {_GAIN}, t AS (SELECT zq.cand_id FROM best g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 3), r AS (SELECT q.cand_id, w.series_id, w.label, min(list_distance(q.q, w.w)) AS r FROM q, w WHERE q.cand_id IN (SELECT cand_id FROM t) GROUP BY ALL) SELECT series_id, label, list(round(r, 6) ORDER BY cand_id) AS features FROM r GROUP BY 1, 2",
     "matrix_profile": f"WITH {_PROFILE} SELECT seq_id, pos, profile, nearest FROM pf",
     "motif": f"WITH {_PROFILE} SELECT seq_id, pos, profile FROM pf WHERE profile IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY profile, pos) = 1",
     "discord": f"WITH {_PROFILE} SELECT seq_id, pos, profile FROM pf WHERE profile IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY profile DESC, pos) = 1",

@@ -14,6 +14,7 @@ from ..operators.diagonals import long_profile
 from ..operators.distance import candidates, features, mean_square, min_distances
 from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTree
 from ..operators.extractors import Brute, Fast, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
+from ..operators.fitness import logistic_losses
 from ..operators.pruned import Pruned
 from ..operators.sums import distance_profile
 from ..sources import series as S
@@ -181,7 +182,7 @@ def davies_bouldin(spark, sf):
 
 
 def bhattacharyya(spark, sf):
-    return separability.bhattacharyya(S.event_series(spark, sf), (0, 1), 3)
+    return separability.bhattacharyya(S.event_series(spark, sf), cells=2)
 
 
 def separability_index(spark, sf):
@@ -196,6 +197,23 @@ def jensen_shannon(spark, sf):
     return separability.jensen_shannon(_emb(spark, sf))
 
 
+def jensen_shannon_mixture(spark, sf):
+    return separability.jensen_shannon_mixture(_emb(spark, sf))
+
+
+def jensen_shannon_joint(spark, sf):
+    return separability.jensen_shannon_mixture(S.event_series(spark, sf), 2, joint=True).select("jsd")
+
+
+def set_losses(spark, sf):
+    """Held-out log-loss of logistic regressions on 20 pairs of windows, all fitted together."""
+    rows = _emb(spark, sf)
+    values = [r["values"] for r in _cands(rows).orderBy("cand_id").collect()]
+    sets = [values[i : i + 2] for i in range(0, len(values) - 1, 2)]
+    losses = logistic_losses(rows, sets)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "set_id int, loss double")
+
+
 def _profile(spark, sf):
     rows = S.event_series(spark, sf)
     return profile.matrix_profile(rows.select(F.col("series_id").alias("seq_id"), F.array("v").alias("v")), 8)
@@ -289,8 +307,10 @@ def run_summary(spark, sf):
 
 
 def tree_predict(spark, sf):
-    rows = _emb(spark, sf)
-    return ShapeletTree(Brute(LENGTH, LENGTH + 1, step=48), max_depth=2).fit(_sources(rows).unionByName(S.stratified(rows, 5)).dropDuplicates(["series_id"])).predict(rows).select("series_id", "label", "prediction")
+    """A tree of two levels that is grown on all windows of 8 days of the training half of all event series; it predicts every series."""
+    rows = S.split(S.event_series(spark, sf), 0.5, F.col("series_id") * 7919 % 1000)
+    train = rows.where("part = 'train'").select("series_id", "label", "v")
+    return ShapeletTree(Brute(8, 9), max_depth=2).fit(train).predict(rows).select("series_id", "label", "prediction")
 
 
 def transformer(spark, sf):
@@ -300,7 +320,8 @@ def transformer(spark, sf):
         def extract(self, series, k):
             return top(rank(_cands(series), series), k)
 
-    return ShapeletTransform(Fixed(), 3).fit(rows).transform(rows)
+    out = ShapeletTransform(Fixed(), 3).fit(rows).transform(rows)
+    return out.select("series_id", "label", F.transform("features", lambda x: F.round(x, DIGITS)).alias("features"))
 
 
 def dtw_neighbours(spark, sf):
@@ -336,7 +357,7 @@ def learned_extract(spark, sf):
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
     ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
-    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, matrix_profile, event_profile, motif, discord, profile_two_dims,
+    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, matrix_profile, event_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
     tree_predict, transformer, dtw_neighbours, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
 )

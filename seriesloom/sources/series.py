@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..tables import store
 
 
@@ -138,22 +140,56 @@ def write_measurements(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").csv(path, header=True)
 
 
+#: Rows that are drawn from together.
+DRAW_BLOCK = 1 << 16
+
+
+def draws(block: int, rows: int, size: int, seed: int) -> np.ndarray:
+    """How often each row of a block of DRAW_BLOCK is drawn when ``size`` are drawn from ``rows`` with replacement.
+
+    The number for the block comes from halving: of the draws from a range of blocks a binomial number falls into its first half.  The numbers of
+    all blocks add up to size whichever task asks, as a range's number hangs on the seed and the range alone.
+    """
+    low, high = 0, max(1, -(-rows // DRAW_BLOCK))
+    upto = lambda b: min(b * DRAW_BLOCK, rows)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = np.random.default_rng([seed, low, high]).binomial(size, (upto(middle) - upto(low)) / (upto(high) - upto(low)))
+        if block < middle:
+            high, size = middle, int(first)
+        else:
+            low, size = middle, size - int(first)
+    n = upto(high) - upto(low)
+    return np.bincount(np.random.default_rng([seed, low, high]).integers(0, n, size), minlength=n) if n else np.zeros(0, np.int64)
+
+
 def bootstrap(rows: DataFrame, share: float = 1.0, seed: int = 1337) -> DataFrame:
-    """rows with replacement: each is repeated by a Poisson number of mean ``share`` that a hash of series_id and seed decides.
+    """round(share * n) of the n rows(series_id, ..), drawn with replacement, each row by itself: equal series_ids are drawn apart.
 
-    Nothing is shuffled, and reruns agree; the size of the result is ``share`` of that of rows only on average.  Rows that repeat a
-    series_id are repeated alike.  ``share`` is from 0 to 10.
+    Rows are numbered in the order of series_id and a hash of the row by ranges, and every block of numbers knows how often its rows are drawn, so no task and
+    not the driver sees all.  Reruns agree, but for which of several equal rows it is.
     """
-    if not 0 <= share <= 10:
-        raise ValueError("share is from 0 to 10")
-    draw = F.pmod(F.xxhash64("series_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    steps, chance, below = [], math.exp(-share), 0.0
-    for k in range(64):
-        below += chance
-        steps.append(below)
-        chance *= share / (k + 1)
-    times = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x <= draw))
-    return rows.select("*", F.explode(F.array_repeat(F.lit(0), times)).alias("seriesloom_turn")).drop("seriesloom_turn")
+    if share < 0:
+        raise ValueError("share is 0 or more")
+    ship(rows.sparkSession)
+    order = "seriesloom_order"
+    n = rows.count()
+    size = round(share * n)
+    placed = numbered(rows.withColumn(order, F.xxhash64(F.to_json(F.struct("*")))), F.asc_nulls_first("series_id"), order, name="seriesloom_place").drop(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, times = -1, None
+        for batch in batches:
+            place = batch.column("seriesloom_place").to_numpy()
+            count = np.zeros(len(place), np.int64)
+            for b in np.unique(place // DRAW_BLOCK):
+                if b != block:
+                    block, times = int(b), draws(int(b), n, size, seed)
+                own = place // DRAW_BLOCK == b
+                count[own] = times[place[own] % DRAW_BLOCK]
+            yield batch.take(pa.array(np.repeat(np.arange(len(place)), count)))
+
+    return placed.mapInArrow(run, placed.schema).drop("seriesloom_place")
 
 
 def sizes_of(shapelets: DataFrame, seed: int = 1337) -> dict[int, int]:
