@@ -187,6 +187,15 @@ _HISTOGRAMS = f"""{_S}, {_P}, e AS (SELECT t, min(x) AS lo, max(x) AS hi FROM pt
 c AS (SELECT t, label, least(9, floor((x - lo) / coalesce(nullif((hi - lo) / 10, 0), 1))) AS bin, count(*) AS n FROM pt JOIN e USING (t) GROUP BY 1, 2, 3),
 p AS MATERIALIZED (SELECT t, label, bin, n / sum(n) OVER (PARTITION BY t, label) AS p FROM c)"""
 
+#: One window of 36 months with all customers.
+_SPREAD = f"""WITH m AS (SELECT o_custkey, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS month, sum(CAST(o_totalprice AS DOUBLE)) AS x FROM orders GROUP BY 1, 2),
+u AS (SELECT DISTINCT o_custkey, c_mktsegment FROM m JOIN customer ON c_custkey = o_custkey WHERE month BETWEEN 0 AND 79),
+v AS (SELECT u.o_custkey AS series_id, c_mktsegment AS label, list(coalesce(x, 0e0) ORDER BY g) AS v FROM u CROSS JOIN (SELECT unnest(range(80)) AS g) LEFT JOIN m ON m.o_custkey = u.o_custkey AND m.month = g GROUP BY 1, 2),
+w AS (SELECT series_id, label, p, v[p+1:p+36] AS w FROM v, (SELECT unnest(range(45)) AS p)),
+z AS MATERIALIZED (SELECT series_id, label, p, {_z("w")} AS z FROM w), q AS (SELECT z AS q FROM z WHERE p = 0 ORDER BY series_id LIMIT 1),
+dm AS MATERIALIZED (SELECT 0 AS cand, round(min(list_distance(q, z)) / 6, 5) AS dist, label FROM z, q GROUP BY series_id, label), {_GAIN}
+SELECT gain, gap, tau FROM best"""
+
 _SYMBOLS = ", ".join(f"({i}, {j}, {x!r}::DOUBLE)" for i, row in enumerate(distance_table(4)) for j, x in enumerate(row))
 
 _WEEK = "[0e0, 1e0, 3e0, 2e0, 0e0, 1e0, 5e0]"
@@ -214,6 +223,9 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "topk_shapelets": f"WITH {_DM}, {_GAIN} SELECT cand AS cand_id, zq.source AS series_id, zq.start_idx, 16 AS length, gain AS score, gap, tau FROM best g JOIN zq ON zq.cand_id = g.cand ORDER BY gain DESC, gap DESC, zq.source, zq.start_idx LIMIT 5",
     "brute_topk": _ALL,
     "pruned_topk": _PRUNED,
+    "silhouettes": f"WITH {_S}, d AS (SELECT a.series_id, a.label, b.label AS other, avg(power(list_distance(a.v, b.v), 2)) AS d FROM s a JOIN s b ON a.series_id <> b.series_id GROUP BY 1, 2, 3), g AS (SELECT series_id, label, max(CASE WHEN other = label THEN d END) AS a, min(CASE WHEN other <> label THEN d END) AS b FROM d GROUP BY 1, 2) SELECT series_id, label AS cluster, round(coalesce((b - a) / greatest(a, b), 0e0), 6) AS silhouette FROM g",
+    "calinski_harabasz": f"WITH {_CENTER}, g AS (SELECT list(x ORDER BY t) AS g FROM (SELECT t, avg(x) AS x FROM pt GROUP BY 1)), w AS (SELECT sum(power(list_distance(v, c), 2)) AS w FROM s JOIN cv USING (label)), b AS (SELECT sum(n * power(list_distance(c, g), 2)) AS b, count(*) AS k, sum(n) AS n FROM cv JOIN (SELECT label, count(*) AS n FROM s GROUP BY 1) USING (label), g) SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS score FROM b, w",
+    "spread_line": _SPREAD,
     "tree_predict": _TREE,
     "event_profile": _LONG,
     "topk_no_overlap": _WALK,

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import evaluation, metrics, profile, sax, separability
+from ..operators import clustering, evaluation, metrics, profile, sax, separability
 from ..operators.blocks import nearest
+from ..operators.clustering import WarpedKMeans
 from ..operators.diagonals import long_profile
 from ..operators.distance import candidates, features, mean_square, min_distances
 from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTree
@@ -104,6 +105,13 @@ def ig_scores(spark, sf):
     return metrics.score(_line(spark, sf), "ig")
 
 
+def spread_line(spark, sf):
+    """The best cut of the line of one window, the first three years of the first customer, with all customers: one line, in many tasks."""
+    rows = S.customer_series(spark, sf)
+    first = rows.agg(F.min_by("v", "series_id").alias("v")).select(F.lit(0).cast("long").alias("cand_id"), F.slice("v", 1, 36).alias("values"))
+    return metrics.spread_gains(metrics.order_line(min_distances(rows, first))).select("gain", "gap", "tau")
+
+
 def f_scores(spark, sf):
     return metrics.score(_line(spark, sf), "f")
 
@@ -214,6 +222,21 @@ def set_losses(spark, sf):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "set_id int, loss double")
 
 
+def warped_clusters(spark, sf):
+    """All event series in three clusters under warping."""
+    rows = S.event_series(spark, sf)
+    return WarpedKMeans(3, 3).fit(rows).predict(rows).select("series_id", "cluster", _r("dist"))
+
+
+def silhouettes(spark, sf):
+    rows = _emb(spark, sf).withColumnRenamed("label", "cluster")
+    return clustering.silhouettes(rows).select("series_id", "cluster", _r("silhouette"))
+
+
+def calinski_harabasz(spark, sf):
+    return clustering.calinski_harabasz(_emb(spark, sf).withColumnRenamed("label", "cluster"))
+
+
 def _profile(spark, sf):
     rows = S.event_series(spark, sf)
     return profile.matrix_profile(rows.select(F.col("series_id").alias("seq_id"), F.array("v").alias("v")), 8)
@@ -356,8 +379,8 @@ def learned_extract(spark, sf):
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
-    ig_scores, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
-    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, matrix_profile, event_profile, motif, discord, profile_two_dims,
+    ig_scores, spread_line, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
+    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, warped_clusters, silhouettes, calinski_harabasz, matrix_profile, event_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
     tree_predict, transformer, dtw_neighbours, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
 )
