@@ -5,7 +5,7 @@
 2. Classes that agree in all minima of a band share a bucket.  A bucket first pairs its members with
    two hubs only, its smallest and its largest member.  Members that a verified link puts into one component
    need no further look.  A bucket that still holds several components is looked through in blocks of about BLOCK
-   members: a task compares the members of two blocks that are in different components and hands on links only.  So
+   members, large components apart: a task compares the members of two blocks that are in different components and hands on links only.  So
    a large group of near copies gives rows in proportion to its size, and no link between components is lost.
 3. A pair's signatures are compared BATCH minima at a time.  With m of n equal and a uniform prior, the
    pair is dropped once the posterior chance of a similarity at the threshold is under ``miss``.
@@ -244,6 +244,21 @@ def links_apart(apart: DataFrame, texts: DataFrame, classes: DataFrame, percent:
     return arrow(pairs.select("x.bucket", F.col("x.rows").alias("x"), F.col("y.rows").alias("y")), run, "a bigint, b bigint").distinct()
 
 
+def blocks_apart(named: DataFrame) -> DataFrame:
+    """(bucket, rep, component, block): the members of named(bucket, rep, component) in buckets that hold several components, in blocks of about BLOCK.
+
+    A component of more than BLOCK members in a bucket has blocks of its own, and two of these need no comparison; smaller ones share blocks, each whole in one.
+    So a large component and a few strays make blocks, and pairs of them, in proportion to the members.
+    """
+    own = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("small")).where("components > 1")
+    sized = store(own.join(mixed, "bucket").select("bucket", "component", "m", "small"), "minhash-mixed")
+    large = F.col("m") > BLOCK
+    of_large = F.xxhash64("component", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
+    of_small = F.pmod(F.xxhash64("component"), F.ceil(F.greatest("small", F.lit(1)) / BLOCK))
+    return named.join(sized, ["bucket", "component"]).select("bucket", "rep", "component", F.when(large, of_large).otherwise(of_small).alias("block"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text).
 
@@ -268,9 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = check(store(hubs.where("a < b").distinct(), "minhash-pairs"))
     found = components(links)
     named = members.join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("least < most")
-    apart = named.join(store(mixed.select("bucket", "blocks"), "minhash-mixed"), "bucket").select("bucket", "rep", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
-    new = store(links_apart(apart, texts, classes), "minhash-links")
+    new = store(links_apart(blocks_apart(named), texts, classes), "minhash-links")
     if new.limit(1).count():
         found = components(links.union(new))
 

@@ -108,3 +108,17 @@ def test_row_ids_and_maps(spark):
     assert {(7, 7), (-3, -3)} < ids and len(ids) == 4 and min(i for d, i in ids if d is None) > 7
     assert with_ids(docs(spark, [(1 << 62, "x", "a"), (None, "y", "a")])).select(ROW_ID).distinct().count() == 2
     assert rows_of(one_per_id(docs(spark, [(1, "b", "a"), (1, "a", "a"), (None, "c", "a"), (None, "c", "a")]))) == Counter([(1, "a"), (None, "c"), (None, "c")])
+
+
+def test_strays_in_a_large_bucket_make_few_pairs(spark):
+    """A bucket of one component of 3,000 members and five strays: blocks and pairs of blocks grow with the members, and no pair of components is missed."""
+    rows = [(1, i, 0) for i in range(3000)] + [(1, 5000 + i, 5000 + i) for i in range(5)] + [(2, i, 0) for i in range(500)] + [(3, 1, 0), (3, 7000, 7000)]
+    apart = minhash.blocks_apart(spark.createDataFrame(rows, "bucket long, rep long, component long"))
+    found = apart.groupBy("bucket", "block").agg(F.collect_set("component").alias("components"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.bucket for r in found} == {1, 3} and sum(r.n for r in found) == 3007
+    one = [r for r in found if r.bucket == 1]
+    pairs = [(x, y) for i, x in enumerate(one) for y in one[i:] if not (len(x.components) == len(y.components) == 1 and x.components == y.components)]
+    assert len(pairs) <= 3000 / minhash.BLOCK + 5
+    met = {(a, b) for x, y in pairs for a in x.components for b in y.components if a != b}
+    met |= {(b, a) for a, b in met}
+    assert all((a, b) in met for a in [0, *range(5000, 5005)] for b in [0, *range(5000, 5005)] if a != b)
