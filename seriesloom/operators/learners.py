@@ -30,12 +30,12 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, folds: int = 3, se
         grid = ParamGridBuilder().addGrid(model.numTrees, [10, 50]).addGrid(model.maxDepth, [3, 8]).build()
     elif kind == "svm":
         inner = LinearSVC(featuresCol="x", maxIter=20)
-        model = OneVsRest(classifier=inner, featuresCol="x")
+        model = OneVsRest(classifier=inner, featuresCol="x", parallelism=4)
         grid = ParamGridBuilder().addGrid(inner.regParam, [0.01, 0.1]).build()
     else:
         raise KeyError(kind)
     scorer = MulticlassClassificationEvaluator(metricName="accuracy")
-    best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=scorer, numFolds=folds, seed=seed).fit(_vectors(train))
+    best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=scorer, numFolds=folds, seed=seed, parallelism=4).fit(_vectors(train))
     return best.transform(_vectors(test)).select("series_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 

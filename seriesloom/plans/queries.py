@@ -16,9 +16,11 @@ from ..operators.distance import candidates, features, mean_square, min_distance
 from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTree
 from ..operators.extractors import Brute, Fast, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
 from ..operators.fitness import logistic_losses
+from ..operators.learners import estimate_lengths, fit_predict
 from ..operators.pruned import Pruned
 from ..operators.sums import distance_profile
 from ..sources import series as S
+from ..tables import store
 
 LENGTH = 16
 #: Word positions that the three masks keep.
@@ -357,6 +359,35 @@ def transform_features(spark, sf):
     return features(_dist(spark, sf, False)).select("series_id", "label", F.transform("features", lambda x: F.round(x, DIGITS)).alias("features"))
 
 
+def _learner(spark, sf, kind):
+    """Predictions of the test half by a classifier on distances to windows of the training half: one window of each label, every 16th start."""
+    rows = S.split(_emb(spark, sf), 0.5, F.col("series_id") * 7919 % 1000)
+    train = rows.where("part = 'train'").select("series_id", "label", "v")
+    found = features(min_distances(rows.select("series_id", "label", "v"), _cands(train), False)).join(rows.select("series_id", "part"), "series_id")
+    # The fits go over it again and again.
+    found = store(found, "learner-features")
+    train, test = (found.where(F.col("part") == p).select("series_id", "label", "features") for p in ("train", "test"))
+    return fit_predict(kind, train, test, folds=2)
+
+
+def fit_lr(spark, sf):
+    return _learner(spark, sf, "lr")
+
+
+def fit_rf(spark, sf):
+    return _learner(spark, sf, "rf")
+
+
+def fit_svm(spark, sf):
+    return _learner(spark, sf, "svm")
+
+
+def length_bounds(spark, sf):
+    """Bounds of length for a wider search, from shapelets of small samples."""
+    low, high = estimate_lengths(S.event_series(spark, sf), Brute(4, 12), rounds=2, per_label=6)
+    return spark.createDataFrame([(low, high)], "low int, high int")
+
+
 def genetic_extract(spark, sf):
     return Genetic(population=12, iterations=4, min_len=8, max_len=24).extract(_emb(spark, sf), 3)
 
@@ -382,7 +413,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     ig_scores, spread_line, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
     scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, warped_clusters, silhouettes, calinski_harabasz, matrix_profile, event_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
-    tree_predict, transformer, dtw_neighbours, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
+    tree_predict, transformer, dtw_neighbours, fit_lr, fit_rf, fit_svm, length_bounds, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
 )
 
 
