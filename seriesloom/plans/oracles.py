@@ -196,6 +196,13 @@ z AS MATERIALIZED (SELECT series_id, label, p, {_z("w")} AS z FROM w), q AS (SEL
 dm AS MATERIALIZED (SELECT 0 AS cand, round(min(list_distance(q, z)) / 6, 5) AS dist, label FROM z, q GROUP BY series_id, label), {_GAIN}
 SELECT gain, gap, tau FROM best"""
 
+#: All pairs of customers by running sums.
+_TURNOVER = """WITH m AS (SELECT o_custkey, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS month, sum(CAST(o_totalprice AS DOUBLE)) AS x FROM orders GROUP BY 1, 2),
+u AS (SELECT DISTINCT o_custkey, c_mktsegment FROM m JOIN customer ON c_custkey = o_custkey WHERE month BETWEEN 0 AND 79),
+g AS (SELECT u.o_custkey AS series_id, c_mktsegment AS label, g, sum(coalesce(x, 0e0)) OVER (PARTITION BY u.o_custkey ORDER BY g) AS x FROM u CROSS JOIN (SELECT unnest(range(80)) AS g) LEFT JOIN m ON m.o_custkey = u.o_custkey AND m.month = g),
+t AS MATERIALIZED (SELECT series_id, label, list(x ORDER BY g) AS v FROM g GROUP BY 1, 2),
+nn AS (SELECT a.series_id, a.label, b.series_id AS other_id, b.label AS other_label, list_distance(a.v, b.v) AS dist, row_number() OVER (PARTITION BY a.series_id ORDER BY round(list_distance(a.v, b.v), 9), b.series_id) AS place FROM t a JOIN t b ON a.series_id <> b.series_id QUALIFY place <= 3)"""
+
 _SYMBOLS = ", ".join(f"({i}, {j}, {x!r}::DOUBLE)" for i, row in enumerate(distance_table(4)) for j, x in enumerate(row))
 
 _WEEK = "[0e0, 1e0, 3e0, 2e0, 0e0, 1e0, 5e0]"
@@ -239,6 +246,8 @@ SELECT series_id, round(d / 8, 6) AS norm_ed, round(d, 6) AS ed, round(r, 6) AS
     "bhattacharyya": f"WITH {_CELLS}, c AS (SELECT cell, label, count(*) AS n FROM k GROUP BY 1, 2), z AS (SELECT label, count(*) AS size FROM k GROUP BY 1), p AS (SELECT cell, sum(ln(n / size)) AS l, count(*) AS n FROM c JOIN z USING (label) GROUP BY 1) SELECT round(coalesce(sum(exp(l / (SELECT count(*) FROM z))) FILTER (n = (SELECT count(*) FROM z)), 0e0), 6) AS coefficient FROM p",
     "separability_index": f"WITH {_NEAR} SELECT round(avg(CASE WHEN label = b.l THEN 1e0 ELSE 0e0 END), 6) AS si FROM nn",
     "nearest_neighbour": f"WITH {_NEAR} SELECT series_id, b.i AS other_id, round(b.d, 6) AS dist FROM nn",
+    "ball_neighbours": f"{_TURNOVER} SELECT series_id, CAST(place AS INTEGER) AS place, other_id, round(dist, 2) AS dist FROM nn",
+    "ball_separability": f"{_TURNOVER} SELECT round(avg(CASE WHEN label = other_label THEN 1e0 ELSE 0e0 END), 6) AS si FROM nn WHERE place = 1",
     "jensen_shannon": f"WITH {_HISTOGRAMS}, g AS (SELECT a.t, a.label AS label_a, b.label AS label_b, n.bin FROM (SELECT DISTINCT t, label FROM p) a JOIN (SELECT DISTINCT t, label FROM p) b ON a.t = b.t AND a.label < b.label JOIN (SELECT DISTINCT t, bin FROM p) n ON n.t = a.t), f AS (SELECT g.t, label_a, label_b, coalesce(x.p, 0e0) AS x, coalesce(y.p, 0e0) AS y FROM g LEFT JOIN p x ON x.t = g.t AND x.bin = g.bin AND x.label = label_a LEFT JOIN p y ON y.t = g.t AND y.bin = g.bin AND y.label = label_b) SELECT CAST(t AS INTEGER) AS dim, label_a, label_b, round(sum(CASE WHEN x > 0 THEN x * ln(2 * x / (x + y)) ELSE 0e0 END + CASE WHEN y > 0 THEN y * ln(2 * y / (x + y)) ELSE 0e0 END) / 2, 6) AS jsd FROM f GROUP BY 1, 2, 3",
     "jensen_shannon_mixture": f"WITH {_HISTOGRAMS}, m AS (SELECT t, bin, sum(p) AS m FROM p GROUP BY 1, 2), k AS (SELECT t, count(DISTINCT label) AS k FROM p GROUP BY 1) SELECT CAST(t AS INTEGER) AS dim, round(0.5e0 * sum(p * ln(p * k / m)), 6) AS jsd FROM p JOIN m USING (t, bin) JOIN k USING (t) GROUP BY 1",
     "jensen_shannon_joint": f"WITH {_CELLS.replace('floor', 'least(1, floor', 1).replace('AS cell', ') AS cell', 1)}, p AS (SELECT cell, label, count(*) / sum(count(*)) OVER (PARTITION BY label) AS p FROM k GROUP BY 1, 2), m AS (SELECT cell, sum(p) AS m FROM p GROUP BY 1) SELECT round(0.5e0 * sum(p * ln(p * (SELECT count(DISTINCT label) FROM p) / m)), 6) AS jsd FROM p JOIN m USING (cell)",

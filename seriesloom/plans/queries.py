@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import clustering, evaluation, metrics, profile, sax, separability
+from ..operators.balls import ball_neighbours as by_balls
 from ..operators.blocks import nearest
 from ..operators.clustering import WarpedKMeans
 from ..operators.diagonals import long_profile
@@ -203,6 +204,23 @@ def nearest_neighbour(spark, sf):
     return separability.nearest_neighbours(_emb(spark, sf)).select("series_id", "other_id", _r("dist"))
 
 
+def _turnover(spark, sf):
+    """Running sums of every customer's monthly orders, labelled by market segment."""
+    rows = S.customer_series(spark, sf)
+    return S.cumulated(rows).drop("label").join(rows.select("series_id", "label"), "series_id")
+
+
+def ball_neighbours(spark, sf):
+    """The three nearest customers of every customer by turnover; balls leave most pairs out."""
+    return by_balls(_turnover(spark, sf), k=3).select("series_id", "place", "other_id", F.round("dist", 2).alias("dist"))
+
+
+def ball_separability(spark, sf):
+    """The share of customers whose nearest customer by turnover is of their market segment."""
+    near = by_balls(_turnover(spark, sf))
+    return near.agg(F.round(F.avg((F.col("label") == F.col("other_label")).cast("double")), 6).alias("si"))
+
+
 def jensen_shannon(spark, sf):
     return separability.jensen_shannon(_emb(spark, sf))
 
@@ -411,7 +429,7 @@ def learned_extract(spark, sf):
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
     ig_scores, spread_line, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
-    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, warped_clusters, silhouettes, calinski_harabasz, matrix_profile, event_profile, motif, discord, profile_two_dims,
+    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, ball_neighbours, ball_separability, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, warped_clusters, silhouettes, calinski_harabasz, matrix_profile, event_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
     tree_predict, transformer, dtw_neighbours, fit_lr, fit_rf, fit_svm, length_bounds, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
 )
