@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .alignment import blended
 from .distance import candidates, min_distances
 from .fitness import logistic_losses
+from .kernel_clusters import grouped
 from .metrics import order_line, scores
 from .profile import matrix_profile, motifs
 from .sax import random_masks, sax_candidates
@@ -134,9 +135,23 @@ def _result(series: DataFrame, arrays: list[np.ndarray], metric: str, normalize:
     return top(rank(_frame(series, arrays), series, metric, normalize), k)
 
 
+def crossed(rng: np.random.Generator, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One- or two-point crossover."""
+    n = min(len(a), len(b))
+    cut = sorted(rng.integers(1, max(2, n), 2))
+    if rng.random() < 0.5:
+        return np.concatenate((a[: cut[0]], b[cut[0] :])), np.concatenate((b[: cut[0]], a[cut[0] :]))
+    a, b = a.copy(), b.copy()
+    a[cut[0] : cut[1]], b[cut[0] : cut[1]] = b[cut[0] : cut[1]].copy(), a[cut[0] : cut[1]].copy()
+    return a, b
+
+
 @dataclass
 class Genetic:
-    """One array per individual; roulette on shifted fitness, one- and two-point crossover, Gaussian noise, a hall of fame."""
+    """One array per individual; roulette on shifted fitness, one- and two-point crossover, Gaussian noise, a hall of fame.
+
+    history: mean, deviation and maximum of the finite fitness of every round's population, the first included.
+    """
 
     population: int = 25
     iterations: int = 50
@@ -147,11 +162,19 @@ class Genetic:
     max_len: int = 64
     metric: str = "ig"
     seed: int = 1337
+    history: list[tuple[float, float, float]] = field(default_factory=list, repr=False)
+
+    def _note(self, fit: np.ndarray) -> None:
+        real = fit[np.isfinite(fit)]
+        if len(real):
+            self.history.append((float(real.mean()), float(real.std()), float(real.max())))
 
     def extract(self, series: DataFrame, k: int = 1) -> DataFrame:
         rng = np.random.default_rng(self.seed)
+        self.history = []
         people = sample_windows(series, self.population, self.min_len, self.max_len, self.seed)
         fit = _fitness(series, people, self.metric, False)
+        self._note(fit)
         hall = sorted(zip(fit, range(len(people)), people, strict=True), key=lambda x: (-x[0], x[1]))[:k]
         still = 0
         for turn in range(self.iterations):
@@ -160,11 +183,12 @@ class Genetic:
             people = [people[i].copy() for i in rng.choice(len(people), len(people), p=share / share.sum())]
             for i in range(0, len(people) - 1, 2):
                 if rng.random() < self.crossover:
-                    people[i], people[i + 1] = self._cross(rng, people[i], people[i + 1])
+                    people[i], people[i + 1] = crossed(rng, people[i], people[i + 1])
             for p in people:
                 if rng.random() < self.mutation:
                     p += rng.normal(0, 1, len(p)) * (rng.random(len(p)) < 0.2)
             fit = _fitness(series, people, self.metric, False)
+            self._note(fit)
             best = hall[0][0]
             seen = {x[2].tobytes() for x in hall}
             new = [(f, turn * self.population + i, p.copy()) for i, (f, p) in enumerate(zip(fit, people, strict=True)) if p.tobytes() not in seen]
@@ -174,15 +198,6 @@ class Genetic:
                 break
         return _result(series, [x[2] for x in hall], self.metric, False, k)
 
-    def _cross(self, rng: np.random.Generator, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = min(len(a), len(b))
-        cut = sorted(rng.integers(1, max(2, n), 2))
-        if rng.random() < 0.5:
-            return np.concatenate((a[: cut[0]], b[cut[0] :])), np.concatenate((b[: cut[0]], a[cut[0] :]))
-        a, b = a.copy(), b.copy()
-        a[cut[0] : cut[1]], b[cut[0] : cut[1]] = b[cut[0] : cut[1]].copy(), a[cut[0] : cut[1]].copy()
-        return a, b
-
 
 @dataclass
 class Swarm:
@@ -349,7 +364,9 @@ class MultiGenetic:
     """Individuals are sets of arrays; fitness: cross-validated log-loss of a logistic regression on their distances, then fewer points.
 
     Starts mix k-means centres, discords of sampled series and random windows.  Parents swap arrays (crossover) and are blended with their
-    nearest partners by the alignment kernel (blend).
+    nearest partners by the alignment kernel (blend).  With ``guided`` over 0, a random array of an individual is crossed, at that rate, with
+    another of its cluster: all arrays of the population are clustered by the kernel in every round.  ``history`` has a row a round: mean,
+    deviation and maximum of the fitness (negative log-loss), as of the round's population.
     """
 
     population: int = 10
@@ -363,7 +380,9 @@ class MultiGenetic:
     min_len: int = 4
     max_len: int = 32
     folds: int = 3
+    guided: float = 0.0
     seed: int = 1337
+    history: list[tuple[float, float, float]] = field(default_factory=list, repr=False)
 
     def _start(self, series: DataFrame, rng: np.random.Generator, turn: int) -> list[np.ndarray]:
         n = int(rng.integers(2, 5))
@@ -384,11 +403,32 @@ class MultiGenetic:
         """Held-out log-loss of each set's logistic regression, all fitted together; then its points."""
         return [(loss, sum(map(len, p))) for loss, p in zip(logistic_losses(series, people, self.folds, self.seed), people, strict=True)]
 
+    def _guide(self, series: DataFrame, rng: np.random.Generator, people: list[list[np.ndarray]]) -> None:
+        """Cross arrays with mates of their cluster; an array without a mate stays."""
+        arrays = [x for p in people for x in p]
+        clusters = grouped(series.sparkSession, arrays)
+        members = {c: np.flatnonzero(clusters == c) for c in np.unique(clusters)}
+        first = np.cumsum([0, *map(len, people)])
+        for i, p in enumerate(people):
+            if rng.random() < self.guided:
+                j = int(rng.integers(len(p)))
+                own = first[i] + j
+                mates = members[clusters[own]]
+                mates = mates[mates != own]
+                if len(mates):
+                    p[j] = crossed(rng, p[j], arrays[rng.choice(mates)])[0]
+
+    def _note(self, fit: list[tuple[float, int]]) -> None:
+        scores = -np.array([loss for loss, _ in fit])
+        self.history.append((float(scores.mean()), float(scores.std()), float(scores.max())))
+
     def extract(self, series: DataFrame, k: int | None = None) -> DataFrame:
         """The shapelets of the best set, ranked; k of them if given."""
+        self.history = []
         rng = np.random.default_rng(self.seed)
         people = [self._start(series, rng, i) for i in range(self.population)]
         fit = self._losses(series, people)
+        self._note(fit)
         best = min(range(len(people)), key=lambda i: fit[i])
         hall, hall_fit, still = people[best], fit[best], 0
         for turn in range(self.iterations):
@@ -400,6 +440,8 @@ class MultiGenetic:
                     people[i][a], people[i + 1][b] = people[i + 1][b], people[i][a]
                 if rng.random() < self.blend:
                     people[i], people[i + 1] = blended(people[i], people[i + 1])
+            if self.guided:
+                self._guide(series, rng, people)
             for p in people:
                 if rng.random() < self.noise:
                     j = int(rng.integers(len(p)))
@@ -410,6 +452,7 @@ class MultiGenetic:
                     p.pop(int(rng.integers(len(p))))
             people.append(hall)
             fit = self._losses(series, people)
+            self._note(fit)
             best = min(range(len(people)), key=lambda i: fit[i])
             still = 0 if fit[best] < hall_fit else still + 1
             hall, hall_fit = people[best], fit[best]

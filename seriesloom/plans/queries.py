@@ -17,6 +17,7 @@ from ..operators.distance import candidates, features, mean_square, min_distance
 from ..operators.estimators import DtwNeighbours, ShapeletTransform, ShapeletTree
 from ..operators.extractors import Brute, Fast, Genetic, Learned, MultiGenetic, Sax, Swarm, rank, top, without_overlap
 from ..operators.fitness import logistic_losses
+from ..operators.kernel_clusters import KernelKMeans
 from ..operators.learners import estimate_lengths, fit_predict
 from ..operators.pruned import Pruned
 from ..operators.sums import distance_profile
@@ -248,6 +249,12 @@ def warped_clusters(spark, sf):
     return WarpedKMeans(3, 3).fit(rows).predict(rows).select("series_id", "cluster", _r("dist"))
 
 
+def kernel_clusters(spark, sf):
+    """All event series in three clusters by the alignment kernel."""
+    rows = S.event_series(spark, sf)
+    return KernelKMeans(3).fit(rows).predict(rows).select("series_id", "cluster", _r("dist"))
+
+
 def silhouettes(spark, sf):
     rows = _emb(spark, sf).withColumnRenamed("label", "cluster")
     return clustering.silhouettes(rows).select("series_id", "cluster", _r("silhouette"))
@@ -414,6 +421,11 @@ def multi_genetic_extract(spark, sf):
     return MultiGenetic(population=4, iterations=2, min_len=8, max_len=24).extract(_emb(spark, sf))
 
 
+def guided_genetic_extract(spark, sf):
+    """Sets of windows of the event series, bred within clusters of like windows."""
+    return MultiGenetic(population=10, iterations=3, min_len=4, max_len=12, guided=0.5).extract(S.event_series(spark, sf))
+
+
 def swarm_extract(spark, sf):
     return Swarm(particles=10, iterations=4, min_len=8, max_len=24).extract(_emb(spark, sf), 3)
 
@@ -429,9 +441,9 @@ def learned_extract(spark, sf):
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     sdist_matrix, series_stats, znorm_points, window_moments, centroid_distance, prefix_sums, sdist_positions, transform_raw, mean_square_min, order_line_classes,
     ig_scores, spread_line, f_scores, kw_scores, mood_scores, gain_bound, topk_shapelets, brute_topk, pruned_topk, fast_topk, mass_profile, bootstrap_sample, learned_sizes_extract, topk_no_overlap, sax_words, sax_distance, sax_power, sax_top_windows, sax_extract,
-    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, ball_neighbours, ball_separability, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, warped_clusters, silhouettes, calinski_harabasz, matrix_profile, event_profile, motif, discord, profile_two_dims,
+    scatter_ratio, davies_bouldin, bhattacharyya, separability_index, nearest_neighbour, ball_neighbours, ball_separability, jensen_shannon, jensen_shannon_mixture, jensen_shannon_joint, set_losses, warped_clusters, kernel_clusters, silhouettes, calinski_harabasz, matrix_profile, event_profile, motif, discord, profile_two_dims,
     event_series, event_lengths, customer_series, stratified_split, stratified_sample, accuracy, confusion, wilcoxon, paired_t, run_summary,
-    tree_predict, transformer, dtw_neighbours, fit_lr, fit_rf, fit_svm, length_bounds, transform_features, genetic_extract, multi_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
+    tree_predict, transformer, dtw_neighbours, fit_lr, fit_rf, fit_svm, length_bounds, transform_features, genetic_extract, multi_genetic_extract, guided_genetic_extract, swarm_extract, swarm_lengths_extract, learned_extract,
 )
 
 
