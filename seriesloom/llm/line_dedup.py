@@ -4,14 +4,14 @@ A line's tokens are its distinct 5-word shingles, in lower case; a line of fewer
 equal words form a class, represented by its first line.  Classes with a Jaccard similarity of PERCENT hundredths
 or more are linked.
 
-* Rarity: shingles are counted over all texts in a table of 2^BITS counters, whose logarithms order the
-  tokens; a counter never gives less than a token's own count, so frequent tokens always come late.
-* Classes: lines are folded to classes, by combinable sums, before any token is spread; a line that occurs a billion
-  times is one class from here on.
+* Sketch: a line keeps the first n - ceil(t n) + s tokens in the order of their hashes, s (`_spare`) growing with n; two linked classes share s of
+  them, s by the smaller one.  Tokens are counted by class; a class with fewer tokens in its sketch that others have can't be linked, and most
+  go here.  Only the rest is cut into all of its tokens.
+* Classes: lines are folded to classes, by combinable sums; a line that occurs a billion times is one class from here on.
+* Rarity: the tokens of the classes left are counted and ordered by their counts.  A class that has more than n - ceil(t n) tokens for itself goes, too.
 * Prefix: two linked classes share one of the first n - ceil(t n) + 1 tokens of the larger and of the first
-  n - ceil(2 t n / (1 + t)) + 1 tokens of the smaller.  Tokens that only one class has in its prefix are left out
-  before anything is compared.
-* Blocks: each class is put to the token that most classes share with it, and the classes of a token are cut into blocks of
+  n - ceil(2 t n / (1 + t)) + 1 tokens of the smaller.
+* Blocks: each class is put to its token that most classes have, and the classes of a token are cut into blocks of
   about BLOCK_TOKENS tokens.  Two blocks are compared if some class of one and some class of the other share a prefix token, their
   sizes allow the similarity (length), and so do the tokens that follow the shared one (position).
 * Verification: sets whose parities differ in too many bits can't be linked; the others are compared in full.  A row holds two blocks with the whole token sets of their classes and gives the links of each class.  So no row
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +31,12 @@ from .common import SPACE, store
 BLANKS = " \t\x0b\x0c\r"
 SHINGLE = 5
 PERCENT = 75
-BITS = 16
+#: A sketch has a token more for so many tokens of its line, and linked classes share one more.
+SPARE = 16
 #: 64-bit words of the parities that a pair is compared by first.
 WORDS = 4
 #: Tokens of the classes in one block.
-BLOCK_TOKENS = 8_192
+BLOCK_TOKENS = 32_768
 #: Lines to verify that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 #: Shared prefix tokens that are broadcast at most (16 bytes each and the hash table); more are joined by a shuffle.
@@ -64,17 +64,6 @@ def _tokens(words: Column) -> Column:
     return F.when(n < SHINGLE, F.array(F.xxhash64(words))).otherwise(F.array_distinct(five))
 
 
-def _shingle(words: str, at: Column) -> Column:
-    """The shingle that _tokens makes of the words from ``at`` on."""
-    two = [F.xxhash64(F.get(words, at + k), F.get(words, at + k + 1)) for k in range(SHINGLE - 1)]
-    return F.xxhash64(F.xxhash64(two[0], two[1]), F.xxhash64(two[2], two[3]))
-
-
-def tokens_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, k1, k2 and tokens (64-bit hashes) of every line with a word."""
-    return _keyed(docs).select("doc_id", "line_no", "k1", "k2", F.split("norm", " ").alias("words")).select("doc_id", "line_no", "k1", "k2", _tokens(F.col("words")).alias("tokens"))
-
-
 def _bits(tokens: Column) -> Column:
     """WORDS 64-bit parities of tokens: two sets differ in at least as many tokens as their parities do in bits."""
     word = lambda k: F.filter(tokens, lambda t: F.shiftrightunsigned(t, 58).bitwiseAND(F.lit(WORDS - 1)) == k)
@@ -82,41 +71,76 @@ def _bits(tokens: Column) -> Column:
     return F.array(*[parity(word(k)) for k in range(WORDS)])
 
 
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit((1 << BITS) - 1))
-
-
-def rarity(docs: DataFrame) -> list[int]:
-    """A level for each counter: twice the logarithm to base 2 of its count, up to 127.
-
-    Shingles that go over line ends are counted too: a counter may give more than a token's count, never less.
-    """
-    words = docs.select(F.split(F.lower("text"), SPACE).alias("w"))
-    # explode() would infer a filter on the size of its array, which cuts the text once more.
-    at = words.select("w", F.explode_outer(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("i"))
-    counts = at.groupBy(_bucket(_shingle("w", F.col("i"))).cast("int").alias("at")).agg(F.count("i").alias("n")).toArrow()
-    table = np.zeros(1 << BITS)
-    table[counts["at"].to_numpy()] = counts["n"].to_numpy()
-    return np.minimum(127, np.round(2 * np.log2(table + 1))).astype(int).tolist()
-
-
 def _at_least(share: float, n: Column) -> Column:
     """ceil(share * n), safe against rounding."""
     return F.ceil(F.lit(share) * n - 1e-9)
 
 
-def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """id, k1, k2, first (its first line: last, doc_id, line_no), lines, n and prefix (rarest tokens, null if n < 2) of every class."""
-    levels = F.split(F.lit(",".join(str(x << 56) for x in rarity(docs))), ",").cast("array<bigint>")
-    tokens = tokens_of(docs)
-    ranked = F.sort_array(F.transform("tokens", lambda h: levels[_bucket(h)].bitwiseOR(F.shiftrightunsigned(h, 8))))
+def _spare(n: Column) -> Column:
+    """How many tokens of a sketch two linked classes share at least, if n is the size of the one with fewer."""
+    return F.floor(n / SPARE).cast("int") + 1
+
+
+def line_sketches(docs: DataFrame, percent: int = PERCENT, *keep: str) -> DataFrame:
+    """doc_id, keep, line_no, k1, k2, n and sketch (null if n < 2) of every line with a word; the only pass that hashes all words."""
+    words = _keyed(docs, *keep).select("doc_id", *keep, "line_no", "k1", "k2", F.split("norm", " ").alias("words"))
+    rows = words.select("doc_id", *keep, "line_no", "k1", "k2", F.sort_array(_tokens(F.col("words"))).alias("tokens"))
     n = F.size("tokens")
-    rows = tokens.select("doc_id", "line_no", "k1", "k2", n.alias("n"), F.when(n >= 2, F.slice(ranked, 1, n - _at_least(percent / 100, n).cast("int") + 1)).alias("prefix"))
+    sketch = F.when(n >= 2, F.slice("tokens", 1, n - _at_least(percent / 100, n).cast("int") + _spare(n)))
+    return store(rows.select("doc_id", *keep, "line_no", "k1", "k2", n.alias("n"), sketch.alias("sketch")), "line-sketches")
+
+
+def line_classes(lines: DataFrame) -> DataFrame:
+    """id, k1, k2, first (its first line: last, doc_id, line_no), lines and n of every class."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")).alias("first")
-    classes = rows.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("lines"), F.min("n").alias("n"))
     return store(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
 
+def candidates(lines: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The classes that share enough of their sketch with others to be linked with any."""
+    spread = lines.select("k1", F.explode("sketch").alias("token"))
+    # A token of one class only has one k1: counts of lines would take a line that repeats for many.
+    shared = spread.groupBy("token").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("token")
+    shared = store(shared, "line-shared")
+    few = shared.count() <= BROADCAST_TOKENS
+    hits = spread.join(F.broadcast(shared) if few else shared, "token").groupBy("k1").agg(F.count(F.lit(1)).alias("hits"))
+    # Each line of a class brings the same hits.
+    enough = F.col("hits") >= F.col("lines") * _spare(_at_least(percent / 100, F.col("n")))
+    return store(classes.join(hits, "k1").where(enough).select("id", "k1", "k2", "first"), "line-wanted")
+
+
+def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, first and tokens of the wanted classes, from their first lines."""
+    few = wanted.count() <= BROADCAST_LINES
+    hint = F.broadcast if few else (lambda frame: frame)
+    texts = docs.select("doc_id", "text")
+    if few:
+        ids = wanted.select(F.col("first.doc_id").alias("wanted_id")).distinct()
+        texts = texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    found = _keyed(texts).join(hint(wanted), ["k1", "k2"]).where(here)
+    # Rows that repeat a document give its lines again.
+    once = found.groupBy("id").agg(F.first("first").alias("first"), F.first("norm").alias("norm"))
+    return store(once.select("id", "first", F.split("norm", " ").alias("words")).select("id", "first", _tokens(F.col("words")).alias("tokens")), "line-sets")
+
+
+def rare_tokens(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id, n, home (its token that most classes have), at and prefix (its rarest tokens that others have, from place ``at`` on) of the classes that may be linked.
+
+    A class that has more tokens for itself than two linked ones differ by is left out.
+    """
+    spread = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).repartition("token")
+    counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = spread.join(counts.hint("shuffle_hash"), "token")
+    ranked = members.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ranked"))
+    at = F.col("n") - F.size("ranked")
+    ranked = ranked.where(F.size("ranked") >= _at_least(percent / 100, F.col("n")))
+    length = F.col("n") - _at_least(percent / 100, F.col("n")).cast("int") + 1 - at
+    prefix = F.transform(F.slice("ranked", 1, length), lambda x: x["token"])
+    return store(ranked.select("id", "n", F.element_at("ranked", -1)["token"].alias("home"), at.alias("at"), prefix.alias("prefix")), "line-ranked")
+
+
 def _may_link(a: Column, b: Column, t: float) -> Column:
     """Whether a prefix token that a and b (structs n, id, at) share allows a link, a being the smaller one."""
     smaller = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["id"] < b["id"]))
@@ -126,48 +150,33 @@ def _may_link(a: Column, b: Column, t: float) -> Column:
     return smaller & length & indexed & (rest >= _at_least(t / (1 + t), a["n"] + b["n"]))
 
 
-def block_pairs(classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def block_pairs(ranked: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(placed, pairs): placed(id, home, part), the block of a class; pairs(x_home, x_part, y_home, y_part), all blocks to compare, each pair once."""
-    spread = classes.where("prefix IS NOT NULL").select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    counts = store(spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "line-tokens")
-    few = counts.count() <= BROADCAST_TOKENS
-    members = store(spread.join(F.broadcast(counts) if few else counts, "token"), "line-members")
-    homes = members.groupBy("id").agg(F.max(F.struct("k", "token"))["token"].alias("home"), F.first("n").alias("n"))
-    homes = store(homes, "line-homes")
-    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
-    placed = store(homes.join(parts, "home").select("id", "home", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")), "line-placed")
-    held = members.join(placed, "id").groupBy("token", "home", "part").agg(F.collect_list(F.struct("n", "id", "at")).alias("held"))
-    held = store(held, "line-held")
+    parts = ranked.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    placed = ranked.join(parts, "home").select("id", "n", "at", "prefix", "home", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    placed = store(placed, "line-placed")
+    spread = placed.select("id", "n", "home", "part", F.col("at").alias("before"), F.posexplode("prefix").alias("place", "token"))
+    member = F.struct("n", "id", (F.col("before") + F.col("place")).alias("at"))
+    held = store(spread.groupBy("token", "home", "part").agg(F.collect_list(member).alias("held")), "line-held")
     x, y = (held.select("token", F.struct("home", "part").alias(k), F.col("held").alias(f"{k}_held")) for k in "xy")
     some = F.exists("x_held", lambda a: F.exists("y_held", lambda b: _may_link(a, b, percent / 100)))
     found = x.join(y, "token").where(some).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return placed, store(found.select(*[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "xy" for c in ("home", "part")]), "line-pairs")
 
 
-def _blocks(docs: DataFrame, classes: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
+def _blocks(sets: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
     """home, part and held (structs id, first, tokens) of every block in a pair."""
     wanted = pairs.select(F.col("x_home").alias("home"), F.col("x_part").alias("part")).union(pairs.select("y_home", "y_part")).distinct()
-    lines = placed.join(wanted, ["home", "part"]).join(classes.select("id", "k1", "k2", "first"), "id")
-    lines = store(lines.select("id", "home", "part", "k1", "k2", "first"), "line-wanted")
-    few = lines.count() <= BROADCAST_LINES
-    hint = F.broadcast if few else (lambda frame: frame)
-    texts = docs.select("doc_id", "text")
-    if few:
-        ids = lines.select(F.col("first.doc_id").alias("wanted_id")).distinct()
-        texts = texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    found = _keyed(texts).join(hint(lines), ["k1", "k2"]).where(here)
-    # A set: rows that repeat a document give its lines again.
-    held = found.groupBy("home", "part").agg(F.collect_set(F.struct("id", "first", "norm")).alias("held"))
-    held = held.withColumn("held", F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["first"].alias("first"), F.split(x["norm"], " ").alias("words"))))
-    sets = F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["first"].alias("first"), _tokens(x["words"]).alias("tokens")))
-    return store(held.select("home", "part", sets.alias("held")), "line-blocks")
+    lines = placed.select("id", "home", "part").join(wanted, ["home", "part"])
+    held = sets.join(lines, "id").groupBy("home", "part").agg(F.collect_list(F.struct("id", "first", "tokens")).alias("held"))
+    return store(held, "line-blocks")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def class_links(docs: DataFrame, lines: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """id, n_links and earliest (the first line of the earliest linked class) of every class with a link."""
-    placed, pairs = block_pairs(classes, percent)
-    blocks = _blocks(docs, classes, placed, pairs)
+    sets = line_sets(docs, candidates(lines, classes, percent))
+    placed, pairs = block_pairs(rare_tokens(sets, percent), percent)
+    blocks = _blocks(sets, placed, pairs)
 
     def near(a: Column, b: Column) -> Column:
         alike = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
@@ -206,8 +215,9 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
 
 
 def _judged(docs: DataFrame, percent: int, *keep: str) -> DataFrame:
-    classes = line_classes(docs, percent)
-    links = class_links(docs, classes, percent)
+    lines = line_sketches(docs, percent, *keep)
+    classes = line_classes(lines)
+    links = class_links(docs, lines, classes, percent)
     late = F.coalesce(F.col("earliest") < F.col("first"), F.lit(False))
     named = store(classes.join(links, "id", "left").select("k1", "k2", "first", "lines", F.coalesce("n_links", F.lit(0)).alias("n_links"), late.alias("late")), "line-named")
     total = named.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
@@ -215,7 +225,7 @@ def _judged(docs: DataFrame, percent: int, *keep: str) -> DataFrame:
     hot = store(named.where(is_hot).select("k1", "k2", F.lit(True).alias("hot")), "line-hot")
     # The lines of a hot class are dealt over SALTS keys.
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    lines = _keyed(docs, *keep).drop("norm").join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("salt", salt)
+    lines = lines.drop("n", "sketch").join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("salt", salt)
     salts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     out = lines.join(named.withColumn("salt", F.explode(salts)), ["k1", "k2", "salt"])
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))

@@ -371,6 +371,27 @@ def test_line_dedup_of_many_near_copies(spark, monkeypatch):
     assert clean == sorted([rows[0][1], rows[-1][1]])
 
 
+def test_line_dedup_compares_few_blocks_of_near_copies(spark, monkeypatch):
+    made, store = {}, line_dedup.store
+
+    def counted(df, name):
+        out = store(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "store", counted)
+    rng, base = np.random.default_rng(5), text(91, 60, 999).split()
+    rows = [(0, " ".join(base), None, None)]
+    for i in range(1, 400):
+        w = list(base)
+        w[rng.integers(60)] = f"edit{i}"
+        rows.append((i, " ".join(w), None, None))
+    got = {r.doc_id: r for r in line_dedup.judge_lines(table(spark, rows)).collect()}
+    assert got[0].n_links == 399 and not got[0].removed and all(got[i].removed for i in range(1, 400))
+    # 22,400 tokens: the pairs of blocks grew with the square of the copies.
+    assert made["line-pairs"] <= 6
+
+
 def test_language_id(spark, empty):
     rng = np.random.default_rng(0)
     say = {"en": ["the", "and", "that", "with", "house"], "fr": ["les", "être", "une", "avec", "maison"], "de": ["der", "und", "nicht", "für", "straße"]}
