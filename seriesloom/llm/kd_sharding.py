@@ -4,7 +4,7 @@ The tree splits a node at the weighted median (weight: bytes) of its widest dime
 leaf holds the target bytes.  A median is found by counting, not by sorting: the position on a
 dimension is a 62-bit number, and four aggregations, each over the next 15 or 16 bits, narrow it
 down.  Each one shuffles a sum per node and digit, whatever the number of documents, so no task
-ever holds the documents of a node.
+ever holds the documents of a node.  Of a level with few nodes the driver holds the medians, a few numbers each.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import store, utf8_bytes
 VALUE_BITS, GROUP_BITS = 24, 38
 #: Shifts and widths of the digits, most significant first.
 DIGITS = ((46, 16), (30, 16), (15, 15), (0, 15))
+#: Nodes of a level whose medians the driver holds (a few numbers each); those of larger levels stay in tables and are joined.
+HELD = 64
 #: Rows that one task numbers.
 SLOT_ROWS = 10_000
 
@@ -61,6 +63,27 @@ def _narrow(rows: DataFrame, nodes: DataFrame, position: str) -> DataFrame:
     return found
 
 
+def _held(values: dict[int, int | float | str]) -> Column:
+    """The value of the row's node, null for nodes without one."""
+    if not values:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[F.lit(x) for node, value in values.items() for x in (F.lit(node).cast("long"), value)]), F.col("node"))
+
+
+def _narrow_held(rows: DataFrame, want: dict[int, float], position: str) -> dict[int, tuple[int, int, int]]:
+    """What _narrow finds (at, below, on) for nodes that the driver holds: one job a digit, without joins."""
+    found = {node: (0, 0, 0) for node in want}
+    for shift, width in DIGITS:
+        at, below = ({node: F.lit(x[i]).cast("long") for node, x in found.items()} for i in (0, 1))
+        digit = F.shiftrightunsigned(F.col(position), shift).bitwiseAND(F.lit((1 << width) - 1))
+        at_prefix = F.shiftrightunsigned(F.col(position), shift + width) == F.shiftrightunsigned(_held(at), shift + width)
+        sums = rows.where(at_prefix).groupBy("node", digit.alias("digit")).agg(F.sum("bytes").alias("digit_bytes"))
+        upto = F.sum("digit_bytes").over(Window.partitionBy("node").orderBy("digit"))
+        hits = sums.withColumn("upto", upto).where(_held(below) + F.col("upto") >= _held(want)).groupBy("node").agg(F.min(F.struct("digit", "upto", "digit_bytes")).alias("hit"))
+        found = {r.node: (found[r.node][0] | r.hit.digit << shift, found[r.node][1] + r.hit.upto - r.hit.digit_bytes, r.hit.digit_bytes) for r in hits.collect()}
+    return found
+
+
 def kd_shards(
     items: DataFrame,
     dims: Sequence[str],
@@ -117,25 +140,60 @@ def kd_shards(
     )
     size, level = leaves, 0
     while size > 1:
-        rows = _split(rows, len(dims), group_tolerance)
+        rows = _split(rows, len(dims), group_tolerance, 1 << level <= HELD)
         size, level = -(-size // 2), level + 1
     return _slots(rows.select(*[f"own_{i}" for i in range(len(own))], "tie", F.col("first").alias("shard")), ends["rows"] or 0, leaves).select(
         *[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], "shard", "slot"
     )
 
 
-def _split(rows: DataFrame, n_dims: int, tolerance: float) -> DataFrame:
-    """One level: every node of two leaves or more is split."""
+def _split(rows: DataFrame, n_dims: int, tolerance: float, held: bool) -> DataFrame:
+    """One level: every node of two leaves or more is split; held: the driver holds the medians."""
     open_rows = rows.where("leaves > 1")
     spread = [F.max(f"dim{i}") - F.min(f"dim{i}") for i in range(n_dims)]
     nodes = open_rows.groupBy("node").agg(F.sum("bytes").alias("all"), F.first("leaves").alias("k"), *[s.alias(f"w{i}") for i, s in enumerate(spread)])
     best = F.greatest(*[F.col(f"w{i}") for i in range(n_dims)]) if n_dims > 1 else F.col("w0")
     widest = reduce(lambda other, i: F.when(F.col(f"w{i}") == best, F.lit(i)).otherwise(other), reversed(range(n_dims)), F.lit(0))
-    nodes = store(
-        nodes.select("node", "k", (F.col("all") / F.col("k")).alias("share"), widest.alias("dim"), (F.col("all") * F.floor(F.col("k") / 2) / F.col("k")).alias("want")),
-        "kd-nodes",
-    )
+    nodes = nodes.select("node", "k", (F.col("all") / F.col("k")).alias("share"), widest.alias("dim"), (F.col("all") * F.floor(F.col("k") / 2) / F.col("k")).alias("want"))
     along = reduce(lambda other, i: F.when(F.col("dim") == i, F.col(f"dim{i}")).otherwise(other), range(n_dims), F.col("dim0"))
+    out = _cut_held(rows, nodes, along, tolerance) if held else _cut_joined(rows, store(nodes, "kd-nodes"), along, tolerance)
+    left = (F.col("along") < F.col("at")) | (
+        (F.col("along") == F.col("at")) & ((F.col("side") == "after") | ((F.col("side") == "inside") & (F.col("tie") <= F.col("tie_at"))))
+    )
+    low = F.floor(F.col("leaves") / 2).cast("int")
+    is_open = F.col("dim").isNotNull()
+    out = out.withColumn("left", F.coalesce(left, F.lit(True)))
+    return store(
+        out.select(
+            *[c for c in rows.columns if c not in ("node", "first", "leaves")],
+            F.when(is_open, F.col("node") * 2 + 1 + F.when(F.col("left"), 0).otherwise(1)).otherwise(F.col("node")).alias("node"),
+            F.when(is_open & ~F.col("left"), F.col("first") + low).otherwise(F.col("first")).alias("first"),
+            F.when(~is_open, F.col("leaves")).when(F.col("left"), low).otherwise(F.col("leaves") - low).alias("leaves"),
+        ),
+        "kd-rows",
+    )
+
+
+def _cut_held(rows: DataFrame, nodes: DataFrame, along: Column, tolerance: float) -> DataFrame:
+    """What _cut_joined returns, for few nodes."""
+    known = {r.node: r for r in nodes.collect()}
+    placed = rows.withColumn("dim", _held({node: r.dim for node, r in known.items()}).cast("int")).withColumn("along", along)
+    here = placed.where(F.col("dim").isNotNull()).select("node", "bytes", "along", "tie")
+    cut = _narrow_held(here, {node: r.want for node, r in known.items()}, "along")
+    before = {node: known[node].want - below for node, (_, below, _) in cut.items()}
+    after = {node: below + on - known[node].want for node, (_, below, on) in cut.items()}
+    side = {node: "inside" if min(before[node], after[node]) > tolerance * known[node].share else "before" if before[node] < after[node] else "after" for node in cut}
+    inside = {node: before[node] for node in cut if side[node] == "inside"}
+    at = {node: F.lit(x[0]).cast("long") for node, x in cut.items()}
+    ties = {}
+    if inside:
+        groups = here.where(F.col("along") == _held({node: at[node] for node in inside})).select("node", "bytes", "tie")
+        ties = {node: F.lit(x[0]).cast("long") for node, x in _narrow_held(groups, inside, "tie").items()}
+    return placed.select("*", _held(at).cast("long").alias("at"), _held(side).cast("string").alias("side"), _held(ties).cast("long").alias("tie_at"))
+
+
+def _cut_joined(rows: DataFrame, nodes: DataFrame, along: Column, tolerance: float) -> DataFrame:
+    """rows with dim and along, the node's widest dimension and the position on it, and at, side and tie_at, where the node is cut."""
     placed = rows.join(nodes.select("node", "dim"), "node", "left").withColumn("along", along)
     here = placed.where(F.col("dim").isNotNull()).select("node", "bytes", "along", "tie")
     cut = _narrow(here, nodes, "along").join(nodes.select("node", "share"), "node")
@@ -155,21 +213,7 @@ def _split(rows: DataFrame, n_dims: int, tolerance: float) -> DataFrame:
         groups = here.join(inside.select("node", "at", "want"), "node").where("along = at").select("node", "bytes", "tie")
         ties = _narrow(groups, inside.select("node", "want"), "tie").select("node", F.col("at").alias("tie_at"))
         ties = cut.select("node").join(ties, "node", "left")
-    left = (F.col("along") < F.col("at")) | (
-        (F.col("along") == F.col("at")) & ((F.col("side") == "after") | ((F.col("side") == "inside") & (F.col("tie") <= F.col("tie_at"))))
-    )
-    low = F.floor(F.col("leaves") / 2).cast("int")
-    is_open = F.col("dim").isNotNull()
-    out = placed.join(cut.select("node", "at", "side"), "node", "left").join(ties, "node", "left").withColumn("left", F.coalesce(left, F.lit(True)))
-    return store(
-        out.select(
-            *[c for c in rows.columns if c not in ("node", "first", "leaves")],
-            F.when(is_open, F.col("node") * 2 + 1 + F.when(F.col("left"), 0).otherwise(1)).otherwise(F.col("node")).alias("node"),
-            F.when(is_open & ~F.col("left"), F.col("first") + low).otherwise(F.col("first")).alias("first"),
-            F.when(~is_open, F.col("leaves")).when(F.col("left"), low).otherwise(F.col("leaves") - low).alias("leaves"),
-        ),
-        "kd-rows",
-    )
+    return placed.join(cut.select("node", "at", "side"), "node", "left").join(ties, "node", "left")
 
 
 def _slots(rows: DataFrame, n: int, shards: int) -> DataFrame:

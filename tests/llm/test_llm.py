@@ -532,6 +532,17 @@ def test_mixing_rounds_as_brute_force(spark):
             left = want - copies * r["size"]
 
 
+def test_kd_sharding_holds_few_medians(spark, monkeypatch):
+    rows = [(i, text(i % 90, 5 + i % 40) if i % 3 else text(7, 60), "en", None) for i in range(120)]
+    joined, stored, store = kd_sharding.HELD, [], kd_sharding.store
+    monkeypatch.setattr(kd_sharding, "store", lambda df, name: stored.append(name) or store(df, name))
+    got = sorted(map(repr, kd_sharding.shard_documents(table(spark, rows)).collect()))
+    # Every digit of every level had a table that was stored and joined.
+    assert len(stored) <= 6 and joined >= 4
+    monkeypatch.setattr(kd_sharding, "HELD", 0)
+    assert got == sorted(map(repr, kd_sharding.shard_documents(table(spark, rows)).collect()))
+
+
 def test_kd_sharding_by_sorting(spark):
     rows = [(i, text(i % 150, 5 + i * 7 % 90), "en", "a") for i in range(900)] + [(5000 + i, "copy " * 40, "en", "a") for i in range(500)]
     frame = table(spark, rows)
