@@ -13,7 +13,10 @@ from ..tables import new_path, shared_dir, store
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["ROW_ID", "SPACE", "WORD", "arrow", "count_words", "new_path", "one_per_id", "shared_dir", "store", "utf8_bytes", "with_ids"]
+#: Groups (sources, pools) whose state, a few numbers each, the driver holds between steps; the state of more stays in tables and is joined.
+HELD = 1_000
+
+__all__ = ["HELD", "ROW_ID", "SPACE", "WORD", "arrow", "count_words", "new_path", "one_per_id", "shared_dir", "store", "utf8_bytes", "with_ids"]
 
 
 def arrow(df: DataFrame, f, schema) -> DataFrame:

@@ -2,19 +2,23 @@
 
 Of all document rates between 0 and ``cap`` that meet the word target of every source, those of
 largest entropy are exponential tilts ``min(cap, exp(lambda_source * words / mean))``.  The convex
-dual has one variable per source.  Newton's steps run on the histogram of document sizes, which
-holds all that the dual needs; a bracket keeps each step safe.  Rates are then rounded into copies.
+dual has one variable per source.  Newton's steps, and points spread over a bracket that keeps them safe, are tried on the
+histogram of document sizes, which holds all that the dual needs.  Rates are then rounded into copies.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, count_words, one_per_id, store, with_ids
+from .common import HELD, ROW_ID, count_words, one_per_id, store, with_ids
 
 #: Rows that are rounded together.
 ROUND_ROWS = 1_000
+#: Tilts of a source that one job tries, evenly spread over its bracket, besides Newton's steps from both ends.
+POINTS = 14
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -41,38 +45,74 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: fl
 def tilts(histogram: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-9) -> DataFrame:
     """targets with ``lambda``, ``mean`` and ``full`` (rates are all ``cap``) from histogram(source, size, documents).
 
-    Every fourth step halves the bracket, so the steps end: at the tolerance, or at a bracket that doubles can't halve.
+    Every round narrows the bracket, so the rounds end: at the tolerance, or at a bracket that doubles can't narrow.
+    The driver holds the brackets of few sources and tries many tilts in a job; those of more are a table, and a job takes one step of each.
     """
     log_cap = F.log(F.lit(float(cap)))
     shape = histogram.where("size > 0").groupBy("source").agg(F.min("size").alias("least"), (F.sum(F.col("size") * F.col("documents")) / F.sum("documents")).alias("mean"))
     state = targets.alias("t").join(shape.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left").select("t.*", "s.least", "s.mean")
     state = state.withColumn("full", F.col("target") >= F.lit(cap * (1 - 1e-12)) * F.col("source_size"))
-    state = store(
-        state.select(
-            "*",
-            F.lit(0.0).alias("lambda"),
-            (-F.log(F.greatest(F.col("source_size") / F.col("target"), F.lit(1.0))) * F.col("mean") / F.col("least") - 1e-6).alias("low"),
-            (log_cap * F.col("mean") / F.col("least") + 1e-6).alias("high"),
-            (F.col("full") | F.col("mean").isNull() | (F.col("target") <= 0)).alias("done"),
-        ),
-        "mix-dual",
+    state = state.select(
+        "*",
+        F.lit(0.0).alias("lambda"),
+        (-F.log(F.greatest(F.col("source_size") / F.col("target"), F.lit(1.0))) * F.col("mean") / F.col("least") - 1e-6).alias("low"),
+        (log_cap * F.col("mean") / F.col("least") + 1e-6).alias("high"),
+        (F.col("full") | F.col("mean").isNull() | (F.col("target") <= 0)).alias("done"),
+    )
+    state = store(state, "mix-dual")
+    return _tilts_held(histogram, state, cap, tolerance) if targets.limit(HELD + 1).count() <= HELD else _tilts_joined(histogram, state, cap, tolerance)
+
+
+def _words(rows: DataFrame, cap: float, *by: str) -> DataFrame:
+    """words, and slope by lambda, that rows(size, documents, lambda, mean) take at their tilts."""
+    log_cap = F.log(F.lit(float(cap)))
+    return rows.withColumn("tilt", F.col("lambda") * F.col("size") / F.col("mean")).groupBy(*by).agg(
+        F.sum(F.col("documents") * F.col("size") * F.when(F.col("tilt") >= log_cap, F.lit(float(cap))).otherwise(F.exp("tilt"))).alias("words"),
+        F.sum(F.when(F.col("tilt") < log_cap, F.col("documents") * F.col("size") * F.col("size") / F.col("mean") * F.exp("tilt")).otherwise(F.lit(0.0))).alias("slope"),
     )
+
+
+def _tilts_held(histogram: DataFrame, state: DataFrame, cap: float, tolerance: float) -> DataFrame:
+    """state with the tilts that meet the targets, for few sources: one job a round, without stored tables."""
+    spark, schema = state.sparkSession, state.schema
+    held = [r.asDict() for r in state.collect()]
+    known = {x["source"]: x for x in held}
+    tries = {k: {0.0} for k, x in known.items() if not x["done"]}
+    best = dict.fromkeys(tries, math.inf)
+    while tries:
+        for source, points in tries.items():
+            low, high = known[source]["low"], known[source]["high"]
+            points |= {low + (high - low) * i / (POINTS + 1) for i in range(1, POINTS + 1)}
+        points = [(source, known[source]["mean"], x) for source, found in tries.items() for x in sorted(found)]
+        dealt = F.broadcast(spark.createDataFrame(points, f"s {schema['source'].dataType.simpleString()}, mean double, lambda double"))
+        tried = histogram.where("size > 0").join(dealt, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "documents", "mean", "lambda")
+        steps: dict[str | None, set[float]] = {source: set() for source in tries}
+        for r in sorted(_words(tried, cap, "source", "lambda").collect(), key=lambda r: r["lambda"]):
+            one, gap = known[r.source], r.words - known[r.source]["target"]
+            if abs(gap) < best[r.source]:
+                best[r.source], one["lambda"] = abs(gap), r["lambda"]
+            if gap < 0:
+                one["low"] = max(one["low"], r["lambda"])
+            else:
+                one["high"] = min(one["high"], r["lambda"])
+            if r.slope > 0:
+                steps[r.source].add(r["lambda"] - gap / r.slope)
+        for source in steps:
+            one = known[source]
+            low, high = one["low"], one["high"]
+            one["done"] = best[source] <= tolerance * one["target"] or high - low <= 1e-14 * max(1.0, abs(low), abs(high))
+        tries = {source: set(sorted((x for x in found if known[source]["low"] < x < known[source]["high"]), key=lambda x, k=source: abs(x - known[k]["lambda"]))[:2]) for source, found in steps.items() if not known[source]["done"]}
+    return spark.createDataFrame([tuple(x[c] for c in schema.names) for x in held], schema)
+
+
+def _tilts_joined(histogram: DataFrame, state: DataFrame, cap: float, tolerance: float) -> DataFrame:
+    """What _tilts_held returns, for any number of sources.  Every fourth step halves the bracket."""
     turn = 0
     while state.where("not done").limit(1).count():
         turn += 1
-        tilt = F.col("lambda") * F.col("size") / F.col("mean")
         open_state = state.where("not done").select("source", "lambda", "mean")
-        sums = (
-            histogram.where("size > 0").alias("h")
-            .join(open_state.alias("o"), F.col("h.source").eqNullSafe(F.col("o.source")))
-            .select("h.source", "size", "documents", "lambda", "mean")
-            .withColumn("tilt", tilt)
-            .groupBy("source")
-            .agg(
-                F.sum(F.col("documents") * F.col("size") * F.when(F.col("tilt") >= log_cap, F.lit(float(cap))).otherwise(F.exp("tilt"))).alias("words"),
-                F.sum(F.when(F.col("tilt") < log_cap, F.col("documents") * F.col("size") * F.col("size") / F.col("mean") * F.exp("tilt")).otherwise(F.lit(0.0))).alias("slope"),
-            )
-        )
+        opened = histogram.where("size > 0").alias("h").join(open_state.alias("o"), F.col("h.source").eqNullSafe(F.col("o.source")))
+        sums = _words(opened.select("h.source", "size", "documents", "lambda", "mean"), cap, "source")
         gap = F.col("words") - F.col("target")
         low, high = F.when(gap < 0, F.col("lambda")).otherwise(F.col("low")), F.when(gap > 0, F.col("lambda")).otherwise(F.col("high"))
         newton = F.col("lambda") - F.try_divide(gap, F.col("slope"))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, store
+from .common import HELD, WORD, store
 
 SYMBOLS = "#*$%&|<>"
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -147,7 +147,7 @@ def _second() -> list[Column]:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """pool, start and the first models: 0 has medians and quartile ranges by coordinate, 1 mean and covariance of all."""
+    """pool, start, m0.. and c00.. of the first models: 0 has medians and quartile ranges by coordinate, 1 mean and covariance of all."""
     entry = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(f"x{i}") / BIN).alias("bin")) for i in range(DIMS)]))
     bins = rows.select("pool", entry.alias("e")).groupBy("pool", "e.dim", "e.bin").agg(F.count(F.lit(1)).alias("n"))
     ordered = Window.partitionBy("pool", "dim").orderBy("bin")
@@ -161,15 +161,65 @@ def _starts(rows: DataFrame) -> DataFrame:
         for j in range(i):
             robust = robust.withColumn(f"c{i}{j}", F.lit(0.0))
     whole = rows.groupBy("pool").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *_second())
-    return _cholesky(robust.withColumn("start", F.lit(0)).unionByName(whole.withColumn("start", F.lit(1))))
+    return robust.withColumn("start", F.lit(0)).unionByName(whole.withColumn("start", F.lit(1)))
 
 
 def estimate(rows: DataFrame) -> DataFrame:
     """pool, m0.. and l00..: the estimate of every pool of rows(pool, x0..).
 
     From each start concentration steps are taken until its determinant falls no more; the start with the least determinant counts.
+    The driver holds the models of few pools, and a step is one job; those of more are tables.
     """
-    best = store(_starts(rows).withColumn("log_det", F.lit(float("inf"))).withColumn("live", F.lit(True)), "quality-model")
+    starts = store(_starts(rows), "quality-starts")
+    return _estimate_held(rows, starts) if starts.limit(2 * HELD + 1).count() <= 2 * HELD else _estimate_joined(rows, starts)
+
+
+def _factor(c: dict[str, float]) -> dict[str, float]:
+    """The lower triangle l00, l10, l11.. of the covariance c00, c10, c11.."""
+    low: dict[str, float] = {}
+    for i in range(DIMS):
+        for j in range(i + 1):
+            rest = c[f"c{i}{j}"] - sum(low[f"l{i}{k}"] * low[f"l{j}{k}"] for k in range(j))
+            low[f"l{i}{j}"] = math.sqrt(rest) if i == j else rest / low[f"l{j}{j}"]
+    return low
+
+
+def _estimate_held(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """What _estimate_joined returns: a step sums the moments about the model by ring, and those of the nearest half by pool."""
+    spark = rows.sparkSession
+    names = [f"m{i}" for i in range(DIMS)] + [f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)]
+    model = {}
+    for r in starts.collect():
+        c = r.asDict()
+        model[r.pool, r.start] = {f"m{i}": c[f"m{i}"] for i in range(DIMS)} | _factor(c) | {"log_det": math.inf}
+    live = set(model)
+    off = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
+    moments = {f"s{i}": off[i] for i in range(DIMS)} | {f"s{i}{j}": off[i] * off[j] for i in range(DIMS) for j in range(i + 1)}
+    ordered, whole = Window.partitionBy("pool", "start").orderBy("ring"), Window.partitionBy("pool", "start")
+    while live:
+        dealt = F.broadcast(spark.createDataFrame([(*key, *[model[key][c] for c in names]) for key in sorted(live)], f"pool string, start int, {', '.join(f'{c} double' for c in names)}"))
+        near = rows.join(dealt, "pool").withColumn("ring", F.floor(F.log(distance() + 1e-6) * DISTANCE_BINS))
+        rings = near.groupBy("pool", "start", "ring").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in moments.items()])
+        before = F.sum("n").over(ordered) - F.col("n")
+        half = rings.withColumn("before", before).withColumn("all", F.sum("n").over(whole)).where(F.col("before") < HALF * F.col("all"))
+        for r in half.groupBy("pool", "start").agg(*[F.sum(k).alias(k) for k in ("n", *moments)]).collect():
+            key, was = (r.pool, r.start), model[r.pool, r.start]
+            mean = [r[f"s{i}"] / r.n for i in range(DIMS)]
+            c = {f"c{i}{j}": (r[f"s{i}{j}"] / r.n - mean[i] * mean[j]) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i + 1)}
+            moved = {f"m{i}": was[f"m{i}"] + mean[i] for i in range(DIMS)} | _factor(c)
+            moved["log_det"] = sum(math.log(moved[f"l{i}{i}"]) for i in range(DIMS))
+            # A step that doesn't lower the determinant is not taken.
+            if moved["log_det"] < was["log_det"] - SETTLED:
+                model[key] = moved
+            else:
+                live.discard(key)
+    best = {pool: min((model[pool, s]["log_det"], s) for s in (0, 1))[1] for pool, _ in model}
+    return spark.createDataFrame([(pool, *[model[pool, s][c] for c in names]) for pool, s in best.items()], f"pool string, {', '.join(f'{c} double' for c in names)}")
+
+
+def _estimate_joined(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """What _estimate_held returns, for any number of pools."""
+    best = store(_cholesky(starts).withColumn("log_det", F.lit(float("inf"))).withColumn("live", F.lit(True)), "quality-model")
     while best.where("live").limit(1).count():
         near = rows.join(best.where("live"), "pool").withColumn("ring", F.floor(F.log(distance() + 1e-6) * DISTANCE_BINS))
         rings = near.groupBy("pool", "start", "ring").agg(F.count(F.lit(1)).alias("n"))
