@@ -24,6 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, store
 
@@ -43,25 +44,40 @@ BROADCAST_LINES = 500_000
 BROADCAST_TOKENS = 2_000_000
 #: Classes that hold more than a HOT-th of all lines: fewer than HOT, so they are broadcast.
 HOT, SALTS = 1_000, 64
+#: Bits of line_no where it is held in one number with doc_id.
+LINE_BITS = 24
 
 
-def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, keep, line_no (from 0), norm (words in lower case, one space between), k1 and k2 (a hash of it) of every line with a word."""
+def _lines(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, keep, line_no (from 0) and line (in lower case) of every line with a word."""
     line = docs.select("doc_id", *keep, F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
-    line = line.select("doc_id", *keep, "line_no", F.trim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
+    # A trim from the left ends at the first word; one from both sides walks the whole line, and a filter on it would have it done twice.
+    return line.where(F.ltrim("line", F.lit(BLANKS)) != "")
+
+
+def _keyed(lines: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, keep, line_no, norm (words of the line, one space between), k1 and k2 (a hash of it)."""
+    line = lines.select("doc_id", *keep, "line_no", F.trim("line", F.lit(BLANKS)).alias("line"))
     # Most lines have single spaces: finding that out is much cheaper than a replacement at every space.
     odd = reduce(lambda a, b: a | b, [F.contains("line", F.lit(x)) for x in ("  ", *BLANKS[1:])])
     norm = line.select("doc_id", *keep, "line_no", F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line")).alias("norm"))
     return norm.select("*", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"))
 
 
-def _tokens(words: Column) -> Column:
-    """The distinct shingles of an array of words (fewer words: one token): three passes over neighbours hash two, three and five words."""
-    n = F.size(words)
-    hashed = lambda x, at: F.zip_with(x, F.slice(x, at, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    let = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
-    five = let(hashed(words, 2), lambda two: let(hashed(two, 2), lambda three: F.slice(hashed(three, 3), 1, n - SHINGLE + 1)))
-    return F.when(n < SHINGLE, F.array(F.xxhash64(words))).otherwise(F.array_distinct(five))
+def _with_tokens(frame: DataFrame) -> DataFrame:
+    """frame(norm, ...) with tokens, its distinct shingles (fewer words: one token), and full (whether it has the words of a shingle) for norm.
+
+    Functions of elements are interpreted one by one.  So words are hashed by one, slices of the hashes zipped in a step of its own, by
+    generated code, and the zipped numbers hashed by another.
+    """
+    keep = [c for c in frame.columns if c != "norm"]
+    hashed = frame.select(*keep, F.transform(F.split("norm", " "), lambda x: F.xxhash64(x)).alias("hashes"))
+    n = F.greatest(F.size("hashes") - SHINGLE + 1, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice("hashes", at + 1, n).alias(f"w{at}") for at in range(SHINGLE)])
+    rows = hashed.select(*keep, F.xxhash64("hashes").alias("whole"), zipped.alias("shingles"))
+    full = F.size("shingles") > 0
+    tokens = F.when(full, F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x)))).otherwise(F.array("whole"))
+    return rows.select(*keep, full.alias("full"), tokens.alias("tokens"))
 
 
 def _bits(tokens: Column) -> Column:
@@ -82,18 +98,35 @@ def _spare(n: Column) -> Column:
 
 
 def line_sketches(docs: DataFrame, percent: int = PERCENT, *keep: str) -> DataFrame:
-    """doc_id, keep, line_no, k1, k2, n and sketch (null if n < 2) of every line with a word; the only pass that hashes all words."""
-    words = _keyed(docs, *keep).select("doc_id", *keep, "line_no", "k1", "k2", F.split("norm", " ").alias("words"))
-    rows = words.select("doc_id", *keep, "line_no", "k1", "k2", F.sort_array(_tokens(F.col("words"))).alias("tokens"))
+    """doc_id, keep, line_no, k1, k2, n and sketch (null if no other line can have the token) of every line with a word; the only pass that hashes all words."""
+    rows = _with_tokens(_keyed(_lines(docs, *keep), *keep)).withColumn("tokens", F.sort_array("tokens"))
     n = F.size("tokens")
-    sketch = F.when(n >= 2, F.slice("tokens", 1, n - _at_least(percent / 100, n).cast("int") + _spare(n)))
+    # A line of few words is a token of its own; one that repeats its only shingle can be linked with others that do.
+    sketch = F.when(F.col("full"), F.slice("tokens", 1, n - _at_least(percent / 100, n).cast("int") + _spare(n)))
     return store(rows.select("doc_id", *keep, "line_no", "k1", "k2", n.alias("n"), sketch.alias("sketch")), "line-sketches")
 
 
+def _places_fit(lines: DataFrame) -> bool:
+    """Whether doc_id (an integer, nowhere null) and line_no fit a long together, LINE_BITS of it for line_no."""
+    if not isinstance(lines.schema["doc_id"].dataType, T.IntegralType):
+        return False
+    r = lines.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("line_no").alias("line_no"), F.count("doc_id").alias("ids"), F.count(F.lit(1)).alias("rows")).first()
+    bound = 1 << (63 - LINE_BITS)
+    return 0 < r.rows == r.ids and -bound <= r.least and r.most < bound and r.line_no < 1 << LINE_BITS
+
+
 def line_classes(lines: DataFrame) -> DataFrame:
     """id, k1, k2, first (its first line: last, doc_id, line_no), lines and n of every class."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")).alias("first")
-    classes = lines.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("lines"), F.min("n").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
+    if not _places_fit(lines):
+        classes = lines.groupBy("k1", "k2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("lines"), F.min("n").alias("n"))
+    else:
+        # Least numbers are found by hashing, least structs by sorting.
+        doc, line = lines.schema["doc_id"].dataType, lines.schema["line_no"].dataType
+        place = F.shiftleft(F.col("doc_id").cast("long"), LINE_BITS).bitwiseOR(F.col("line_no").cast("long"))
+        found = lines.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("lines"), F.min("n").alias("n"))
+        first = F.struct(F.lit(False).alias("last"), F.shiftright("place", LINE_BITS).cast(doc).alias("doc_id"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast(line).alias("line_no"))
+        classes = found.select("k1", "k2", first.alias("first"), "lines", "n")
     return store(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
 
@@ -114,15 +147,20 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, first and tokens of the wanted classes, from their first lines."""
     few = wanted.count() <= BROADCAST_LINES
     hint = F.broadcast if few else (lambda frame: frame)
-    texts = docs.select("doc_id", "text")
+    lines = docs.select("doc_id", "text")
     if few:
-        ids = wanted.select(F.col("first.doc_id").alias("wanted_id")).distinct()
-        texts = texts.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        # Texts and lines that aren't wanted go before they are trimmed and hashed.
+        places = wanted.select(F.col("first.doc_id").alias("wanted_id"), F.col("first.line_no").alias("wanted_no")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+        lines = _lines(lines.join(F.broadcast(places.select("wanted_id").distinct()), same, "left_semi"))
+        lines = lines.join(F.broadcast(places), same & (F.col("line_no") == F.col("wanted_no")), "left_semi")
+    else:
+        lines = _lines(lines)
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    found = _keyed(texts).join(hint(wanted), ["k1", "k2"]).where(here)
+    found = _keyed(lines).join(hint(wanted), ["k1", "k2"]).where(here)
     # Rows that repeat a document give its lines again.
     once = found.groupBy("id").agg(F.first("first").alias("first"), F.first("norm").alias("norm"))
-    return store(once.select("id", "first", F.split("norm", " ").alias("words")).select("id", "first", _tokens(F.col("words")).alias("tokens")), "line-sets")
+    return store(_with_tokens(once).select("id", "first", "tokens"), "line-sets")
 
 
 def rare_tokens(sets: DataFrame, percent: int = PERCENT) -> DataFrame:

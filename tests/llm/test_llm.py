@@ -371,6 +371,31 @@ def test_line_dedup_of_many_near_copies(spark, monkeypatch):
     assert clean == sorted([rows[0][1], rows[-1][1]])
 
 
+def test_line_dedup_links_lines_that_repeat_their_only_shingle(spark):
+    # By the SQL each has the one shingle "ja ja ja ja ja"; four words are a token of their own.
+    rows = [(0, "Ja ja ja ja ja", None, None), (1, "ja ja ja ja ja ja\nja ja ja ja", None, None), (2, "ja\tja ja ja ja ja ja", None, None)]
+    got = {(r.doc_id, r.line_no): (r.n_links, r.removed) for r in line_dedup.judge_lines(table(spark, rows)).collect()}
+    assert got == {(0, 0): (2, False), (1, 0): (2, True), (1, 1): (0, False), (2, 0): (2, True)}
+
+
+def test_line_classes_find_first_lines_of_any_ids(spark, monkeypatch):
+    far = [-(1 << 38), -1, 0, 5, (1 << 38) - 1]
+    texts = ["same\nother\nsame", "other\nsame", "last\nsame", "last\nother"]
+
+    def judged(ids):
+        rows = [(d, texts[i % 4], None, None) for i, d in enumerate(ids)]
+        fits.append(line_dedup._places_fit(line_dedup.line_sketches(table(spark, rows).select("doc_id", "text"))))
+        return sorted(map(repr, line_dedup.judge_lines(table(spark, rows)).collect()))
+
+    fits = []
+    plain = judged(far)
+    judged([*far, 1 << 40])
+    judged([*far, None])
+    assert fits == [True, False, False]
+    monkeypatch.setattr(line_dedup, "_places_fit", lambda lines: False)
+    assert judged(far) == plain
+
+
 def test_line_dedup_compares_few_blocks_of_near_copies(spark, monkeypatch):
     made, store = {}, line_dedup.store
 
