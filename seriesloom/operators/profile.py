@@ -14,13 +14,13 @@ QUERIES = 128
 _EPS = 1e-7
 
 
-def matrix_profile(sequences: DataFrame, length: int, spread: int = 1) -> DataFrame:
+def matrix_profile(sequences: DataFrame, length: int, spread: int = 1, digits: int = 9) -> DataFrame:
     """(seq_id, k, pos, profile, nearest, dims) of sequences(seq_id, v array<array<double>>: one array per dimension).
 
     For each window and k (from 1): the root of the mean of the k least squared z-normed distances over dimensions, at
     the best other start outside [pos - length/2, pos + length/2) (null if there is none), and those dimensions.
-    Values that are not finite count as 0 and their windows are left out; constant targets are left out.  Ties: the
-    smallest start.  ``spread`` tasks share the queries of one sequence.
+    Values that are not finite count as 0 and their windows are left out; constant targets are left out.  Distances
+    that agree to ``digits`` are ties: the smallest start counts.  ``spread`` tasks share the queries of one sequence.
     """
     if length < 4:
         raise ValueError("windows must have 4 points")
@@ -52,8 +52,7 @@ def matrix_profile(sequences: DataFrame, length: int, spread: int = 1) -> DataFr
                     order = np.argsort(d, axis=0, kind="stable")
                     best = np.cumsum(np.take_along_axis(d, order, 0), axis=0) / np.arange(1, len(d) + 1)[:, None, None]
                     best = np.sqrt(best)
-                    # Ties to 9 digits.
-                    where = np.round(best, 9).argmin(axis=2)
+                    where = np.round(best, digits).argmin(axis=2)
                     for k in range(len(d)):
                         for i, p in enumerate(q):
                             value = best[k, i, where[k, i]]

@@ -266,7 +266,7 @@ def calinski_harabasz(spark, sf):
 
 def _profile(spark, sf):
     rows = S.event_series(spark, sf)
-    return profile.matrix_profile(rows.select(F.col("series_id").alias("seq_id"), F.array("v").alias("v")), 8)
+    return profile.matrix_profile(rows.select(F.col("series_id").alias("seq_id"), F.array("v").alias("v")), 8, digits=DIGITS)
 
 
 def matrix_profile(spark, sf):
