@@ -128,22 +128,24 @@ def nearest(rows: DataFrame, others: DataFrame, k: int, same: bool, distance: Ca
     """
     ship(rows.sparkSession)
     mine = rows.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v")
-    theirs = others.select(F.col("series_id").cast("long").alias("series_id"), F.col("label").cast("int").alias("label"), "v")
+    # Names of their own: the two sides may be one table, whose columns a cogroup would take for one.
+    theirs = others.select(F.col("series_id").cast("long").alias("to_id"), F.col("label").cast("int").alias("to_label"), F.col("v").alias("to_v"))
     schema = "series_id bigint, label int, other_id bigint, other_label int, dist double"
 
-    mine, theirs = (t.where(F.size("v") > 0) for t in (mine, theirs))
+    mine, theirs = mine.where(F.size("v") > 0), theirs.where(F.size("to_v") > 0)
 
-    def groups(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    def groups(table: pa.Table | pa.RecordBatch, prefix: str = "") -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
         """ids, labels and values of the rows of each length, by id."""
         table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
-        table = table.take(pa.array(np.argsort(table["series_id"].to_numpy(), kind="stable")))
-        lengths = pc.list_value_length(table["v"]).to_numpy()
+        ids, labels, values = (f"{prefix}{c}" for c in (("id", "label", "v") if prefix else ("series_id", "label", "v")))
+        table = table.take(pa.array(np.argsort(table[ids].to_numpy(), kind="stable")))
+        lengths = pc.list_value_length(table[values]).to_numpy()
         for n in np.unique(lengths):
             part = table.filter(pa.array(lengths == n))
-            yield part["series_id"].to_numpy(), part["label"].combine_chunks(), np.array(part["v"].to_pylist(), np.float64)
+            yield part[ids].to_numpy(), part[labels].combine_chunks(), part[values].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
 
     def block(table: pa.Table) -> list[tuple[np.ndarray, pa.Array, np.ndarray]]:
-        return list(groups(table))
+        return list(groups(table, "to_"))
 
     def match(table: pa.Table | pa.RecordBatch, others: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for (own_ids, own_labels, x), (ids, labels, y) in itertools.product(groups(table), others):
@@ -164,7 +166,7 @@ def nearest(rows: DataFrame, others: DataFrame, k: int, same: bool, distance: Ca
                 to = best.ravel()[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(own_ids[own]), own_labels.take(pa.array(own)), pa.array(ids[to]), labels.take(pa.array(to)), pa.array(value.ravel()[keep])], ["series_id", "label", "other_id", "other_label", "dist"])
 
-    parts = parts_of(theirs)
+    parts = parts_of(theirs, "to_v")
     if parts == 1:
         table = theirs.toArrow()
         if not table.num_rows:
@@ -178,6 +180,6 @@ def nearest(rows: DataFrame, others: DataFrame, k: int, same: bool, distance: Ca
             found = match(left, block(right)) if left.num_rows and right.num_rows else []
             return pa.Table.from_batches([x.cast(empty) for x in found], empty)
 
-        out = every_pair(mine, parts_of(mine), "series_id", theirs, parts, "series_id").applyInArrow(pair, schema)
+        out = every_pair(mine, parts_of(mine), "series_id", theirs, parts, "to_id").applyInArrow(pair, schema)
     place = F.row_number().over(Window.partitionBy("series_id").orderBy("dist", "other_id"))
     return out.withColumn("place", place).where(F.col("place") <= k)

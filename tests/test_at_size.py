@@ -34,3 +34,15 @@ def test_profiles_that_agree_to_six_digits_are_ties(spark, tmp_path):
     v = [188.1, 186.23, 210.84, 90.43, 121.86, 259.58, 106.32, 160.86, 59.53, 73.59, 56.07, 70.13, 141.81, 0, 134.35, 34.28, 45.01, 137.71, 51.48, 18.79, 84.01, 482.73, 157.17, 181.54, 56.53, 37.78, 102.28, 282.14, 96.23, 0]
     write_events(spark, tmp_path, {3: v, 4: v[::-1]})
     against_sql(spark, tmp_path, "matrix_profile", ["events"])
+
+
+@pytest.mark.parametrize("name", ["nearest_neighbour", "separability_index"])
+def test_neighbours_of_a_table_of_several_blocks(spark, tmp_path, monkeypatch, name):
+    """One table on both sides, in more than one block: the two sides of a pair of blocks must keep their own columns."""
+    from seriesloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", 200)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=8) + 3 * (i % 3)).tolist(), i % 3) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    against_sql(spark, tmp_path, name, ["embeddings"])
