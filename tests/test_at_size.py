@@ -46,3 +46,95 @@ def test_neighbours_of_a_table_of_several_blocks(spark, tmp_path, monkeypatch, n
     rows = [(i, (rng.normal(size=8) + 3 * (i % 3)).tolist(), i % 3) for i in range(90)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     against_sql(spark, tmp_path, name, ["embeddings"])
+
+
+def searched(spark):
+    """Series of several lengths and three classes, some flat, one with a spike."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(40):
+        v = np.round(rng.normal(size=12 + 3 * (i % 3)), 2) * (i % 7 > 0)
+        v[4:8] += (i % 3) * np.array([0, 3, 3, 0])
+        rows.append((i, i % 3, v.tolist()))
+    rows[5][2][3] = 1e7
+    return spark.createDataFrame([*rows, (90, 1, None), (91, 0, [])], "series_id long, label int, v array<double>")
+
+
+@pytest.mark.parametrize("normalize", [True, False])
+def test_lines_scored_in_tasks_are_those_of_sql(spark, monkeypatch, normalize):
+    from seriesloom.operators import lines
+    from seriesloom.operators.distance import candidates
+    from seriesloom.operators.extractors import rank
+
+    series = searched(spark)
+    # Lengths 13 and 14 are longer than some series.
+    cands = candidates(series, (5, 13, 14), 2)
+    read = lambda: sorted((r.cand_id, r.score, r.gap, r.tau) for r in rank(cands, series, "ig", normalize).collect())
+    assert lines.parts(series, cands) == 0
+    want = read()
+    monkeypatch.setattr(lines, "ROWS", 0)
+    for name, value in (("LINES", 1 << 21), ("LINES", 100), ("SCORED", 90), ("CELLS", 64)):
+        monkeypatch.setattr(lines, name, value)
+    assert lines.parts(series, cands) > 0
+    got = read()
+    assert len(got) == len(want) > 100
+    for x, y in zip(got, want, strict=True):
+        assert x[0] == y[0] and np.allclose(x[1:], y[1:], atol=2e-6, rtol=1e-9), (x, y)
+
+
+def test_running_sums_of_a_block_of_series_are_those_of_pairs(spark, monkeypatch):
+    from seriesloom.operators import lines
+    from seriesloom.operators.extractors import Fast
+
+    series = searched(spark)
+    want = [tuple(r) for r in Fast(4, 14).extract(series, 30).drop("values").collect()]
+    for name, value in (("ROWS", 0), ("LINES", 150), ("CELLS", 700)):
+        monkeypatch.setattr(lines, name, value)
+    monkeypatch.setattr("seriesloom.operators.extractors.window_distances", None)
+    assert [tuple(r) for r in Fast(4, 14).extract(series, 30).drop("values").collect()] == want
+
+
+def test_lines_beyond_what_is_held_go_by_rows(spark, monkeypatch):
+    from seriesloom.operators import lines
+    from seriesloom.operators.distance import candidates
+
+    monkeypatch.setattr(lines, "ROWS", 0)
+    series = searched(spark)
+    cands = candidates(series, (4,))
+    assert lines.parts(series, cands)
+    gap = spark.createDataFrame([(95, 1, [1.0, None, 2.0, 4.0, 5.0])], series.schema)
+    assert not lines.parts(series.union(gap), cands) and not lines.parts(series, candidates(gap, (4,)))
+    assert not lines.parts(series.union(spark.createDataFrame([(96, None, [1.0, 2.0])], series.schema)), cands)
+    monkeypatch.setattr(lines, "HELD", 100)
+    assert not lines.parts(series, cands)
+
+
+def test_a_tree_of_lines_scored_in_tasks(spark, monkeypatch):
+    from seriesloom.operators import estimators, lines
+    from seriesloom.operators.extractors import Brute
+
+    series = searched(spark).where("v IS NOT NULL")
+    grown = lambda: sorted((n.path, n.values, n.tau, sorted(n.probabilities.items())) for n in estimators.ShapeletTree(Brute(5, 7), max_depth=2).fit(series).nodes)
+    want = grown()
+    monkeypatch.setattr(lines, "ROWS", 0)
+    met = []
+    whole = estimators.min_distances
+    monkeypatch.setattr(estimators, "min_distances", lambda series, cands, *a: met.append(cands.count()) or whole(series, cands, *a))
+    # Only the best window of each node becomes rows.
+    assert grown() == want and len(want) >= 3 and max(met) <= 2
+
+
+def test_a_pruned_search_has_rows_of_its_references_only(spark, monkeypatch):
+    from seriesloom.operators import lines, pruned
+
+    series = searched(spark)
+    names = ("cand_id", "score", "gap", "tau")
+    want = [[r[c] for c in names] for r in pruned.Pruned(5, 7, batch=64).extract(series, 3).collect()]
+    monkeypatch.setattr(lines, "ROWS", 0)
+    monkeypatch.setattr(pruned, "REFERENCES", 9)
+    met = []
+    whole = pruned.min_distances
+    monkeypatch.setattr(pruned, "min_distances", lambda series, cands, *a: met.append(cands.count()) or whole(series, cands, *a))
+    search = pruned.Pruned(5, 7, batch=64)
+    assert [[r[c] for c in names] for r in search.extract(series, 3).collect()] == want
+    assert met and max(met) <= 9 and len(search.rounds) > 1
