@@ -138,3 +138,32 @@ def test_a_pruned_search_has_rows_of_its_references_only(spark, monkeypatch):
     search = pruned.Pruned(5, 7, batch=64)
     assert [[r[c] for c in names] for r in search.extract(series, 3).collect()] == want
     assert met and max(met) <= 9 and len(search.rounds) > 1
+
+
+def test_tiles_of_one_dimension_work_out_few_pairs(monkeypatch):
+    """Single precision leaves few pairs to double precision; flat windows, copies and gaps have the nearest of all pairs."""
+    from seriesloom.operators import diagonals
+
+    rng = np.random.default_rng(5)
+    n, length = 300, 8
+    v = np.round(rng.exponential(50, size=2 * n + length - 1), 2)
+    v[100:115], v[200:212], v[400:412], v[500] = 7, v[20:32], v[20:32], np.nan
+    segments = [diagonals.Segment(v[None, i * n : (i + 1) * n + length - 1], i * n, length) for i in (0, 1)]
+    best = [(np.full((1, n), np.inf), np.full((1, n), 1 << 60)) for _ in segments]
+    worked = []
+    improve = diagonals._improve
+    monkeypatch.setattr(diagonals, "_improve", lambda q, *a: worked.append(len(q)) or improve(q, *a))
+    for name, value in (("ROWS", 64), ("COLUMNS", 100)):
+        monkeypatch.setattr(diagonals, name, value)
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        diagonals.compare(segments[i], segments[j], best[i], None if i == j else best[j])
+    w = np.lib.stride_tricks.sliding_window_view(np.nan_to_num(v), length)
+    bad, flat = np.isnan(np.lib.stride_tricks.sliding_window_view(v, length)).any(1), w.std(1) < 1e-7
+    z = (w - w.mean(1, keepdims=True)) / np.maximum(w.std(1, keepdims=True), 1e-7)
+    square = 2 * (length - z @ z.T)
+    gap = np.arange(2 * n)[None, :] - np.arange(2 * n)[:, None]
+    square[(gap >= -4) & (gap < 4) | (bad | flat)[None, :]] = np.inf
+    got = np.concatenate([b[0][0] for b in best]), np.concatenate([b[1][0] for b in best])
+    assert np.isinf(got[0][bad]).all() and np.allclose(got[0][~bad], square.min(1)[~bad], atol=1e-9)
+    assert (got[1][~bad] == np.round(square, 9).argmin(1)[~bad]).all()
+    assert 0 < sum(worked) < (2 * n) ** 2 / 8
