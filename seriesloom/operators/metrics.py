@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +78,35 @@ def gain_bound(line: DataFrame, radius: float) -> DataFrame:
     A class favours the side of which it has the larger share; with equal shares its points stay.  For more than two classes an estimate.
     Lines without a threshold give 0.
     """
-    points = line.groupBy("cand", "label", F.col("dist").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("w"))
-    after = F.lead("x").over(Window.partitionBy("cand").orderBy("x"))
-    cuts = points.select("cand", "x").distinct().withColumn("after", after).where("after IS NOT NULL").select("cand", ((F.col("x") + F.col("after")) / 2).alias("x"))
-    labels = line.select("cand", "label").distinct()
-    # Cuts take part as points of no weight, so that frames over distances give the counts around them.
-    both = points.withColumn("cut", F.lit(False)).unionByName(cuts.join(labels, "cand").select("cand", "label", "x", F.lit(0).cast("long").alias("w"), F.lit(True).alias("cut")))
-    order = Window.partitionBy("cand", "label").orderBy("x")
-    total = F.sum("w").over(Window.partitionBy("cand", "label"))
-    left = F.sum("w").over(order.rangeBetween(Window.unboundedPreceding, 0))
-    around = (f"{float(radius)!r}D PRECEDING AND CURRENT ROW", f"CURRENT ROW AND {float(radius)!r}D FOLLOWING")
-    near = [F.expr(f"sum(w) OVER (PARTITION BY cand, label ORDER BY x RANGE BETWEEN {x})") for x in around]
-    at = both.select("cand", "label", "x", "cut", total.alias("n"), left.alias("l"), near[0].alias("nl"), near[1].alias("nr")).where("cut")
-    side = Window.partitionBy("cand", "x")
-    share = F.col("l") * F.sum(F.col("n") - F.col("l")).over(side) - (F.col("n") - F.col("l")) * F.sum("l").over(side)
-    moved = F.when(share > 0, F.col("l") + F.col("nr")).when(share < 0, F.col("l") - F.col("nl")).otherwise(F.col("l"))
-    per = at.select("cand", "x", "n", moved.alias("l")).withColumn("r", F.col("n") - F.col("l"))
-    plog = lambda c: F.when(c > 0, c * F.log(c)).otherwise(F.lit(0.0))
-    sums = per.groupBy("cand", "x").agg(*[F.sum(c).cast("double").alias(f"s{c}") for c in "nlr"], *[F.sum(plog(F.col(c).cast("double"))).alias(f"h{c}") for c in "nlr"])
-    rest = lambda c: plog(F.col(f"s{c}")) - F.col(f"h{c}")
-    best = sums.groupBy("cand").agg(F.max((rest("n") - rest("l") - rest("r")) / F.col("sn")).alias("bound"))
-    return line.select("cand").distinct().join(best, "cand", "left").select("cand", F.round(F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(0.0)), 6).alias("bound"))
+    # Equal points are one row: a line has as many rows as its distances, to the digits of order lines, have values.
+    points = line.groupBy("cand", F.col("dist").cast("double").alias("x"), "label").agg(F.count(F.lit(1)).alias("w"))
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
+
+    def bound(rows: pa.Table) -> pa.Table:
+        x, at = np.unique(rows["x"].to_numpy(), return_inverse=True)
+        kind = np.unique(rows["label"].fill_null(-1).to_numpy(), return_inverse=True)[1]
+        best = 0.0
+        if len(x) > 1:
+            classes = int(kind.max()) + 1
+            cuts = (x[:-1] + x[1:]) / 2
+            # Running counts of a class: what lies before a place is one look-up.
+            low, high = np.searchsorted(x, cuts - radius, "left"), np.searchsorted(x, cuts + radius, "right")
+            sides = []
+            for c in range(classes):
+                mine = kind == c
+                upto = np.concatenate(([0], np.cumsum(np.bincount(at[mine], rows["w"].to_numpy()[mine], len(x)))))
+                left = upto[1:-1]
+                sides.append((upto[-1], left, left - upto[low], upto[high] - left))
+            n = sum(s[0] for s in sides)
+            all_left = sum(s[1] for s in sides)
+            inside, lefts = np.zeros(len(cuts)), np.zeros(len(cuts))
+            for size, left, near, far in sides:
+                share = left * (n - size - all_left + left) - (size - left) * (all_left - left)
+                moved = np.where(share > 0, left + far, np.where(share < 0, left - near, left))
+                inside += xlogx(moved) + xlogx(size - moved)
+                lefts += moved
+            best = float((xlogx(n) - sum(xlogx(s[0]) for s in sides) - xlogx(lefts) - xlogx(n - lefts) + inside).max() / n)
+        return pa.table([rows["cand"][:1], pa.array([max(best, 0.0)])], names=["cand", "bound"])
+
+    found = points.groupBy("cand").applyInArrow(bound, f"cand {dict(line.dtypes)['cand']}, bound double")
+    return found.select("cand", F.round("bound", 6).alias("bound"))

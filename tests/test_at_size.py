@@ -167,3 +167,18 @@ def test_tiles_of_one_dimension_work_out_few_pairs(monkeypatch):
     assert np.isinf(got[0][bad]).all() and np.allclose(got[0][~bad], square.min(1)[~bad], atol=1e-9)
     assert (got[1][~bad] == np.round(square, 9).argmin(1)[~bad]).all()
     assert 0 < sum(worked) < (2 * n) ** 2 / 8
+
+
+def test_gain_bound_takes_running_counts(spark):
+    """No frame over distances, whose rows would be gone over again for every cut."""
+    from seriesloom.operators.metrics import gain_bound
+
+    rng = np.random.default_rng(8)
+    line = spark.createDataFrame([(c, float(np.round(rng.random() + 0.1 * (i % 3), 3)), i % 3) for c in (4, 9) for i in range(400)], "cand long, dist double, label int")
+    found = gain_bound(line, 0.05)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    con = duckdb.connect()
+    dm = line.toPandas()  # noqa: F841
+    sql = oracles._BOUND.replace(oracles._DM, "dm AS (SELECT cand, dist, label FROM held)")
+    con.register("held", dm)
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(sql).fetchall())
