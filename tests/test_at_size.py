@@ -182,3 +182,34 @@ def test_gain_bound_takes_running_counts(spark):
     sql = oracles._BOUND.replace(oracles._DM, "dm AS (SELECT cand, dist, label FROM held)")
     con.register("held", dm)
     assert sorted(map(tuple, found.collect())) == sorted(con.sql(sql).fetchall())
+
+
+def test_nearest_rows_from_products_in_single_precision(monkeypatch):
+    """The nearest by differences, ties by id, with copies, large offsets and values that are not finite; few pairs are worked out."""
+    from seriesloom.operators import blocks
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(blocks, "OTHERS", 100)
+    for case in range(4):
+        y = rng.normal(size=(700, 6)) + (1e6 if case == 1 else 0)
+        if case == 2:
+            y = np.round(y)
+            y[50:300] = y[7]
+        if case == 3:
+            y[5], y[9], y[11] = 1e12, np.nan, 1e200
+        ids = rng.permutation(700) * 3
+        rows = rng.permutation(700)[:80]
+        for k, own in ((1, None), (3, ids[rows])):
+            got = [(int(i), int(j)) for i, j, _ in zip(*blocks.least(y[rows], y, ids, k, own), strict=True)]
+            want = []
+            for i, r in enumerate(rows):
+                with np.errstate(over="ignore"):
+                    d = np.round(np.sqrt(((y[r] - y) ** 2).sum(1)), 9)
+                d[~np.isfinite(d)] = np.inf
+                if own is not None:
+                    d[r] = np.inf
+                want += [(i, int(j)) for j in np.lexsort((ids, d))[:k] if np.isfinite(d[j])]
+            assert got == want, (case, k)
+    x, y = rng.normal(size=(100, 16)), rng.normal(size=(2000, 16))
+    pairs = blocks._candidates(x, y, 1, (np.zeros(0, np.int64),) * 2, np.float32)
+    assert 100 <= len(pairs[0]) < 100 * 20
