@@ -213,3 +213,21 @@ def test_nearest_rows_from_products_in_single_precision(monkeypatch):
     x, y = rng.normal(size=(100, 16)), rng.normal(size=(2000, 16))
     pairs = blocks._candidates(x, y, 1, (np.zeros(0, np.int64),) * 2, np.float32)
     assert 100 <= len(pairs[0]) < 100 * 20
+
+
+def test_a_query_goes_to_a_group_of_blocks_once(spark, monkeypatch):
+    from seriesloom.operators import balls
+
+    rng = np.random.default_rng(1)
+    v = np.cumsum(rng.exponential(size=(150, 6)) * rng.exponential(size=(150, 1)), axis=1)
+    rows = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(v)], "series_id long, label int, v array<double>").repartition(3)
+    monkeypatch.setattr(balls, "GROUP", 64)
+    sent = []
+    reached = balls.Balls._reached
+    monkeypatch.setattr(balls.Balls, "_reached", lambda self, *a: sent.append([(r.row, r.group, len(r.to)) for r in (found := reached(self, *a)).collect()]) or found)
+    got = {(r.series_id, r.place): r.other_id for r in balls.ball_neighbours(rows, k=2, block=8).collect()}
+    d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, place + 1): int(j) for i in range(150) for place, j in enumerate(np.argsort(d[i], kind="stable")[:2])}
+    # Fewer rows than blocks that are met.
+    assert len({s[:2] for s in sent[0]}) == len(sent[0]) < sum(s[2] for s in sent[0]) / 2
