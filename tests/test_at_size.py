@@ -5,7 +5,6 @@ import datetime
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from seriesloom.plans import oracles, queries
 
@@ -224,7 +223,13 @@ def test_a_query_goes_to_a_group_of_blocks_once(spark, monkeypatch):
     monkeypatch.setattr(balls, "GROUP", 64)
     sent = []
     reached = balls.Balls._reached
-    monkeypatch.setattr(balls.Balls, "_reached", lambda self, *a: sent.append([(r.row, r.group, len(r.to)) for r in (found := reached(self, *a)).collect()]) or found)
+
+    def noted(self, *a):
+        found = reached(self, *a)
+        sent.append([(r.row, r.group, len(r.to)) for r in found.collect()])
+        return found
+
+    monkeypatch.setattr(balls.Balls, "_reached", noted)
     got = {(r.series_id, r.place): r.other_id for r in balls.ball_neighbours(rows, k=2, block=8).collect()}
     d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9)
     np.fill_diagonal(d, np.inf)
